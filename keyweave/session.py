@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,20 +41,21 @@ def build_session(
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a session-local one only where none is set."""
+    """The shared folder named by the cluster; one under the temporary folder only where none is set."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"keyweave-{context.applicationId}")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    return folder or os.path.join(tempfile.gettempdir(), f"keyweave-{context.applicationId}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives lost executors), used between rounds of an iteration."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a DataFrame to the shared folder and read it back.
+
+    Lost executors then cost nothing but the running stage, a table used several times is
+    computed once, and later joins know its real size.
+    """
+    path = os.path.join(checkpoint_folder(df.sparkSession), "keyweave", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def size_in_bytes(df: DataFrame) -> int:
