@@ -2,4 +2,4 @@
 
 from workloads.registry import ORACLES, QUERIES  # noqa: F401
 
-from workloads import core, combine, measure, discover, jobs  # noqa: F401, E402, I001
+from workloads import core, combine, measure, discover, jobs, landing  # noqa: F401, E402, I001
