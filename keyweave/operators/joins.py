@@ -11,10 +11,9 @@ def star_join(keyed: list[DataFrame], how: str = "inner", key: str = "k", out_ke
 
     Inputs are already aggregated, so each holds at most one row per key and group; with
     adaptive execution Spark broadcasts the small ones and sort-merges (splitting skewed
-    partitions) otherwise. Rows whose first-source key is NULL are dropped.
+    partitions) otherwise. NULL keys are expected to be gone.
     """
-    first, *others = keyed
-    joined = first.where(F.col(key).isNotNull())
+    joined, *others = keyed
     for other in others:
         joined = joined.join(other, key, how)
     columns = [c for df in keyed for c in df.columns if c != key]

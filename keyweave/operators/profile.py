@@ -224,8 +224,7 @@ def service_totals(entries: DataFrame, edges: DataFrame) -> DataFrame:
         F.count_if(F.exists(F.map_values("region_keys"), lambda k: k.isNotNull())).alias("with_region_key"),
     )
     pairs = edges.agg(F.floor(F.count(F.lit(1)) / 2).alias("joinable_pairs"))
-    one = F.lit(1)
-    return sizes.withColumn("_one", one).join(pairs.withColumn("_one", one), "_one").drop("_one")
+    return sizes.withColumn("joinable_pairs", pairs.scalar())
 
 
 def dataset_cards(entries: DataFrame, edges: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keyweave.functions.text import asks_about_heat, asks_to_join, preferred_level, tokens
 from keyweave.operators.sorting import top_k_per_group
-from keyweave.session import cut_lineage
+from keyweave.session import cut_lineage, size_in_bytes
 
 # Parameters of the lexical score (fixed values).
 K1 = 1.5
@@ -35,6 +35,10 @@ HEAT_TOPICS = ["노령|고령|노인", "기상|기온|온도|날씨", "대피|
 
 # Postings of one term, or documents and questions of one block, handled together.
 TERM_BLOCK = 100_000
+
+# Stored bytes up to which a table is broadcast.
+BROADCAST_LIMIT = 8 * 1024 * 1024
+
 DOCUMENT_BLOCK = 50_000
 QUESTION_BLOCK = 4_000
 
@@ -90,10 +94,15 @@ def build_index(documents: DataFrame) -> SearchIndex:
         words.groupBy("doc_id", "term").agg(F.when(F.col("term").isNotNull(), F.count(F.lit(1))).otherwise(0).alias("tf"))
     )
     lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    totals = lengths.agg(
-        F.count(F.lit(1)).alias("documents"), (F.sum("length") / F.count(F.lit(1))).alias("mean_length")
+    totals = cut_lineage(
+        lengths.agg(
+            F.count(F.lit(1)).alias("documents"), (F.sum("length") / F.count(F.lit(1))).alias("mean_length")
+        )
+    )
+    # postings of one document stay in one file, so a question's partial sums are complete per task
+    postings = cut_lineage(
+        counted.where("term is not null").join(lengths, "doc_id").select("term", "doc_id", "tf", "length")
     )
-    postings = cut_lineage(counted.where("term is not null").join(lengths, "doc_id").select("term", "doc_id", "tf", "length"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     rated = cut_lineage(beside(frequency, totals).select("term", "df", raw.alias("idf")))
@@ -105,33 +114,37 @@ def build_index(documents: DataFrame) -> SearchIndex:
 
 
 def beside(table: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a global aggregate (always one row) next to every row."""
-    one = F.lit(1)
-    return table.withColumn("_one", one).join(F.broadcast(one_row.withColumn("_one", one)), "_one").drop("_one")
+    """Put the columns of a one-row table next to every row, as scalar subqueries."""
+    return table.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
 def lexical_scores(index: SearchIndex, questions: DataFrame) -> DataFrame:
     """``(question_id, doc_id, bm25)`` for the documents sharing a term with a question.
 
-    Repeated question words count repeatedly. The postings of a frequent term are cut into
-    blocks, so a term present in every document is spread over many tasks.
+    Repeated question words count repeatedly. The rated question terms are stored first: when
+    they are small the postings are read once and never shuffled; otherwise the postings
+    of a frequent term are cut into blocks, so that no join group depends on one task.
     """
     asked = (
         questions.select("question_id", F.explode(tokens("text")).alias("term"))
         .groupBy("question_id", "term")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    used = index.terms.join(asked.select("term").distinct(), "term", "left_semi").withColumn(
-        "blocks", F.ceil(F.col("df") / TERM_BLOCK).cast("int")
-    )
-    wanted = asked.join(used, "term").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = index.postings.join(used.select("term", "blocks"), "term").withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    wanted = cut_lineage(
+        asked.join(index.terms, "term").withColumn("blocks", F.ceil(F.col("df") / TERM_BLOCK).cast("int"))
     )
-    matched = beside(wanted.drop("blocks").join(held.drop("blocks"), ["term", "block"]), index.totals)
+    if size_in_bytes(wanted) <= BROADCAST_LIMIT:
+        matched = index.postings.join(F.broadcast(wanted), "term")
+    else:
+        blocks = wanted.select("term", "blocks").distinct()
+        held = index.postings.join(blocks, "term").withColumn(
+            "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+        )
+        spread = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        matched = held.drop("blocks").join(spread.drop("blocks"), ["term", "block"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    return matched.groupBy("question_id", "doc_id").agg(F.sum(weight).alias("bm25"))
+    return beside(matched, index.totals).groupBy("question_id", "doc_id").agg(F.sum(weight).alias("bm25"))
 
 
 def lexical_range(index: SearchIndex, scores: DataFrame, questions: DataFrame) -> DataFrame:
@@ -233,6 +246,18 @@ def best_dense(questions: DataFrame, documents: DataFrame, weight: float) -> Dat
     return ranked.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= F.col("keep")).drop("_at")
 
 
+def best_prior(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Without vectors the dense order is the same for every question: the leading documents
+    are found once and handed to all questions as one short list."""
+    widest = questions.agg(F.max("keep").alias("keep")).first()["keep"] or 0
+    order = [F.col("prior").desc(), F.col("doc_id").asc()]
+    leading = documents.select("doc_id", "prior").orderBy(*order).limit(int(widest))
+    item = F.struct((-F.col("prior")).alias("order"), "doc_id", "prior")
+    listed = leading.agg(F.array_sort(F.collect_list(item)).alias("leading"))
+    handed = beside(questions, listed).select("question_id", "keep", F.explode(F.slice("leading", F.lit(1), F.col("keep"))).alias("d"))
+    return handed.select("question_id", "d.doc_id", F.lit(0.0).alias("cosine"), F.col("d.prior").alias("dense"), "keep")
+
+
 def cosine_top(questions: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` documents closest to every question, exactly."""
     asked = questions.select(
@@ -270,8 +295,12 @@ def fused_top(
         context = context.withColumns({"cos_low": F.lit(0.0), "cos_high": F.lit(0.0), "vector": F.array(F.lit(0.0))})
         documents = documents.withColumn("vector", F.array(F.lit(0.0)))
     context = cut_lineage(context)
-    dense_side = context.select("question_id", "vector", "cos_low", "cos_high", "keep")
-    dense = cut_lineage(best_dense(dense_side, documents, vector_weight))
+    if with_vectors:
+        dense_side = context.select("question_id", "vector", "cos_low", "cos_high", "keep")
+        dense = best_dense(dense_side, documents, vector_weight)
+    else:
+        dense = best_prior(context.select("question_id", "keep"), documents)
+    dense = cut_lineage(dense)
 
     extra = scores.select("question_id", "doc_id", "bm25", F.lit(0.0).alias("bonus"))
     if bonus is not None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -17,7 +17,9 @@ from keyweave.operators.filters import apply_filters, resolve_column, shape_json
 from keyweave.operators.joins import star_join, tag_keys
 from keyweave.operators.quality import dropped_detail, lowest_match, null_stats, stop_signal
 from keyweave.operators.sorting import order_rows
-from keyweave.plans.spec import Source, Spec, SpecError, parse_spec
+from keyweave.plans.spec import Metric, Source, Spec, SpecError, parse_spec
+
+_ROWS = "_rows_of_key"
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,21 @@ def source_frame(source: Source, table: SourceTable, gazetteer: Gazetteer) -> Da
     return aggregate(df, source.named_metrics(), groups)
 
 
+def keyed_rows(source: Source, table: SourceTable, gazetteer: Gazetteer) -> DataFrame:
+    """The aggregated source without its NULL key.
+
+    A raw key is a plain column: its NULL test should reach the scan. For a computed key
+    the pushed test would evaluate the whole normalization a second time for every input
+    row, so the test is tied to a row count, which keeps it above the aggregate, and the key
+    is declared non-NULL so that joins add no test of their own.
+    """
+    if source.key.level == "raw":
+        return source_frame(source, table, gazetteer).where(F.col("k").isNotNull())
+    counted = replace(source, metrics=(*source.named_metrics(), Metric(_ROWS, "count")))
+    df = source_frame(counted, table, gazetteer).where(F.col("k").isNotNull() | (F.col(_ROWS) < 0))
+    return df.withColumn("k", F.coalesce("k", F.lit(""))).drop(_ROWS)
+
+
 def finite_columns(df: DataFrame) -> DataFrame:
     """Replace NaN and infinities by NULL in every floating-point column."""
     floating = (T.DoubleType, T.FloatType)
@@ -59,6 +76,7 @@ class RunResult:
     spec: Spec
     tables: tuple[SourceTable, ...]
     keyed: tuple[DataFrame, ...]
+    gazetteer: Gazetteer
 
     @property
     def aliases(self) -> list[str]:
@@ -68,9 +86,11 @@ class RunResult:
     def unlimited(self) -> DataFrame:
         """The whole result before ordering, limit and NaN cleaning."""
         if len(self.keyed) > 1:
-            return star_join(list(self.keyed), self.spec.join)
-        only = self.keyed[0]
-        return only.where(F.col("k").isNotNull()) if self.spec.sources[0].key else only
+            return star_join([self._without_null(i) for i in range(len(self.keyed))], self.spec.join)
+        return self._without_null(0) if self.spec.sources[0].key else self.keyed[0]
+
+    def _without_null(self, position: int) -> DataFrame:
+        return keyed_rows(self.spec.sources[position], self.tables[position], self.gazetteer)
 
     def rows(self, orders: bool = True, limit: int | None = None) -> DataFrame:
         df = self.unlimited
@@ -122,9 +142,8 @@ class RunResult:
 
 
 def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Put two global aggregates (one row each) side by side."""
-    one = F.lit(1)
-    return left.withColumn("_one", one).join(right.withColumn("_one", one), "_one").drop("_one")
+    """Put a global aggregate (one row) next to every row, as scalar subqueries."""
+    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
 
 
 def run_spec(raw: Mapping | Spec, tables: Mapping[str, SourceTable], gazetteer: Gazetteer | None = None) -> RunResult:
@@ -136,4 +155,4 @@ def run_spec(raw: Mapping | Spec, tables: Mapping[str, SourceTable], gazetteer:
         raise SpecError(f"unknown dataset {missing[0]}")
     used = tuple(tables[s.dataset_id] for s in spec.sources)
     keyed = tuple(source_frame(s, t, gazetteer) for s, t in zip(spec.sources, used))
-    return RunResult(spec, used, keyed)
+    return RunResult(spec, used, keyed, gazetteer)

@@ -54,7 +54,7 @@ _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+|[가-힣]+')"
 )
 def sea_tokens(spark, folder):
     text = F.concat("text", F.lit(" "), F.expr(town("doc_id")), F.lit("시청 2024"))
-    words = read(spark, folder, "documents").select("doc_id", F.explode(tokens(text)).alias("term"))
+    words = read(spark, folder, "documents", spread=True).select("doc_id", F.explode(tokens(text)).alias("term"))
     per_document = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_document.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
 
@@ -124,7 +124,7 @@ def questions(spark, folder):
 
 
 def index_of(spark, folder):
-    return search.build_index(read(spark, folder, "documents").select("doc_id", "text"))
+    return search.build_index(read(spark, folder, "documents", spread=True).select("doc_id", "text"))
 
 
 @query(

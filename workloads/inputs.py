@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave import Gazetteer, SourceTable
+from keyweave.sources.tables import read_table
 
 GAZETTEER = Gazetteer()
 
@@ -20,8 +21,8 @@ CODES = (
 TOWNS = "금호읍,오천읍,풍산읍,장량동,화북면"
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet", spread)
 
 
 def pick(words: str, number: str, count: int) -> str:
@@ -89,7 +90,7 @@ def suppliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "orders").select("*", F.expr(address("o_orderkey")).alias("o_address"))
+    return read(spark, folder, "orders", spread=True).select("*", F.expr(address("o_orderkey")).alias("o_address"))
 
 
 # The same derived tables for the SQL side; *_city and *_town are the expected keys.
