@@ -269,15 +269,16 @@ _ENTRIES = f"""ops as (select 'd' || (n_nationkey % 5) as dataset_id, n_nationke
   meta as (select dataset_id || '_' || op as table_id, * from ops
     union all select dataset_id, * from ops where position < 5),
   loaded as (select {_TABLE_ID} as dataset_id, count(*) as rows,
-      count(*) filter (where c_balance <> '') as filled, max(c_address) as any_address from {CUSTOMERS} group by 1),
-  entries as (select l.dataset_id, rows, coalesce(m.dataset_id, l.dataset_id) as parent_dataset_id, title, category, home,
+      case when avg(regexp_full_match(c_balance, '-?[0-9,]+(\\.[0-9]+)?')::int) filter (where c_balance <> '') > 0.9
+        then 'numeric' else 'text' end as balance_role from {CUSTOMERS} group by 1),
+  entries as (select l.dataset_id, rows, balance_role, coalesce(m.dataset_id, l.dataset_id) as parent_dataset_id, title, category, home,
       even, n_name from loaded l left join meta m on l.dataset_id = m.table_id)"""
 
 
 @query(
     "pro_catalog",
     f"""with {_ENTRIES} select dataset_id, rows, parent_dataset_id, title, category, home as default_region,
-          'c_address;c_balance;c_rich;c_since' as columns, 'region_name;text;text;year' as roles from entries""",
+          'c_address;c_balance;c_rich;c_since' as columns, 'region_name;' || balance_role || ';text;year' as roles from entries""",
 )
 def pro_catalog(spark, folder):
     return entries(spark, folder).select(
