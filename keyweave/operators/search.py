@@ -87,21 +87,19 @@ class SearchIndex:
 def build_index(documents: DataFrame) -> SearchIndex:
     """Index the whole texts of ``documents (doc_id, text)``.
 
-    The counted postings are stored once; lengths, frequencies and totals come from them.
+    A document is tokenized once; its length travels with its terms, so the stored postings
+    need no join, and frequencies and totals come from them.
     """
-    words = documents.select("doc_id", F.explode_outer(tokens("text")).alias("term"))
-    counted = cut_lineage(
-        words.groupBy("doc_id", "term").agg(F.when(F.col("term").isNotNull(), F.count(F.lit(1))).otherwise(0).alias("tf"))
+    bags = documents.select("doc_id", tokens("text").alias("bag")).select("doc_id", "bag", F.size("bag").alias("length"))
+    postings = cut_lineage(
+        bags.select("doc_id", "length", F.explode("bag").alias("term"))
+        .groupBy("term", "doc_id", "length")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
-    lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    counted = documents.agg(F.count(F.lit(1)).alias("documents"))
+    words = postings.agg(F.sum("tf").alias("words"))
     totals = cut_lineage(
-        lengths.agg(
-            F.count(F.lit(1)).alias("documents"), (F.sum("length") / F.count(F.lit(1))).alias("mean_length")
-        )
-    )
-    # postings of one document stay in one file, so a question's partial sums are complete per task
-    postings = cut_lineage(
-        counted.where("term is not null").join(lengths, "doc_id").select("term", "doc_id", "tf", "length")
+        beside(counted, words).select("documents", (F.col("words") / F.col("documents")).alias("mean_length"))
     )
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)

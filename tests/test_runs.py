@@ -131,3 +131,26 @@ def test_filters_reach_the_scan(spark, tmp_path):
     spec = {"sources": [{"alias": "s", "dataset_id": "t", "key": {"column": "a"}, "filters": [{"column": "b", "op": "=", "value": "x"}]}]}
     plan = run_spec(spec, {"t": table}).unlimited._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(b,x)" in plan and "IsNotNull(a)" in plan and "ReadSchema: struct<a:string,b:string>" in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    from keyweave.operators.sorting import top_k_per_group
+
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
+    assert "WindowGroupLimit" in plan_of(top_k_per_group(df, ["g"], [F.col("id").desc()], 2))
+
+
+def test_computed_keys_are_evaluated_once(tables):
+    plan = plan_of(run_spec({"sources": [source("a", "left", "n"), source("b", "right", "m")]}, tables).unlimited)
+    scans = [line for line in plan.splitlines() if "regexp_extract" in line]
+    assert len(scans) == 2 and not any("Filter" in line for line in scans)
+
+
+def test_one_row_tables_are_subqueries(tables):
+    run = run_spec({"sources": [source("a", "left", "n"), source("b", "right", "m")]}, tables)
+    plan = plan_of(run.gate())
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

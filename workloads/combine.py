@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keyweave import run_spec
-from keyweave.operators.joins import star_join, tag_keys
+from keyweave import SourceTable, run_spec
+from keyweave.operators.joins import tag_keys
 from keyweave.operators.sets import distinct_keys, intersect_keys, keys_outside, symmetric_difference, union_best
 from keyweave.operators.sorting import order_rows, top_k_per_group
 from keyweave.operators.quality import dropped_detail
@@ -122,8 +123,6 @@ def join_levels(spark, folder):
     named = suppliers(spark, folder).select(
         F.when(F.col("s_suppkey") % 2 == 0, GAZETTEER.city("s_address")).otherwise(F.col("s_address")).alias("s_place")
     )
-    from keyweave import SourceTable
-
     used = {**tables(spark, folder), "places": SourceTable(named)}
     return run_spec({"sources": [CUSTOMER_CITY, counted("s", "places", "s_place", "raw", "named")]}, used).unlimited
 
@@ -215,8 +214,6 @@ def srt_order_by(spark, folder):
 
 def ranked(ordered, columns):
     """Positions of globally sorted rows, computed per partition plus the rows before it."""
-    from pyspark.sql import Window
-
     local = ordered.select(*columns, F.monotonically_increasing_id().alias("_at")).withColumn(
         "_part", F.shiftright("_at", 33)
     )

@@ -8,6 +8,7 @@ from keyweave import run_spec
 from keyweave.functions.casts import clean, finite_or_null
 from keyweave.operators.aggregates import conditional_percent
 from keyweave.operators.filters import apply_filters, filter_result, shape_json
+from keyweave.operators.graph import keys_by_level
 from keyweave.operators.quality import null_stats
 from keyweave.plans.runner import one_row_join
 from keyweave.plans.spec import Filter
@@ -16,7 +17,6 @@ from workloads.inputs import (
     GAZETTEER,
     NATIONS,
     ORDERS,
-    SUPPLIERS,
     address,
     city_of,
     customers,
@@ -26,7 +26,6 @@ from workloads.inputs import (
     read,
     sql_double,
     sql_metric,
-    suppliers,
     tables,
     town,
     town_of,
@@ -269,9 +268,9 @@ def key_question_region(spark, folder):
         union all select 'emd', c_town from {CUSTOMERS} where c_town is not null group by all""",
 )
 def key_distinct_long(spark, folder):
-    from keyweave.operators.graph import keys_by_level
-
-    long = customers(spark, folder).select(F.lit("customer").alias("dataset_id"), F.lit("c_address").alias("column"), F.col("c_address").alias("value"))
+    long = customers(spark, folder).select(
+        F.lit("customer").alias("dataset_id"), F.lit("c_address").alias("column"), F.col("c_address").alias("value")
+    )
     return keys_by_level(long, GAZETTEER).select("level", "k").distinct()
 
 

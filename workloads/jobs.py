@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from keyweave import SourceTable, run_spec
 from keyweave.operators import graph
+from keyweave.plans.runner import one_row_join
 from keyweave.plans.stored import run_stored, stage_report
 from keyweave.plans.suggest import join_jobs, recommended_sets, single_jobs, suggested_metrics
 from workloads.combine import _CN, _SP, LEFT_SPEC, RICH_SUPPLIERS, counted
@@ -129,10 +133,6 @@ STORED = {
         where starts_with(n_path, 'ASIA|') group by n_path""",
 )
 def job_stored_run(spark, folder):
-    import json
-
-    from keyweave.plans.runner import one_row_join
-
     run = run_stored(json.dumps(STORED), {"request": {"filters": {"place": ["ASIA"]}}}, tables(spark, folder), GAZETTEER)
     return one_row_join(run.rows, run.signal.select("reason"))
 
@@ -206,8 +206,6 @@ def job_golden_sums(spark, folder):
         left join {_SP.replace('cast(s_nationkey as varchar)', place('s_nationkey'))} s on c.k = s.k where c.k is not null""",
 )
 def job_golden_coalesce(spark, folder):
-    from keyweave import SourceTable, run_spec
-
     named = tables(spark, folder)
     rich = named["supplier"].df.withColumn("s_home", F.expr(place("s_nationkey")))
     segment = counted("c", "customer", "c_address", "sgg", "customers", filters=[{"column": "c_mktsegment", "op": "like", "value": "B%"}])

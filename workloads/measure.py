@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyweave.functions.roles import role_by_name
@@ -17,8 +18,8 @@ from workloads.inputs import (
     customers,
     orders,
     read,
+    place,
     suppliers,
-    town_of,
 )
 from workloads.registry import query
 
@@ -210,22 +211,9 @@ def operations(spark, folder):
 
 
 def _place_of_nation() -> str:
-    from workloads.inputs import place
-
     return place("n_nationkey")
 
 
-def definitions(spark, folder):
-    """Column descriptions of some services, spelled in different ways."""
-    nation = read(spark, folder, "nation")
-    item = F.expr(
-        "case n_nationkey % 4 when 0 then 'c_address' when 1 then 'C BALANCE' when 2 then 'c rich' else 'Since' end"
-    )
-    return nation.select(
-        F.concat(F.lit("d"), F.col("n_nationkey") % 5).alias("service"), item.alias("item"), F.col("n_name").alias("desc")
-    )
-
-
 _DEFINED = """(select case when n_nationkey % 2 = 0 then 'd' || (n_nationkey % 5) || '_getNATION' || n_nationkey
     when n_nationkey < 5 then 'd' || n_nationkey else 'u' || n_nationkey end as dataset_id,
     case n_nationkey % 5 when 0 then 'c_address' when 1 then 'C_BALANCE' when 2 then 'c rich' when 3 then 'Since'
@@ -355,7 +343,7 @@ PAIRS = f"""{KEYS}, met as (select x.level, x.dataset_id as a, y.dataset_id as b
 
 def chosen_keys(spark, folder):
     """Keys of the best column of every dataset and level."""
-    keys = graph.keys_by_level(place_values(spark, folder), GAZETTEER).distinct()
+    keys = cut_lineage(graph.keys_by_level(place_values(spark, folder), GAZETTEER).distinct())
     best = graph.best_key_columns(keys)
     return keys.join(best, ["dataset_id", "level", "column"]).select("level", "dataset_id", "k")
 
@@ -368,7 +356,7 @@ def datasets(keys):
 
 
 def measured(spark, folder):
-    keys = chosen_keys(spark, folder)
+    keys = cut_lineage(chosen_keys(spark, folder))
     return graph.measure_pairs(keys, datasets(keys))
 
 
@@ -588,8 +576,6 @@ _LINKS = """links as (select l_orderkey as workflow_id, row_number() over (parti
 
 
 def links(spark, folder):
-    from pyspark.sql import Window
-
     in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return read(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("workflow_id"),
