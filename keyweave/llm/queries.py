@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import byte_bpe, exact_dedup, token_count
+from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, packing, token_count
 from keyweave.llm.common import documents
 
 
@@ -31,6 +31,18 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, folder))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, folder))
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), _vocabulary("word_bpe_49k.json"))
+
+
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
 def op10_token_count(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return token_count.count_tokens(docs, _vocabulary("byte_bpe_50k.json"), _pattern(), limit=1024)
@@ -39,6 +51,9 @@ def op10_token_count(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_packing": op8_packing,
+    "op9_licenses": op9_licenses,
     "op10_token_count": op10_token_count,
 }
 
