@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, packing, token_count
+from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, packing, quality, token_count, toxicity
 from keyweave.llm.common import documents
 
 
@@ -22,6 +22,18 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.score(docs, toxicity.learn(docs, labels))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.sample(docs, quality.learn(docs, labels))
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return byte_bpe.round_trip(docs, _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
@@ -49,6 +61,8 @@ def op10_token_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_fingerprints": op7_fingerprints,
