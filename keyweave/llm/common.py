@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
     if batch.num_rows == 0:
         return
     sizes = np.asarray(
-        pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64
+        pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64
     )
     run = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]

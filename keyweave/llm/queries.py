@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, packing, quality, token_count, toxicity
+from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, minhash, packing, quality, token_count, toxicity
 from keyweave.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.sample(docs, quality.learn(docs, labels))
 
 
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.classes(documents(spark, folder))
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return byte_bpe.round_trip(docs, _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
@@ -63,6 +67,7 @@ def op10_token_count(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality": op3_quality,
+    "op4_minhash": op4_minhash,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_fingerprints": op7_fingerprints,

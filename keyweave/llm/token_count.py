@@ -22,6 +22,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,9 +229,9 @@ def _tasks(path: str, pattern: str, limit: int) -> Callable[[Iterator[pa.RecordB
         own = counter(path, pattern)
         for batch in batches:
             counts = pa.array(map(own.count_text, texts_of(batch.column("text"))), pa.int64())
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), sizes.cast(pa.int64()), counts, pa.compute.greater(counts, limit)],
+                [batch.column("doc_id"), sizes.cast(pa.int64()), counts, pc.greater(counts, limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
