@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, minhash, packing, quality, token_count, toxicity
+from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, line_dedup, minhash, packing, quality, token_count, toxicity
 from keyweave.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, labels))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(documents(spark, folder))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -66,6 +70,7 @@ def op10_token_count(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_minhash": op4_minhash,
     "op5_byte_bpe": op5_byte_bpe,
