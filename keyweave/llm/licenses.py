@@ -93,7 +93,7 @@ TEMPLATES = {
 }
 
 RARE_WORDS = 12
-LEAST_WEIGHT = 0.2
+LEAST_WEIGHT = 0.1
 
 # All bytes of words stand for themselves, A-Z in lower case, other bytes for a space.
 WORD_BYTES = bytes(

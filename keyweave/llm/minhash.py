@@ -17,8 +17,8 @@ similarity. So no pair of a bucket is lost that could join two components.
 
 Definitions: words are runs of letters, digits and underscores in lower case; a null text counts as empty; a text
 of fewer words than a shingle is one shingle, and texts without words are copies of each other only if
-equal; rows without a doc_id have no class and stay; rows of one doc_id share a class; the row of the
-least doc_id of a class stays; an empty table gives an empty result. ``deduplicate`` carries all columns.
+equal; rows without a doc_id have no class and stay; rows of one doc_id share a class and count as one; those of
+the least doc_id of a class stay; an empty table gives an empty result. ``deduplicate`` carries all columns.
 """
 
 from __future__ import annotations
@@ -301,11 +301,7 @@ def classes(docs: DataFrame) -> DataFrame:
     label = cut_lineage(
         components(copies.unionByName(found.select(F.col("id").alias("a"), F.col("label").alias("b"))))
     )
-    sizes = (
-        rows.select("doc_id").join(label, rows["doc_id"] == label["id"]).groupBy("label").agg(
-            F.count(F.lit(1)).alias("class_size")
-        )
-    )
+    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"))
     known = label.join(sizes, "label")
     return rows.select("doc_id").join(known, rows["doc_id"] == known["id"], "left").select(
         "doc_id",

@@ -278,6 +278,7 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> tuple[lis
         .collect()
     )
     chosen: dict[str, float] = {}
+    within: dict[str, int] = {}  # for each beginning of a chosen term its most toxic documents
     for row in ranked:
         term = row["term"]
         body = term.rstrip("*")
@@ -285,6 +286,10 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> tuple[lis
             break
         if any(body[:k] + "*" in chosen for k in range(4, len(body) + 1)) or body in chosen:
             continue  # a chosen stem holds it
+        if term.endswith("*") and row["toxic"] <= 1.05 * within.get(body, 0):
+            continue  # it holds hardly more than a longer chosen term
+        for k in range(4, len(body) + 1):
+            within[body[:k]] = max(within.get(body[:k], 0), row["toxic"])
         chosen[term] = math.log((row["toxic"] + 0.5) / (toxic_rows + 1)) - math.log(
             (row["clean"] + 0.5) / (clean_rows + 1)
         )
