@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,25 +46,39 @@ def predicate(df: DataFrame, item: Filter) -> Column:
     column, value = F.col(f"`{name}`"), item.value
     numeric = _is_number(df, name)
     if item.op in _COMPARE:
-        return _COMPARE[item.op](column if numeric else strict_double(column), F.lit(float(value)))
+        return _COMPARE[item.op](column, _literal(_number(value))) if numeric else _COMPARE[item.op](strict_double(column), F.lit(float(value)))
     if item.op == "like":
         return column.cast("string").like(like_pattern(str(value)))
     if item.op == "in":
         values = value if isinstance(value, tuple) else (str(value),)
         wanted = [_number(v) for v in values] if numeric else list(values)
-        return column.isin([v for v in wanted if v is not None])
+        return column.isin([_literal(v) for v in wanted if v is not None])
     wanted = _number(value) if numeric else str(value)
     if wanted is None:
         return F.lit(False) if item.op == "=" else column.isNotNull()
-    return column == F.lit(wanted) if item.op == "=" else column != F.lit(wanted)
+    return column == _literal(wanted) if item.op == "=" else column != _literal(wanted)
 
 
-def _number(value: object) -> int | float | None:
+def _number(value: object) -> int | Decimal | float | None:
+    """A number as it is written: whole numbers and decimals stay exact."""
+    text = str(value).strip()
     try:
-        number = float(value)  # type: ignore[arg-type]
-    except (TypeError, ValueError):
+        number = Decimal(text)
+    except InvalidOperation:
         return None
-    return int(number) if number.is_integer() else number
+    if not number.is_finite():
+        return float(text)
+    if number == number.to_integral_value() and number.adjusted() < 38:
+        return int(number)
+    exponent = number.as_tuple().exponent
+    return number if number.adjusted() < 38 and -38 < exponent and number.adjusted() - exponent < 38 else float(text)
+
+
+def _literal(value: object) -> Column:
+    """A literal; whole numbers beyond 64 bits as decimals."""
+    if isinstance(value, int) and not isinstance(value, bool) and not -(1 << 63) <= value < 1 << 63:
+        value = Decimal(value)
+    return F.lit(value)
 
 
 def apply_filters(df: DataFrame, filters: tuple[Filter, ...]) -> DataFrame:

@@ -388,12 +388,12 @@ def _choose(choices: pd.Series, links: pd.Series, prefer: pd.Series) -> pd.Serie
 
 
 def structure_edges(entries: DataFrame) -> DataFrame:
-    """Edges from datasets to their topic, keywords (first ten) and columns."""
+    """Edges from datasets to their topic, keywords and columns."""
     subject = F.concat(F.lit("ds:"), "dataset_id")
     topics = entries.where(F.col("category") != "").select(
         subject.alias("s"), F.lit("topic_of").alias("p"), F.concat(F.lit("topic:"), "category").alias("o")
     )
-    tags = entries.select(subject.alias("s"), F.explode(F.slice("keywords", 1, 10)).alias("kw")).select(
+    tags = entries.select(subject.alias("s"), F.explode("keywords").alias("kw")).select(
         "s", F.lit("tagged").alias("p"), F.concat(F.lit("kw:"), "kw").alias("o")
     )
     columns = entries.select(subject.alias("s"), "dataset_id", F.explode("columns").alias("c")).select(

@@ -141,7 +141,7 @@ def dataset_ids(operations: DataFrame) -> DataFrame:
     ``operations`` holds ``(dataset_id, position, operation, ...)``; every operation claims
     ``dataset_operation`` (the last one wins) and the first of a dataset its bare id.
     """
-    operation_id = F.substring(F.regexp_replace("operation", "[^A-Za-z0-9]", ""), 1, 40)
+    operation_id = F.regexp_replace("operation", "[^A-Za-z0-9]", "")
     named = operations.withColumn("table_id", F.concat_ws("_", "dataset_id", operation_id))
     last = top_k_per_group(named, ["table_id"], [F.col("position").desc()], 1).drop("rank")
     first = top_k_per_group(operations, ["dataset_id"], [F.col("position").asc()], 1).drop("rank")
@@ -228,7 +228,7 @@ def service_totals(entries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dataset_cards(entries: DataFrame, edges: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Summary of every dataset: sizes, leading columns, joinable count, close neighbours."""
+    """Summary of every dataset: sizes, columns by role, joinable count, close neighbours."""
     joinable = edges.groupBy(F.col("a").alias("dataset_id")).agg(F.count(F.lit(1)).alias("joinable_count"))
     near = neighbours.groupBy(F.col("a").alias("dataset_id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "other", "level", "match_rate"))).alias("neighbours")
@@ -240,8 +240,8 @@ def dataset_cards(entries: DataFrame, edges: DataFrame, neighbours: DataFrame) -
             "dataset_id",
             "rows",
             F.size("columns").alias("n_columns"),
-            F.slice("time_columns", 1, 3).alias("time_columns"),
-            F.slice("numeric_columns", 1, 8).alias("numeric_columns"),
+            "time_columns",
+            "numeric_columns",
             F.coalesce("joinable_count", F.lit(0)).alias("joinable_count"),
             "columns",
             F.coalesce(F.col("neighbours.other"), F.array().cast("array<string>")).alias("neighbours"),

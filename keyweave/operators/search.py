@@ -46,7 +46,7 @@ QUESTION_BLOCK = 4_000
 def dataset_text(entries: DataFrame) -> DataFrame:
     """One search document per dataset from its metadata; rows are never indexed."""
     columns = F.transform(
-        F.slice("columns", 1, 60),
+        "columns",
         lambda c: F.when(c["desc"] != "", F.concat(c["name"], F.lit("("), c["desc"], F.lit(")"))).otherwise(c["name"]),
     )
     parts = [
@@ -54,8 +54,8 @@ def dataset_text(entries: DataFrame) -> DataFrame:
         F.col("operation"),
         F.col("category"),
         F.col("provider"),
-        F.array_join(F.slice("keywords", 1, 15), ", "),
-        F.substring("description", 1, 600),
+        F.array_join("keywords", ", "),
+        F.col("description"),
         F.array_join(columns, "; "),
     ]
     filled = F.filter(F.array(*parts), lambda p: p != "")

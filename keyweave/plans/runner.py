@@ -92,13 +92,19 @@ class RunResult:
     def _without_null(self, position: int) -> DataFrame:
         return keyed_rows(self.spec.sources[position], self.tables[position], self.gazetteer)
 
-    def rows(self, orders: bool = True, limit: int | None = None) -> DataFrame:
-        df = self.unlimited
+    def rows(self, df: DataFrame | None = None) -> DataFrame:
+        """Rows of the whole result (or of a selection of them) in order, up to the limit if there is one.
+
+        A limited result is always ordered, by the key where the spec names nothing else.
+        """
+        df = self.unlimited if df is None else df
         by_row = [c for c in ("key", "k") if c in df.columns]
         by_row += [g for s in self.spec.sources if not s.is_raw_select for g in s.group_by if g in df.columns]
-        if orders and self.spec.order_by:
+        if self.spec.limit is not None and not self.spec.order_by and not by_row:
+            raise SpecError("a limit on rows without a key needs order_by")
+        if self.spec.order_by or self.spec.limit is not None:
             df = order_rows(df, self.spec.order_by, by_row)
-        return finite_columns(df.limit(limit or self.spec.limit))
+        return finite_columns(df if self.spec.limit is None else df.limit(self.spec.limit))
 
     @cached_property
     def result(self) -> DataFrame:
@@ -109,7 +115,7 @@ class RunResult:
     def stats(self) -> DataFrame:
         """One row: rows returned (after the limit) and null rate of the whole result."""
         whole = null_stats(self.unlimited)
-        shown = F.least(F.col("row_count"), F.lit(self.spec.limit)).cast("bigint")
+        shown = F.col("row_count") if self.spec.limit is None else F.least("row_count", F.lit(self.spec.limit).cast("bigint"))
         return whole.withColumn("full_row_count", F.col("row_count")).withColumn("row_count", shown)
 
     @cached_property

@@ -16,8 +16,6 @@ OPERATORS = ("=", "!=", ">", "<", ">=", "<=", "like", "in")
 AGGREGATES = ("count", "sum", "avg", "min", "max", "count_distinct", "count_if")
 JOINS = ("inner", "left")
 MAX_SOURCES = 4
-DEFAULT_LIMIT = 100
-MAX_LIMIT = 1000
 
 
 class SpecError(ValueError):
@@ -101,7 +99,7 @@ class Spec:
     sources: tuple[Source, ...]
     join: str = "inner"
     order_by: tuple[Order, ...] = ()
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = None
 
     @property
     def output_columns(self) -> list[str]:
@@ -196,9 +194,9 @@ def parse_spec(raw: object) -> Spec:
     aliases = [source.alias for source in sources]
     if len(set(aliases)) < len(aliases):
         raise SpecError("source aliases must differ")
-    limit = item.get("limit", DEFAULT_LIMIT)
-    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_LIMIT:
-        raise SpecError(f"limit must be a whole number from 1 to {MAX_LIMIT}")
+    limit = item.get("limit")
+    if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
+        raise SpecError("limit must be a whole number from 1, or none for all rows")
     orders = []
     for raw_order in _items(item.get("order_by"), "order_by"):
         order = _record(raw_order, "order")

@@ -13,7 +13,7 @@ from keyweave.functions.keys import Gazetteer
 from keyweave.operators.filters import filter_result, shape_json
 from keyweave.operators.quality import null_stats
 from keyweave.plans.runner import RunResult, SourceTable, one_row_join, run_spec
-from keyweave.plans.spec import MAX_LIMIT, Spec, SpecError, parse_spec
+from keyweave.plans.spec import Spec, SpecError, parse_spec
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,9 @@ def run_stored(
     rows = run.result
     stats = run.stats
     if "filters" in request:
-        rows = filter_result(rows, filters, schema)
-        stats = null_stats(rows)
+        selected = filter_result(run.unlimited, filters, schema)  # before the limit, or rows that exist are missed
+        rows = run.rows(selected)
+        stats = null_stats(selected)
     signal = run.gate(stats=stats)
     if schema is not None:
         rows = shape_json(rows, schema)
@@ -86,9 +87,9 @@ def stage_report(raw: Mapping | Spec, tables: Mapping[str, SourceTable], gazette
     the operation's verdict and adds order and limit. A stage after a stopped one is skipped.
     """
     spec = raw if isinstance(raw, Spec) else parse_spec(raw)
-    whole = run_spec(replace(spec, order_by=(), limit=MAX_LIMIT), tables, gazetteer)
+    whole = run_spec(replace(spec, order_by=(), limit=None), tables, gazetteer)
     sources = [
-        run_spec(Spec((source,), limit=spec.limit), tables, gazetteer) for source in spec.sources
+        run_spec(Spec((source,)), tables, gazetteer) for source in spec.sources
     ]
     rows = [
         _stage(run, position, "source", source.alias, run.gate())

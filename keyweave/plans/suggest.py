@@ -27,10 +27,6 @@ AVERAGED = (
 )
 TEMPERATURES = r"(?i)max_?temperature|temperature|tmprt|기온|온도"
 
-METRIC_NAME_LENGTH = 40
-RAW_COLUMNS = 12
-JOIN_LIMIT = 100
-RAW_LIMIT = 200
 
 
 def _is_measure(name: Column) -> Column:
@@ -54,10 +50,10 @@ def suggested_metrics(columns: DataFrame, alias: Column, about_heat: Column | No
         F.col("column_pos").asc(),
     ]
     first_measure = top_k_per_group(measured, ["dataset_id"], order, 1)
-    agg = F.when(name.rlike("|".join(AVERAGED)), "avg").otherwise("sum")
+    agg = F.when(name.rlike(f"(?i)(?:{'|'.join(AVERAGED)})"), "avg").otherwise("sum")
 
     def named(*parts: Column) -> Column:
-        return F.substring(F.concat_ws("_", alias, *parts), 1, METRIC_NAME_LENGTH)
+        return F.concat_ws("_", alias, *parts)
 
     def metric(df: DataFrame, pos: int, title: Column, agg_: Column, column: Column, value: Column) -> DataFrame:
         return df.select(
@@ -99,7 +95,7 @@ def single_jobs(requests: DataFrame, entries: DataFrame) -> DataFrame:
     )
     level = F.when(drill, F.when(town.isNotNull(), "emd").otherwise("sgg")).otherwise(usual)
     stem = F.expr("substring(region, 1, length(region) - 1)")
-    raw = F.slice(F.filter(F.col("columns.name"), lambda c: ~c.isin(*BOOKKEEPING)), 1, RAW_COLUMNS)
+    raw = F.filter(F.col("columns.name"), lambda c: ~c.isin(*BOOKKEEPING))
     joined = requests.join(entries.select("dataset_id", "region_keys", "default_region", "columns"), "dataset_id")
     return joined.withColumn("level", level).select(
         "request_id",
@@ -109,7 +105,6 @@ def single_jobs(requests: DataFrame, entries: DataFrame) -> DataFrame:
         F.when(drill, city).alias("filter_column"),
         F.when(drill, F.concat(F.lit("%"), stem, F.lit("%"))).alias("filter_like"),
         F.when(F.col("level").isNull(), raw).alias("raw_columns"),
-        F.when(F.col("level").isNull(), RAW_LIMIT).otherwise(JOIN_LIMIT).alias("limit"),
     )
 
 

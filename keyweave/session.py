@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,10 +42,18 @@ def build_session(
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; one under the temporary folder only where none is set."""
+    """The shared folder named by the cluster.
+
+    Where none is named, a local master uses its machine's temporary folder; on a cluster that folder
+    isn't shared, so this raises.
+    """
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), f"keyweave-{context.applicationId}")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^-].*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"keyweave-{context.applicationId}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ NO_SAMPLE = ("-", "없음")
 
 # Response fields of the envelope that are no data (fixed values).
 ENVELOPE_FIELDS = ("resultCode", "resultMsg", "numOfRows", "pageNo", "totalCount")
-CANDIDATES_CHECKED = 6
-OPERATION_ID_LENGTH = 40
 
 
 def endpoint_path(url: Column | str) -> Column:
@@ -40,7 +38,7 @@ def match_pages(endpoints: DataFrame, candidates: DataFrame) -> DataFrame:
     """The description page of every endpoint and how it was recognised.
 
     ``endpoints`` ``(endpoint_id, org, name, url)``; ``candidates`` ``(endpoint_id, position, page_id,
-    title, host, request_url)``. The six candidates with the closest titles are checked: the first
+    title, host, request_url)``. Candidates are checked in order of their titles: the first
     whose address fits is a ``host`` match, else the first whose title holds the name a
     ``title`` match.
     """
@@ -55,7 +53,6 @@ def match_pages(endpoints: DataFrame, candidates: DataFrame) -> DataFrame:
         {"_titled": F.contains(title, F.col("_name")), "_by_org": F.contains(title, F.col("_org"))}
     )
     order = [F.col("_titled").desc(), F.col("_by_org").desc(), F.col("position").asc()]
-    checked = top_k_per_group(joined, ["endpoint_id"], order, CANDIDATES_CHECKED, "_at")
     host = F.lower(F.coalesce("host", F.lit("")))
     request = F.coalesce(endpoint_path("request_url"), F.lit(""))
     service = F.substring_index("_target", "/", -1)
@@ -66,8 +63,8 @@ def match_pages(endpoints: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     titled = (F.col("_name") != "") & F.col("_titled")
     kind = F.when(fits, 0).when(titled, 1)
-    best = checked.withColumn("_kind", kind).where(F.col("_kind").isNotNull())
-    chosen = top_k_per_group(best, ["endpoint_id"], [F.col("_kind").asc(), F.col("_at").asc()], 1)
+    best = joined.withColumn("_kind", kind).where(F.col("_kind").isNotNull())
+    chosen = top_k_per_group(best, ["endpoint_id"], [F.col("_kind").asc(), *order], 1)
     found = chosen.select("endpoint_id", "page_id", F.when(F.col("_kind") == 0, "host").otherwise("title").alias("_match"))
     is_address = strip("url").startswith("http")
     return endpoints.join(found, "endpoint_id", "left").select(
@@ -77,6 +74,11 @@ def match_pages(endpoints: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def operation_key(operation: Column | str) -> Column:
+    """The letters and digits of an operation's name, whole, so that different names differ."""
+    return F.regexp_replace(as_column(operation), "[^A-Za-z0-9]", "")
+
+
 def match_summary(matches: DataFrame) -> DataFrame:
     """How many endpoints were recognised in each way."""
     return matches.groupBy("match").agg(F.count(F.lit(1)).alias("endpoints"))
@@ -109,11 +111,7 @@ def listable_operations(services: DataFrame) -> DataFrame:
     listed = services.where(trusted & (F.coalesce("host", F.lit("")) != "")).withColumn("ops", F.filter("operations", usable))
     exploded = listed.select("dataset_id", "host", F.size("ops").alias("_n"), F.explode("ops").alias("op"))
     base = F.filter("op.params", lambda p: ~free(p))
-    identity = F.substring(
-        F.regexp_replace(F.coalesce(F.nullif("op.operation_id", F.lit("")), F.col("op.path")), "[^A-Za-z0-9]", ""),
-        1,
-        OPERATION_ID_LENGTH,
-    )
+    identity = operation_key(F.coalesce(F.nullif("op.operation_id", F.lit("")), F.col("op.path")))
     url = F.coalesce(
         F.nullif("op.full_url", F.lit("")), F.concat(F.lit("https://"), F.rtrim(F.col("host"), F.lit("/")), F.col("op.path"))
     )

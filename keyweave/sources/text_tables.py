@@ -23,7 +23,6 @@ from keyweave.functions.casts import SPACE_CLASS, as_column, strip
 # Encodings in the order they are tried (fixed values).
 ENCODINGS = ("utf-8-sig", "cp949", "utf-8", "euc-kr")
 _CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR"}
-ERROR_LENGTH = 200
 _BROKEN = "_broken_row"
 
 
@@ -211,7 +210,7 @@ def _load(spark: SparkSession, path: str, row, names: list[str], target: str) ->
         text.write.mode("overwrite").parquet(out)
         return LoadedTable(identity, path, row.encoding, tuple(text.columns), spark.read.parquet(out))
     except Exception as error:  # noqa: BLE001
-        return LoadedTable(identity, path, error=str(error)[:ERROR_LENGTH])
+        return LoadedTable(identity, path, error=str(error))
 
 
 def load_report(spark: SparkSession, tables: list[LoadedTable]) -> DataFrame:
@@ -234,37 +233,48 @@ def load_report(spark: SparkSession, tables: list[LoadedTable]) -> DataFrame:
 # Header words of column-definition files (fixed values).
 NAME_WORDS = "항목명|컬럼명|필드명"
 DESCRIPTION_WORDS = "설명|정의|내용|한글"
-DESCRIPTION_LENGTH = 200
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _cells(contents: pd.Series) -> pd.Series:
+    """The cells of a CSV file, NULL for what isn't one in the expected encoding."""
+
+    def read(content: bytes) -> list | None:
+        try:
+            return list(csv.reader(io.StringIO(bytes(content).decode("cp949"))))
+        except (UnicodeDecodeError, csv.Error):
+            return None
+
+    return contents.map(read)
 
 
 def read_definitions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Column descriptions from definition files: ``(dataset_id, item, desc)``.
 
-    Such a file describes the columns of one dataset, so each is parsed in one task.
+    Such a file describes the columns of one dataset, a row each. The first row with a header word
+    for names is the header (else the first row); names and descriptions stand in the columns it
+    marks, else in the second one and the one after the names. Of rows with one name the last counts.
     """
 
-    def parse(batches):
-        import re
-
-        for batch in batches:
-            found = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows = list(csv.reader(io.StringIO(bytes(content).decode("cp949"))))
-                except (UnicodeDecodeError, csv.Error):
-                    continue
-                rows = [[cell.strip() for cell in row] for row in rows if row]
-                top = next((i for i, row in enumerate(rows[:8]) if re.search(NAME_WORDS, " ".join(row))), 0)
-                head = rows[top] if rows else []
-                item = next((j for j, cell in enumerate(head) if re.search(NAME_WORDS, cell)), 1)
-                desc = next((j for j, cell in enumerate(head) if re.search(DESCRIPTION_WORDS, cell)), item + 1)
-                named = {
-                    row[item]: (row[desc] if desc < len(row) else "")[:DESCRIPTION_LENGTH]
-                    for row in rows[top + 1 :]
-                    if item < len(row) and row[item]
-                }
-                found += [(_identity(path), name, text) for name, text in named.items()]
-            yield pd.DataFrame(found, columns=["dataset_id", "item", "desc"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(parse, "dataset_id string, item string, desc string")
+    def marked(cells: Column, words: str) -> Column:
+        """Where the first cell with one of the words stands, counted from 1; 0 for nowhere."""
+        return F.coalesce(F.array_position(F.transform(cells, lambda c: c.rlike(words)), True), F.lit(0))
+
+    files = spark.read.format("binaryFile").load(paths)
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    rows = F.transform(F.filter(_cells("content"), lambda r: F.size(r) > 0), lambda r: F.transform(r, lambda c: strip(c)))
+    tables = files.select(name.alias("dataset_id"), rows.alias("rows")).where(F.size("rows") > 0)
+    header = F.array_position(F.transform("rows", lambda r: F.exists(r, lambda c: c.rlike(NAME_WORDS))), True)
+    top = tables.withColumn("top", F.greatest(header, F.lit(1)).cast("int"))
+    head = F.element_at("rows", F.col("top"))
+    placed = top.withColumn("at", F.when(marked(head, NAME_WORDS) > 0, marked(head, NAME_WORDS)).otherwise(2))
+    placed = placed.withColumn(
+        "says", F.when(marked(head, DESCRIPTION_WORDS) > 0, marked(head, DESCRIPTION_WORDS)).otherwise(F.col("at") + 1)
+    )
+    below = F.slice("rows", F.col("top") + 1, F.size("rows"))
+    cells = placed.select("dataset_id", "at", "says", F.posexplode(below).alias("pos", "row"))
+    cell = lambda place: F.get("row", (F.col(place) - 1).cast("int"))
+    named = cells.select("dataset_id", "pos", cell("at").alias("item"), F.coalesce(cell("says"), F.lit("")).alias("desc"))
+    return (
+        named.where(F.col("item") != "").groupBy("dataset_id", "item").agg(F.max_by("desc", "pos").alias("desc"))
+    )

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from keyweave.sources import responses, sinks, text_tables
@@ -45,8 +47,8 @@ def test_definitions(spark, tmp_path):
     assert {(r.dataset_id, r.item, r.desc) for r in rows} == {("15", "addr", "주소"), ("15", "cnt", "")}
 
 
-def one(spark, text, batch=True):
-    return spark.createDataFrame([(text,)], "b string").select(responses.read_body("b", batch).alias("r")).first().r
+def one(spark, text):
+    return spark.createDataFrame([(text,)], "b string").select(responses.read_body("b").alias("r")).first().r
 
 
 def test_bodies(spark):
@@ -64,7 +66,47 @@ def test_bodies(spark):
     while "d" in inner:
         inner = inner["d"]
     inner["rows"] = [{"z": 1}]
-    assert one(spark, json.dumps(deep)).records == [] and one(spark, json.dumps(deep), False).records == ['{"z": 1}']
+    assert one(spark, json.dumps(deep)).records == ['{"z": 1}']
+    tied = '{"p": [{"n": 1}, {"n": 2}], "q": {"r": [{"n": 3}, {"n": 4}]}, "total": "many", "x": {"TOTAL": 1.10, "totalcnt": 12}}'
+    assert [json.loads(r)["n"] for r in one(spark, tied).records] == [1, 2]
+    assert one(spark, tied).total == 12
+    assert one(spark, '{"item": {"item": {"x": "1"}, "y": 2}}').records == ['{"x": "1"}']
+    assert one(spark, None).error and one(spark, "{}").records == [] and one(spark, '{"a": NaN}').error
+    exact = one(spark, '[{"big": 1e400, "price": 1.10, "text": "n1.5"}]')
+    assert exact.records == ['{"big": 1e400, "price": 1.10, "text": "n1.5"}']
+
+
+def test_all_landed_pages_stay(spark):
+    rows = [(1, p, [f"{p}-{i}" for i in range(2)], 500, None) for p in range(1, 101)]
+    rows += [(2, p, ["same", "page"], None, None) for p in range(1, 5)] + [(2, 5, [], None, "99:busy"), (2, 6, ["late"], None, None)]
+    pages = spark.createDataFrame(rows, "job int, page int, records array<string>, total long, error string")
+    records, jobs = responses.assemble_pages(pages)
+    found = {r.job: r for r in jobs.collect()}
+    assert found[1].rows == 200 and found[1].complete is False and records.where("job = 1").count() == 200
+    assert (found[2].rows, found[2].repeated_pages, found[2].failed_pages, found[2].error) == (3, 3, 1, "page5: 99:busy")
+    assert found[2].complete is None and records.where("job = 2").count() == 3
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    from keyweave.session import checkpoint_folder
+
+    with pytest.raises(ValueError):
+        checkpoint_folder(Session())
+    Context.master = "local[8]"
+    assert "app" in checkpoint_folder(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        checkpoint_folder(Session())
 
 
 def test_errors(spark):
@@ -80,6 +122,8 @@ def test_flatten(spark):
     record = '{"a": {"b": {"c": 1.5}, "d": true}, "e": [1, "둘"], "f": null}'
     flat = spark.createDataFrame([(record,)], "r string").select(responses.flatten_record("r")).first()[0]
     assert flat == {"a_b_c": "1.5", "a_d": "True", "e": '[1, "둘"]', "f": ""}
+    odd = spark.createDataFrame([(None,), ("[1]",), ('{"a": {"b": 1}, "a_b": 2, "n": 9007199254740993, "d": 1.10}',), ("no",)], "r string")
+    assert [r[0] for r in odd.select(responses.flatten_record("r")).collect()] == [None, None, {"a_b": "2", "n": "9007199254740993", "d": "1.10"}, None]
     nested = spark.createDataFrame([((1, ("x",)), None)], "a struct<b:int,c:struct<d:string>>, e string")
     assert responses.flatten_struct(nested).first().asDict() == {"a_b": "1", "a_c_d": "x", "e": ""}
 

@@ -19,7 +19,7 @@ DICTIONARY = Dictionary()
     "sea_documents",
     """select cast(doc_id as varchar) as doc_id, array_to_string(list_filter([source || ' ' || lang,
          case when doc_id % 2 = 0 then 'list' else '' end, lang, source,
-         array_to_string([lang, source, 'k' || (doc_id % 7)], ', '), substring(text, 1, 600),
+         array_to_string([lang, source, 'k' || (doc_id % 7)], ', '), text,
          'quality(score ' || lang || '); toxic'], lambda x: x <> ''), ' | ') as text from documents""",
 )
 def sea_documents(spark, folder):

@@ -20,8 +20,8 @@ from workloads.registry import query
 
 _NAMES = (
     "case p_partkey % 4 when 0 then 'item_no' when 1 then 'seq' when 2 then 'wdate' else 'spm_row' end",
-    "case p_partkey % 3 when 0 then 'width' when 1 then 'unit_price' else 'amount' end",
-    "case p_partkey % 5 when 0 then 'total_cnt' when 1 then 'max_temperature' when 2 then 'y' else 'length' end",
+    "case p_partkey % 3 when 0 then 'width' when 1 then 'UnitPrice' else 'amount' end",
+    "case p_partkey % 5 when 0 then 'total_cnt' when 1 then 'MAX_Temperature' when 2 then 'y' else 'length' end",
     "case p_partkey % 2 when 0 then 'open_yn' else 'a_very_long_flag_name_that_must_be_cut_somewhere' end",
 )
 
@@ -32,11 +32,11 @@ _NAMES = (
           num as (select *, case when p2 and not p1 then n2 when n1 is not null then n1 else n2 end as best from (
             select *, n2 <> 'y' and regexp_matches(n2, '(?i)co|cnt|count|total|sum|amt|ar|area|price|rate') as p2,
               regexp_matches(n1, '(?i)co|cnt|count|total|sum|amt|ar|area|price|rate') as p1 from c)),
-          hot as (select *, case when dataset_id % 10 < 5 and n2 = 'max_temperature' then n2 else best end as m from num),
-          agg as (select *, case when regexp_matches(m, 'dnsty|avg|mean|rate|ratio|temp|tmprt|pm10|pm25|price|prc|unit') then 'avg' else 'sum' end as f from hot)
+          hot as (select *, case when dataset_id % 10 < 5 and n2 = 'MAX_Temperature' then n2 else best end as m from num),
+          agg as (select *, case when regexp_matches(m, '(?i)dnsty|avg|mean|rate|ratio|temp|tmprt|pm10|pm25|price|prc|unit') then 'avg' else 'sum' end as f from hot)
         select dataset_id, 0 as metric_pos, 'a_count' as name, 'count' as agg, '*' as "column", null::varchar as value from c
-        union all select dataset_id, 1, substr('a_' || f || '_' || m, 1, 40), f, m, null from agg
-        union all select dataset_id, 2, substr('a_' || n3 || '_Y', 1, 40), 'count_if', n3, 'Y' from c where p_brand <> 'Brand#1'""",
+        union all select dataset_id, 1, 'a_' || f || '_' || m, f, m, null from agg
+        union all select dataset_id, 2, 'a_' || n3 || '_Y', 'count_if', n3, 'Y' from c where p_brand <> 'Brand#1'""",
 )
 def job_suggest_metrics(spark, folder):
     part = read(spark, folder, "part").withColumnRenamed("p_partkey", "dataset_id")
@@ -69,8 +69,7 @@ def job_suggest_metrics(spark, folder):
               when home is not null and town is not null then 'emd' when city is not null then 'sgg' when town is not null then 'emd' end as level from d)
         select request_id, dataset_id, level, case level when 'sgg' then city when 'emd' then town end as key_column,
           case when drill then city end as filter_column, case when drill then '%' || substr(region, 1, length(region) - 1) || '%' end as filter_like,
-          case when level is null then 'c0;c1;c2;c3;c4;c5;c6;c7;c8;c9;c10;c11' else '' end as raw_columns,
-          case when level is null then 200 else 100 end as "limit" from l""",
+          case when level is null then 'c0;c1;c2;c3;c4;c5;c6;c7;c8;c9;c10;c11;c12;c13' else '' end as raw_columns from l""",
 )
 def job_single_default(spark, folder):
     requests = read(spark, folder, "customer").select(
@@ -143,9 +142,9 @@ def job_stored_run(spark, folder):
           j as (select c.k, customers, suppliers from c left join s on c.k = s.k),
           f as (select (select count(*) from c) as nc, (select count(*) from s) as ns, (select count(*) from j) as nj,
               (select count(*) from j where suppliers is null) as empty)
-        select 0 as position, 'source' as kind, 'c' as stage, least(nc, 10) as row_count, 2 as columns, 0.0::double as null_percent,
+        select 0 as position, 'source' as kind, 'c' as stage, nc as row_count, 2 as columns, 0.0::double as null_percent,
             null::double as match_percent, null::varchar as reason, 'ok' as status from f
-        union all select 1, 'source', 's', least(ns, 10), 2, 0.0, null, null, 'ok' from f
+        union all select 1, 'source', 's', ns, 2, 0.0, null, null, 'ok' from f
         union all select 2, 'operation', 'operation', nj, 3, round(round(empty::double / (nj * 3), 4) * 100, 0),
             round(least(round(ns::double / nc, 3), 1.0) * 100, 0), case when empty::double / (nj * 3) > 0.2 then 'null_rate' end,
             case when empty::double / (nj * 3) > 0.2 then 'stopped' else 'ok' end from f

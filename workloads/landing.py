@@ -249,26 +249,18 @@ def paged_records(spark, folder):
     )
 
 
-_ASSEMBLED = f"""p as (select {_JOB}, count(*) as size from orders group by all),
-  q as (select job, page, case when job % 8 = 4 then {PAGE} else size end as n, case job % 8 when 1 then 150 when 2 then 10000000 end as total,
-      case when job % 8 = 3 and page = 3 then '30:NO KEY' end as error from p where page <= 60),
-  s as (select *, sum(n) over (partition by job order by page) as got from q),
-  e as (select *, error is not null or n = 0 or (n < {PAGE} and (total is null or got >= total)) or coalesce(got >= total, false) as ends from s),
-  f as (select *, not ends and got >= 2500 as capped from e),
-  v as (select *, coalesce(max((ends or capped)::int) over (partition by job order by page rows between unbounded preceding and 1 preceding), 0) as done from f),
-  kept as (select * from v where done = 0),
-  jobs as (select job, coalesce(sum(n) filter (where error is null), 0)::bigint as raw_rows, max(total) filter (where error is null) as total_count,
-      bool_or(capped) as truncated, job % 8 = 4 and count(*) filter (where page <= 2 and n = {PAGE}) = 2 as no_pagination,
-      max('page' || page || ': ' || error) as error from kept group by job)"""
-
-
 @query(
     "src_assemble_pages",
-    f"""with {_ASSEMBLED} select job, case when no_pagination then {PAGE} else raw_rows end as rows, total_count, truncated, no_pagination, error,
-          case when no_pagination then {PAGE} else raw_rows end as records from jobs""",
+    f"""with p as (select {_JOB}, count(*) as size from orders group by all),
+          q as (select job, page, case when job % 8 = 4 then {PAGE} else size end as n,
+              case job % 8 when 1 then 150 when 2 then 10000000 end as total, job % 8 = 3 and page = 3 as failed from p),
+          j as (select job, case when job % 8 = 4 then {PAGE} else coalesce(sum(n) filter (where not failed), 0) end::bigint as rows,
+              max(total) as total_count, case when job % 8 = 4 then count(*) - 1 else 0 end as repeated_pages,
+              count(*) filter (where failed) as failed_pages, max(case when failed then 'page3: 30:NO KEY' end) as error from q group by job)
+        select job, rows, total_count, rows >= total_count as complete, repeated_pages, failed_pages, error, rows as records from j""",
 )
 def src_assemble_pages(spark, folder):
-    records, jobs = responses.assemble_pages(paged_records(spark, folder), PAGE, 2500)
+    records, jobs = responses.assemble_pages(paged_records(spark, folder))
     counted = records.groupBy("job").agg(F.count(F.lit(1)).alias("records"))
     return jobs.join(counted, "job", "left").withColumn("records", F.coalesce("records", F.lit(0)))
 
@@ -284,8 +276,8 @@ _ERROR = (
     "src_ingest_report",
     f"""with j as (select {_STATUS} as status, o_custkey as rows, {_ERROR} as error from orders)
         select 'status' as kind, status as name, count(*) as jobs, sum(rows)::bigint as rows from j group by status
-        union all select * from (select 'reason', substr(coalesce(error, ''), 1, 40) as name, count(*) as n, 0 from j
-          where status = 'fail' group by 2 order by n desc, name limit 15)""",
+        union all select * from (select 'reason', coalesce(error, '') as name, count(*) as n, 0 from j
+          where status = 'fail' group by 2)""",
 )
 def src_ingest_report(spark, folder):
     jobs = read(spark, folder, "orders").select(
@@ -352,7 +344,7 @@ _URL = "case when s_suppkey % 11 = 0 then 'none' else 'https://api' || s_nationk
            from supplier, (select unnest(range(0, 8)) as i)),
          o as (select *, row_number() over (partition by s_suppkey order by contains(lower(title), lower(name)) desc,
              contains(replace(lower(title), ' ', ''), 'nation' || s_nationkey) desc, i) as at_ from (select *, 'Supplier#' || lpad(s_suppkey::varchar, 9, '0') as name from c)),
-         k as (select *, 'api' || s_nationkey || '.example.org/svc/list' || (s_suppkey % 3) as target from o where at_ <= 6),
+         k as (select *, 'api' || s_nationkey || '.example.org/svc/list' || (s_suppkey % 3) as target from o),
          m as (select *, case when lower(host) = target or starts_with(regexp_replace(req, '^https://', ''), target)
              or (host <> '' and starts_with(target, lower(host)) and contains(lower(host), 'list' || (s_suppkey % 3))) then 0
              when contains(lower(title), lower(name)) then 1 end as kind from k),
