@@ -14,8 +14,6 @@ from keyweave.functions.keys import Gazetteer
 from keyweave.functions.roles import NAME_CONFIDENCE, role_by_name, role_by_shares, value_tests
 from keyweave.operators.sorting import top_k_per_group
 
-SAMPLE_ROWS = 500
-SAMPLE_VALUES = 300
 COLUMN_KEY = ["dataset_id", "column"]
 
 # Columns that carry no information of their own (fixed values).
@@ -39,11 +37,6 @@ def unpivot_text(df: DataFrame, dataset_id: str | Column, position: str | Column
     return df.select(owner.alias("dataset_id"), place.alias("pos"), F.inline(cells))
 
 
-def first_rows(long: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The sampling variant: only the first rows of every table by position."""
-    return top_k_per_group(long, COLUMN_KEY, [F.col("pos").asc()], rows, "_at").drop("_at")
-
-
 def value_counts(long: DataFrame) -> DataFrame:
     """Occurrences and first position of every distinct value of every column."""
     return long.groupBy(*COLUMN_KEY, "column_pos", "value").agg(
@@ -80,7 +73,11 @@ def column_profile(counts: DataFrame) -> DataFrame:
 
 
 def column_roles(counts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """Role of every column: its name decides, else the shares of its values."""
+    """Role of every column: its name decides, else the shares of its values.
+
+    ``counts`` are value counts, or the long rows themselves with ``n`` = 1: sums are partial either way, and
+    rows need no shuffle of every distinct value.
+    """
     used = (F.col("value") != "") & (F.col("value") != "nan")
     tests = value_tests("value", gazetteer)
     sums = {role: F.sum(F.when(used & test, F.col("n")).otherwise(0)).alias(f"_{role}") for role, test in tests.items()}
@@ -101,18 +98,10 @@ def column_roles(counts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     )
 
 
-def first_values(long: DataFrame, values: int = SAMPLE_VALUES) -> DataFrame:
-    """The sampling variant of role inference: the first filled values of every column."""
-    used = long.where((F.col("value") != "") & (F.col("value") != "nan"))
-    return first_rows(used, values)
-
-
-def profile(long: DataFrame, gazetteer: Gazetteer, sample: bool = False) -> DataFrame:
-    """Profile and role of every column, over whole tables or over their first rows."""
-    if sample:
-        long = first_rows(long)
+def profile(long: DataFrame, gazetteer: Gazetteer) -> DataFrame:
+    """Profile and role of every column, over whole tables."""
     counts = value_counts(long)
-    roles = column_roles(value_counts(first_values(long)) if sample else counts, gazetteer)
+    roles = column_roles(counts, gazetteer)
     kept = column_profile(counts).join(roles.drop("column_pos"), COLUMN_KEY, "left")
     by_name = role_by_name("column")
     return kept.withColumn("role", F.coalesce("role", by_name, F.lit("text"))).withColumn(

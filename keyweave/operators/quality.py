@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.operators.joins import key_membership
-from keyweave.operators.sets import keys_outside
 from keyweave.operators.sorting import top_k_per_group
+from keyweave.session import cut_lineage
 
 # Thresholds of the stop gate (fixed values).
 MAXIMUM_NULL_RATE = 0.2
@@ -37,12 +37,13 @@ def dropped_detail(tagged: DataFrame, aliases: list[str]) -> DataFrame:
     task ever holds all keys of a source.
     """
     everywhere = (1 << len(aliases)) - 1
-    members = key_membership(tagged, aliases)
+    members = cut_lineage(key_membership(tagged, aliases))
     held = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(a).alias("alias")) for i, a in enumerate(aliases)]))
+    sources = members.select("k", "members", held.alias("source")).select(
+        F.col("source.position").alias("position"), F.col("source.alias").alias("alias"), "k", "members"
+    )
     per_source = (
-        members.select("k", "members", held.alias("source"))
-        .select(F.col("source.position").alias("position"), F.col("source.alias").alias("alias"), "k", "members")
-        .groupBy("position", "alias")
+        sources.groupBy("position", "alias")
         .agg(
             F.count_if(F.col("k").isNotNull() & _holds()).alias("own"),
             F.count_if(F.col("k").isNotNull() & (F.col("members") == everywhere)).alias("matched"),
@@ -50,7 +51,12 @@ def dropped_detail(tagged: DataFrame, aliases: list[str]) -> DataFrame:
         )
     )
     shown = (
-        top_k_per_group(keys_outside(tagged, aliases), ["alias"], [F.col("k").asc()], DROPPED_KEYS_SHOWN)
+        top_k_per_group(
+            sources.where(F.col("k").isNotNull() & _holds() & (F.col("members") != everywhere)),
+            ["alias"],
+            [F.col("k").asc()],
+            DROPPED_KEYS_SHOWN,
+        )
         .groupBy("alias")
         .agg(F.array_sort(F.collect_list("k")).alias("dropped_keys"))
     )

@@ -189,6 +189,24 @@ def _blocks(questions: DataFrame, documents: DataFrame) -> tuple[DataFrame, Data
     )
 
 
+def sound_vectors(table: DataFrame, questions: DataFrame) -> DataFrame:
+    """The table with a zero vector wherever one is missing, has a NULL or isn't as long as the questions' longest.
+
+    Such a row has cosine 0 to everything and is ranked by its other scores.
+    """
+    width = questions.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).select("width").scalar()
+    whole = F.col("vector").isNotNull() & (F.size("vector") == width) & ~F.exists("vector", lambda x: x.isNull())
+    vector = F.col("vector").cast("array<double>")
+    return table.withColumn("vector", F.when(F.coalesce(whole, F.lit(False)), vector).otherwise(F.array_repeat(F.lit(0.0), width)))
+
+
+def unsound_vectors(table: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row: how many vectors ``sound_vectors`` replaces."""
+    given = table.withColumn("_given", F.col("vector").cast("array<double>"))
+    same = F.col("_given").eqNullSafe(F.col("vector"))
+    return sound_vectors(given, questions).agg(F.count_if(~same).alias("replaced"))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -258,6 +276,7 @@ def best_prior(questions: DataFrame, documents: DataFrame) -> DataFrame:
 
 def cosine_top(questions: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` documents closest to every question, exactly."""
+    documents, questions = sound_vectors(documents, questions), sound_vectors(questions, questions)
     asked = questions.select(
         "question_id", "vector", F.lit(0.0).alias("cos_low"), F.lit(1.0).alias("cos_high"), F.lit(k).alias("keep")
     )
@@ -284,6 +303,8 @@ def fused_top(
     scores widen the dense list, which keeps the result exact.
     """
     with_vectors = "vector" in documents.columns
+    if with_vectors:
+        documents, questions = sound_vectors(documents, questions), sound_vectors(questions, questions)
     scores = cut_lineage(lexical_scores(index, questions))
     ranges = lexical_range(index, scores, questions)
     context = questions.drop("text").join(ranges, "question_id").withColumn("keep", (F.lit(k) + F.col("negative")).cast("int"))

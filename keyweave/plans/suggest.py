@@ -164,3 +164,27 @@ def join_jobs(sets: DataFrame, region_keys: DataFrame, metrics: DataFrame) -> Da
             "metrics",
         )
     )
+
+
+def job_specs(jobs: DataFrame) -> DataFrame:
+    """Recommended joins as specs that ``run_spec`` takes: ``(question_id, rank, level, spec)``.
+
+    ``jobs`` as from ``join_jobs``; a join with a source that has no key at its level is left out.
+    """
+
+    def metric(m: Column, alias: Column) -> Column:
+        parts = F.when(m["metric_pos"] == 0, F.lit("count")).when(m["metric_pos"] == 1, F.concat_ws("_", m["agg"], m["column"]))
+        name = F.concat_ws("_", alias, parts.otherwise(F.concat_ws("_", m["column"], F.lit("Y"))))
+        return F.struct(name.alias("name"), m["agg"].alias("agg"), m["column"].alias("column"), m["value"].alias("value"))
+
+    source = F.struct(
+        "alias",
+        "dataset_id",
+        F.struct(F.col("key_column").alias("column"), F.col("level").alias("level")).alias("key"),
+        F.transform("metrics", lambda m: metric(m, F.col("alias"))).alias("metrics"),
+    )
+    grouped = jobs.groupBy("question_id", "rank", "level").agg(
+        F.array_sort(F.collect_list(source)).alias("sources"), F.count("key_column").alias("_keyed"), F.count(F.lit(1)).alias("_all")
+    )
+    spec = F.to_json(F.struct("sources", F.lit("inner").alias("join")))
+    return grouped.where(F.col("_keyed") == F.col("_all")).select("question_id", "rank", "level", spec.alias("spec"))

@@ -10,6 +10,7 @@ from keyweave.operators.joins import tag_keys
 from keyweave.operators.sets import distinct_keys, intersect_keys, keys_outside, symmetric_difference, union_best
 from keyweave.operators.sorting import order_rows, top_k_per_group
 from keyweave.operators.quality import dropped_detail
+from keyweave.session import cut_lineage
 from keyweave.plans.spec import Order
 from workloads.core import whole
 from workloads.inputs import (
@@ -214,12 +215,13 @@ def srt_order_by(spark, folder):
 
 def ranked(ordered, columns):
     """Positions of globally sorted rows, computed per partition plus the rows before it."""
-    local = ordered.select(*columns, F.monotonically_increasing_id().alias("_at")).withColumn(
-        "_part", F.shiftright("_at", 33)
+    # written once: both uses below must see the same partitions
+    local = cut_lineage(
+        ordered.select(*columns, F.monotonically_increasing_id().alias("_at")).withColumn("_part", F.shiftright("_at", 33))
     )
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return local.join(F.broadcast(before), "_part").select(
+    return local.join(before, "_part").select(
         (F.col("_at") - F.shiftleft(F.col("_part"), 33) + F.col("_before") + 1).cast("bigint").alias("pos"), *columns
     )
 
@@ -402,3 +404,40 @@ _FLAGSHIP = """select c.k as key, customers, round(avg_balance, 4) as avg_balanc
 @query("job_run_spec", _FLAGSHIP)
 def job_run_spec(spark, folder):
     return run_spec(FLAGSHIP, tables(spark, folder)).result.withColumn("avg_balance", F.round("avg_balance", 4))
+
+
+# ---- two questions end to end
+
+
+@query(
+    "job_golden_like",
+    f"""select c.k as key, customers, suppliers from
+        (select c_city as k, count(*) as customers from {CUSTOMERS} where c_address like '%시%' and c_city is not null group by 1) c
+        join {_S} s on c.k = s.k order by customers desc, key""",
+)
+def job_golden_like(spark, folder):
+    """Cities by customers and suppliers, where the customers' address names a city (inner join and LIKE)."""
+    named = counted("c", "customer", "c_address", "sgg", "customers")
+    named["filters"] = [{"column": "c_address", "op": "like", "value": "%시%"}]
+    spec = {"sources": [named, SUPPLIER_CITY], "join": "inner", "order_by": [{"name": "customers", "desc": True}]}
+    return run_spec(spec, tables(spark, folder)).result
+
+
+@query(
+    "job_golden_towns",
+    f"""select o.k as key, orders, customers, suppliers from
+        (select o_town as k, count(*) as orders from {ORDERS} where o_town is not null group by 1) o
+        join (select c_town as k, count(*) as customers from {CUSTOMERS} where c_town is not null group by 1) c on o.k = c.k
+        join (select s_town as k, count(*) as suppliers from {SUPPLIERS} where s_town is not null group by 1) s on o.k = s.k""",
+)
+def job_golden_towns(spark, folder):
+    """Towns by orders, customers and suppliers (inner join of three at town level)."""
+    spec = {
+        "sources": [
+            counted("o", "orders", "o_address", "emd", "orders"),
+            counted("c", "customer", "c_address", "emd", "customers"),
+            counted("s", "supplier", "s_address", "emd", "suppliers"),
+        ],
+        "order_by": [{"name": "orders", "desc": True}],
+    }
+    return run_spec(spec, tables(spark, folder)).result

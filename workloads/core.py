@@ -155,7 +155,7 @@ def flt_result_hier(spark, folder):
         read(spark, folder, "customer")
         .groupBy("c_nationkey")
         .agg(F.count(F.lit(1)).alias("customers"), F.sum("c_acctbal").alias("balance"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("n_path").alias("key"), "customers", F.round("balance", 2).alias("balance"))
     )
     kept = filter_result(

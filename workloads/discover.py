@@ -172,9 +172,9 @@ def sea_cosine(spark, folder):
     return top.select("question_id", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
-# Datasets of the hybrid search: documents that have a vector, ranked with their length as row count.
-_HYBRID = f"""{_INDEX.replace('from documents', "from (select * from documents where doc_id in (select vec_id from embeddings))")},
-  {_VECTORS.replace('from embeddings)', 'from embeddings where vec_id in (select doc_id from documents))')},
+# Datasets of the hybrid search: all documents, ranked with their length as row count; one without a vector has cosine 0.
+_HYBRID = f"""{_INDEX}, qv as (select item_id as question_id, embedding::double[] as v from benchmark join embeddings on item_id = vec_id),
+  dv as (select doc_id, coalesce(embedding::double[], list_resize([]::double[], 64, 0)) as v from documents left join embeddings on doc_id = vec_id),
   {_scores(_QUESTIONS)},
   cos as (select question_id, doc_id, list_inner_product(qv.v, dv.v) as c from qv, dv),
   crng as (select question_id, min(c) as clo, max(c) as chi from cos group by 1)"""
@@ -182,7 +182,7 @@ _HYBRID = f"""{_INDEX.replace('from documents', "from (select * from documents w
 
 def hybrid_inputs(spark, folder):
     vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    documents = read(spark, folder, "documents").join(vectors, "doc_id")
+    documents = read(spark, folder, "documents").join(vectors, "doc_id", "left")
     index = search.build_index(documents.select("doc_id", "text"))
     return index, question_vectors(spark, folder), documents.select("doc_id", F.col("n_chars").alias("rows"), "vector")
 

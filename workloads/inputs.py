@@ -135,7 +135,7 @@ def nations(spark: SparkSession, folder: str) -> DataFrame:
     """Nations with their two-level key ``region|nation``."""
     region = read(spark, folder, "region")
     nation = read(spark, folder, "nation")
-    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey", "n_name", "r_name", F.concat_ws("|", "r_name", "n_name").alias("n_path")
     )
 

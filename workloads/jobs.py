@@ -10,7 +10,7 @@ from keyweave import SourceTable, run_spec
 from keyweave.operators import graph
 from keyweave.plans.runner import one_row_join
 from keyweave.plans.stored import run_stored, stage_report
-from keyweave.plans.suggest import join_jobs, recommended_sets, single_jobs, suggested_metrics
+from keyweave.plans.suggest import job_specs, join_jobs, recommended_sets, single_jobs, suggested_metrics
 from workloads.combine import _CN, _SP, LEFT_SPEC, RICH_SUPPLIERS, counted
 from workloads.inputs import CUSTOMERS, GAZETTEER, place, read, tables
 from workloads.measure import measured_edges, place_values, questions
@@ -94,7 +94,7 @@ def job_single_default(spark, folder):
 
 @query("job_recommend")
 def job_recommend(spark, folder):
-    """Sources of the recommended joins of every question; its result is a job list."""
+    """The recommended joins of every question as specs that can be run as they are."""
     seeds, candidates = questions(spark, folder)
     long = place_values(spark, folder)
     best = graph.best_key_columns(graph.keys_by_level(long, GAZETTEER))
@@ -103,7 +103,7 @@ def job_recommend(spark, folder):
     )
     sets = recommended_sets(seeds, candidates, measured_edges(spark, folder))
     jobs = join_jobs(sets, graph.region_keys(best), suggested_metrics(columns, F.lit("")))
-    return jobs.withColumn("metrics", F.array_join(F.col("metrics.agg"), ";"))
+    return job_specs(jobs)
 
 
 STORED = {

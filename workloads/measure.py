@@ -85,16 +85,6 @@ def pro_column_profile(spark, folder):
     return _profile_out(profile.value_counts(long_rows(spark, folder)))
 
 
-_FIRST = """first_rows as (select * from (select *, row_number() over (partition by dataset_id, "column" order by pos) as nth
-    from long) where nth <= 500)"""
-
-
-@query("pro_column_profile_sampled", f"with {LONG}, {_FIRST}, {_profile_sql('first_rows')} {_PROFILE_OUT}")
-def pro_column_profile_sampled(spark, folder):
-    """The sampling operator: profiles read the first 500 rows of every table."""
-    return _profile_out(profile.value_counts(profile.first_rows(long_rows(spark, folder))))
-
-
 @query(
     "pro_role_name",
     """select p_partkey, case p_partkey % 9 when 0 then 'region_code' when 1 then 'region_name' when 2 then 'sido'
@@ -158,7 +148,7 @@ def kinds_long(spark, folder):
         from (select *, {_RULED} as r from shares)""",
 )
 def pro_role_values(spark, folder):
-    roles = profile.column_roles(profile.value_counts(kinds_long(spark, folder)), GAZETTEER)
+    roles = profile.column_roles(kinds_long(spark, folder).withColumn("n", F.lit(1)), GAZETTEER)
     return roles.select("column", "role", "role_confidence")
 
 
@@ -172,7 +162,7 @@ def pro_role_values(spark, folder):
         from roles group by dataset_id""",
 )
 def pro_column_lists(spark, folder):
-    roles = profile.column_roles(profile.value_counts(kinds_long(spark, folder)), GAZETTEER)
+    roles = profile.column_roles(kinds_long(spark, folder).withColumn("n", F.lit(1)), GAZETTEER)
     lists = profile.column_lists(roles)
     return lists.select(
         "dataset_id",
