@@ -230,6 +230,17 @@ def _expand(class_pairs: DataFrame, members: DataFrame, datasets: DataFrame) ->
     )
 
 
+def with_key_columns(pairs: DataFrame, best: DataFrame) -> DataFrame:
+    """Measured pairs with the columns they join on: ``a_col`` and ``b_col``.
+
+    ``best`` is the result of ``best_key_columns``.
+    """
+    for side in ("a", "b"):
+        columns = best.select("level", F.col("dataset_id").alias(side), F.col("column").alias(f"{side}_col"))
+        pairs = pairs.join(columns, ["level", side], "left")
+    return pairs
+
+
 def both_directions(pairs: DataFrame) -> DataFrame:
     """Measured pairs as edges that can be walked from either side: ``(a, other, level, ...)``."""
     forward = pairs.select("a", F.col("b").alias("other"), "level", "matched", "match_rate")

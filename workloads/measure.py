@@ -371,15 +371,20 @@ def gra_best_key(spark, folder):
 @query(
     "gra_pairs",
     f"""with {PAIRS} select level, a, b, a_keys, b_keys, matched, match_rate, a_keys - matched as dropped_a,
-          b_keys - matched as dropped_b,
+          b_keys - matched as dropped_b, l."column" as a_col, r."column" as b_col,
           array_to_string(list_sort(list_intersect(ka, kb))[1:5], '|') as sample_matched,
           array_to_string(list_sort(list_concat(list_filter(ka, lambda x: not list_contains(kb, x)),
             list_filter(kb, lambda x: not list_contains(ka, x))))[1:5], '|') as sample_unmatched
         from pairs join (select level, dataset_id as a, list(k) as ka from chosen group by all) using (level, a)
-        join (select level, dataset_id as b, list(k) as kb from chosen group by all) using (level, b)""",
+        join (select level, dataset_id as b, list(k) as kb from chosen group by all) using (level, b)
+        join (select level, dataset_id as a, "column" from best) l using (level, a)
+        join (select level, dataset_id as b, "column" from best) r using (level, b)""",
 )
 def gra_pairs(spark, folder):
-    return measured(spark, folder)
+    keys = cut_lineage(graph.keys_by_level(place_values(spark, folder), GAZETTEER).distinct())
+    best = cut_lineage(graph.best_key_columns(keys))
+    chosen = cut_lineage(keys.join(best, ["dataset_id", "level", "column"]).select("level", "dataset_id", "k"))
+    return graph.with_key_columns(graph.measure_pairs(chosen, datasets(chosen)), best)
 
 
 EDGES = f"""{PAIRS}, edges as (select a, b as other, level, matched, match_rate from pairs
