@@ -126,7 +126,8 @@ def _side(reps: DataFrame, name: str) -> DataFrame:
 def _classes(keys: DataFrame) -> DataFrame:
     """Datasets with their class representative: the first dataset with an equal key set.
 
-    Sets are recognised by size and two independent 64-bit hashes combined without order.
+    Sets are recognised by size and two independent 64-bit hashes combined without order, and compared
+    key by key with the representative's; a set that only shares the hashes stays by itself.
     """
     prints = ["level", "n_keys", "print1", "print2"]
     signed = keys.groupBy("level", "dataset_id").agg(
@@ -135,7 +136,15 @@ def _classes(keys: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit("second"), "k")).alias("print2"),
     )
     first = signed.groupBy(*prints).agg(F.min("dataset_id").alias("rep"))
-    return signed.join(first, prints).select("level", "dataset_id", "rep", "n_keys")
+    placed = cut_lineage(signed.join(first, prints).select("level", "dataset_id", "rep", "n_keys"))
+    twins = placed.where(F.col("dataset_id") != F.col("rep"))
+    theirs = keys.join(twins, ["level", "dataset_id"]).select("level", "dataset_id", "rep", "k", "n_keys")
+    held = theirs.join(keys.withColumnRenamed("dataset_id", "rep"), ["level", "rep", "k"], "left_semi")
+    equal = held.groupBy("level", "dataset_id", "n_keys").agg(F.count(F.lit(1)).alias("_equal")).where(F.col("_equal") == F.col("n_keys"))
+    same = placed.join(equal.select("level", "dataset_id", F.lit(True).alias("_same")), ["level", "dataset_id"], "left")
+    return same.select(
+        "level", "dataset_id", F.when(F.col("_same"), F.col("rep")).otherwise(F.col("dataset_id")).alias("rep"), "n_keys"
+    )
 
 
 def _meetings(postings: DataFrame) -> DataFrame:

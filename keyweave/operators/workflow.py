@@ -45,6 +45,14 @@ def cyclic_core(links: DataFrame) -> DataFrame:
     return core
 
 
+def _chained(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Paths made of one of each table."""
+    onward = second.select("workflow_id", F.col("source").alias("target"), F.col("target").alias("end"), F.col("latest").alias("then"))
+    return first.join(onward, ["workflow_id", "target"]).select(
+        "workflow_id", "source", F.col("end").alias("target"), F.greatest("latest", "then").alias("latest")
+    )
+
+
 def link_rejections(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Why a link could not be added after the links before it: self, duplicate, cycle.
 
@@ -55,17 +63,15 @@ def link_rejections(links: DataFrame, nodes: DataFrame | None = None) -> DataFra
     """
     core = cyclic_core(links)
     best = core.groupBy("workflow_id", "source", "target").agg(F.min("position").alias("latest"))
-    best = cut_lineage(best)
+    best = fresh = cut_lineage(best)
     while True:
-        onward = best.select("workflow_id", F.col("source").alias("target"), F.col("target").alias("end"), F.col("latest").alias("then"))
-        longer = best.join(onward, ["workflow_id", "target"]).select(
-            "workflow_id", "source", F.col("end").alias("target"), F.greatest("latest", "then").alias("latest")
-        )
+        # only paths of which one part got better in the last round can get better in this one
+        longer = _chained(fresh, best).unionByName(_chained(best, fresh))
         grown = best.unionByName(longer).groupBy("workflow_id", "source", "target").agg(F.min("latest").alias("latest"))
         grown = cut_lineage(grown)
-        changed = grown.join(best, ["workflow_id", "source", "target", "latest"], "left_anti")
+        fresh = cut_lineage(grown.join(best, ["workflow_id", "source", "target", "latest"], "left_anti"))
         best = grown
-        if changed.isEmpty():
+        if fresh.isEmpty():
             break
     back = best.select("workflow_id", F.col("source").alias("target"), F.col("target").alias("source"), "latest")
     first = links.groupBy("workflow_id", "source", "target").agg(F.min("position").alias("first_position"))
