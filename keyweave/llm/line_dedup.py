@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import IdFilter, cut_lineage, texts_of
+from keyweave.llm.common import IdFilter, cut_lineage, slices, texts_of
 
 MEAN_LINES = 3
 LEAST_LINES = 2
 MOST_LINES = 16
 LEAST_BYTES = 64
+BYTES_PER_STEP = 4 << 20
 
 # The part of a line up to the end of a sentence or the line feed. Every character falls to one.
 LINE = re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n")
@@ -71,7 +72,7 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch, "text", BYTES_PER_STEP)):
         ids, places, digests = [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
             for place, _, _, digest in marked(text):
@@ -87,7 +88,7 @@ def _candidates(repeated: IdFilter):
     """Tasks that give the texts of chunks whose hash may be a repeated one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "text", BYTES_PER_STEP)):
             ids, texts, digests = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
                 for _, _, chunk, digest in marked(text):
@@ -125,7 +126,8 @@ def repeated_places(rows: DataFrame) -> DataFrame:
         .filter("variants = 1 and n > 1")
         .select("h1", "h2", "keeper")
     )
-    return places.join(verified, ["h1", "h2"]).select(
+    # merge joins at any size, which adaptive execution splits where one chunk is frequent
+    return places.join(verified.hint("merge"), ["h1", "h2"]).select(
         "doc_id", "place", (F.col("doc_id") == F.col("keeper")).alias("own")
     )
 
@@ -181,7 +183,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     nothing = F.lit(None).cast(marks.schema["places"].dataType).alias("places")
     maybe = found.split(rows, "doc_id", members=True)
-    joined = maybe.join(marks, maybe["doc_id"] == marks["marked_id"], "left").select("doc_id", "text", "places")
+    joined = maybe.join(marks.hint("merge"), maybe["doc_id"] == marks["marked_id"], "left").select("doc_id", "text", "places")
     return (
         found.split(rows, "doc_id", members=False)
         .select("doc_id", "text", nothing)
@@ -209,7 +211,7 @@ def strip(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     maybe = found.split(docs, "doc_id", members=True)
-    joined = maybe.join(marks, maybe["doc_id"].cast("long") == marks["marked_id"], "left")
+    joined = maybe.join(marks.hint("merge"), maybe["doc_id"].cast("long") == marks["marked_id"], "left")
     return found.split(docs, "doc_id", members=False).unionByName(
         joined.select(*(maybe[c] for c in docs.columns), marks["places"]).mapInArrow(run, docs.schema)
     )
