@@ -11,9 +11,9 @@ a component left draw on to twice the limit.
 
 Documents with the same words are one. Signatures are cut into bands; a band's bucket is compared with its
 least member, and verified pairs (overlap of the multisets of at least ``SIMILARITY``) link documents.
-Members of a bucket that its first comparison leaves in different components are compared
-with each other too, except where sizes or the distances to the first member (a metric) exclude the
-similarity. So no pair of a bucket is lost that could join two components.
+Where that leaves several components in a bucket, members that may still be near another one (by the
+shingles they don't have for themselves) are compared with the most central of them, and those
+still apart with each other. So no pair of a bucket is lost that could join two components.
 
 Definitions: words are runs of letters, digits and underscores in lower case; a null text counts as empty; a text
 of fewer words than a shingle is one shingle, and texts without words are copies of each other only if
@@ -40,8 +40,10 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-BYTES_PER_STEP = 2 << 20
-CACHED_WORDS = 400_000
+BYTES_PER_STEP = 1 << 20
+PAIRS_PER_STEP = 500
+CENTRAL_ROUNDS = 2
+CACHED_WORDS = 150_000
 
 WORD = re.compile(r"\w+")
 
@@ -196,12 +198,16 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def profile(value: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(value.as_buffer(), np.uint64)  # no copy: hubs stand in many pairs
+
     for batch in batches:
-        pairs = zip(batch.column("profile_a").to_pylist(), batch.column("profile_b").to_pylist())
-        found = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"]
-        )
+        for low in range(0, batch.num_rows, PAIRS_PER_STEP):
+            part = batch.slice(low, PAIRS_PER_STEP)
+            found = [overlap(profile(x), profile(y)) for x, y in zip(part.column("profile_a"), part.column("profile_b"))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("a"), part.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"]
+            )
 
 
 def _measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -247,38 +253,117 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .distinct()
         .join(sizes.withColumnRenamed("hub", "b"), "b")
     )
-    # distances to the hub are wanted for all members, those of unlike sizes are at least as far as these tell
     near = _measured(docs, pairs.filter(_alike("size", "hub_size")))
     linked = near.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
-    labels = components(linked)
-    placed = (
-        shared.join(labels.withColumnRenamed("label", "group"), "id", "left")
-        .withColumn("group", F.coalesce("group", "id"))
-        .join(near.select(F.col("a").alias("id"), F.col("b").alias("hub"), "similarity"), ["id", "hub"], "left")
-        # the hub is at distance 0 from itself; where no distance is known nothing is excluded
-        .withColumn("distance", F.when(F.col("id") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity")))
+    placed = _unsettled(shared.drop("hub"), linked)
+    if placed.isEmpty():
+        return linked
+    # What a document has in common with another one is at most its shingles that any other document of
+    # these buckets has. Heavily edited copies are mostly shingles of their own and drop out by this bound.
+    common = _common_sizes(docs, placed.select("id").distinct())
+    able = placed.join(common, "id").filter(F.col("common") >= F.lit(SIMILARITY - 1e-12) * F.col("size"))
+    able = cut_lineage(able.select("band", "key", "id", "size", "common"))
+    tried = near.select("a", "b")
+    rest, used = able, None
+    for _ in range(CENTRAL_ROUNDS):
+        # the member with the least of its own is the likeliest to link all others
+        free = rest if used is None else rest.join(used, ["band", "key", "id"], "left_anti")
+        central = free.groupBy("band", "key").agg(F.max(F.struct(F.col("common") / F.col("size"), -F.col("id"))).alias("best"))
+        hubs = cut_lineage(central.select("band", "key", (-F.col("best.col2")).alias("id")))
+        used = hubs if used is None else used.unionByName(hubs)
+        found = _measured(docs, _pairs(rest, hubs, linked, tried))
+        linked = cut_lineage(linked.unionByName(found.filter(F.col("similarity") >= SIMILARITY).select("a", "b")))
+        tried = cut_lineage(tried.unionByName(found.select("a", "b")))
+        rest = _unsettled(rest, linked)
+        if rest.isEmpty():
+            return linked
+    # whatever is still apart is compared with each other
+    last = _measured(docs, _pairs(rest, rest, linked, tried, members.groupBy("id").agg(_ordered_keys())))
+    return linked.unionByName(last.filter(F.col("similarity") >= SIMILARITY).select("a", "b"))
+
+
+def _ordered_keys():
+    """The band keys of a document in order of the bands."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda b: b["key"]).alias("keys")
+
+
+def _grouped(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members with the label of their component so far."""
+    labels = components(linked).select(F.col("id"), F.col("label"))
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _unsettled(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components."""
+    placed = cut_lineage(_grouped(members, linked))
+    mixed = placed.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    kept = placed.join(mixed.filter("low < high").select("band", "key"), ["band", "key"], "left_semi")
+    return cut_lineage(kept.drop("label"))
+
+
+def _pairs(
+    left: DataFrame, right: DataFrame, linked: DataFrame, tried: DataFrame, keys: DataFrame | None = None
+) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that the bounds leave possible.
+
+    With the ``keys`` of the documents a pair comes from the first band alone in which they agree.
+    """
+    columns = ("id", "size", "common", "label", *(["keys"] if keys is not None else []))
+    grouped = _grouped(left, linked)
+    grouped = cut_lineage(grouped if keys is None else grouped.join(keys, "id"))
+    one = grouped.select("band", "key", *(F.col(c).alias(f"{c}_a") for c in columns))
+    other = right.select("band", "key", "id").join(grouped, ["band", "key", "id"])
+    other = other.select("band", "key", *(F.col(c).alias(f"{c}_b") for c in columns))
+    needed = (F.col("size_a") + F.col("size_b")) * F.lit(SIMILARITY / (1 + SIMILARITY) - 1e-12)
+    possible = (
+        (one["band"] == other["band"])
+        & (one["key"] == other["key"])
+        & (F.col("label_a") != F.col("label_b"))
+        & (F.least("common_a", "common_b") >= needed)
     )
-    placed = cut_lineage(placed.select("band", "key", "id", "size", "group", "hub", "distance"))
-    hub_groups = placed.filter("id = hub").select("band", "key", F.col("group").alias("hub_group"))
-    rest = placed.join(hub_groups, ["band", "key"]).filter(F.col("group") != F.col("hub_group"))
-    left = rest.select("band", "key", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "group", "distance")))
-    right = placed.filter("id <> hub").select(
-        "band", "key", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "group", "distance"))
-    )
-    bound = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")), F.lit(0.0))
-    more = (
-        left.join(right, ["band", "key"])
-        .filter(
-            (F.col("group_a") != F.col("group_b"))
-            & _alike("size_a", "size_b")
-            & (bound <= F.lit(1 - SIMILARITY + 1e-9))
-        )
+    if keys is not None:
+        agree = F.zip_with("keys_a", "keys_b", lambda x, y: x == y)
+        possible &= (F.col("id_a") < F.col("id_b")) & (F.array_position(agree, True) == one["band"] + 1)
+    return cut_lineage(
+        one.join(other, possible)
         .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()
-        .join(near.select("a", "b").union(near.select("b", "a")), ["a", "b"], "left_anti")
+        .join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    )
+
+
+def _common_sizes(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, common: how many shingles of a document another one of these documents has as well."""
+    rows = IdFilter(ids).split(docs, "doc_id", members=True)
+    counted = cut_lineage(
+        rows.join(ids, rows["doc_id"] == ids["id"], "left_semi")
+        .select("doc_id", "text")
+        .mapInArrow(_multiplicities, "id long, shingle long, times long")
     )
-    later = _measured(docs, cut_lineage(more)).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
-    return linked.unionByName(later)
+    several = counted.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    return cut_lineage(
+        counted.join(several.select("shingle"), "shingle", "left_semi").groupBy("id").agg(F.sum("times").alias("common"))
+    )
+
+
+def _multiplicities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each document and how often it has them."""
+    hashes = WordHash()
+    for batch in batches:
+        for part in slices(batch, "text", BYTES_PER_STEP):
+            owner, hashed, _ = shingles(texts_of(part.column("text")), hashes)
+            if len(hashed) == 0:
+                continue
+            starts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])))
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner[starts]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(hashed[starts].view(np.int64)),
+                    pa.array(np.diff(starts, append=len(hashed)).astype(np.int64)),
+                ],
+                ["id", "shingle", "times"],
+            )
 
 
 def classes(docs: DataFrame) -> DataFrame:
