@@ -17,6 +17,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -26,16 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import WHITE, Recent, cut_lineage, texts_of
+from keyweave.llm.common import WHITE, Recent, cut_lineage, slices, texts_of
 
 CAPACITY = 2048
-CACHED_WORDS = 500_000
-CACHED_LENGTH = 64
+CACHED_WORDS = 200_000
+CACHED_PARTS = 600_000
+BYTES_PER_STEP = 4 << 20
 FITTING_ROUNDS = 300
 SECOND_CHOICES = 24
 
 # No token of a tokenizer that drops white space spans it.
 WORD = re.compile(f"[^{WHITE}]+")
+# Texts of letters and marks that normalisation leaves alone, also in lower case, and the pattern of the
+# tokenizer's file that splits lower case into parts, for these letters (fixed values).
+PLAIN = re.compile("[\\t-\\r -\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]*")
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 
 Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequence, offset
 
@@ -51,18 +57,28 @@ class WordIds(Recent):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            found = self.tokenizer.encode(word, add_special_tokens=False).ids
-            ids = np.array(found, dtype="<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            self.keep(word, ids)
-        return ids
-
-    def document(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, WORD.findall(text)))
+        self.parts = Recent(CACHED_PARTS)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def documents(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; parts and words not met lately are encoded together.
+
+        A plain text is cut into parts in lower case, of which there are few; any other text into words.
+        """
+        cut: list[list[str]] = []
+        parts: set[str] = set()
+        words: set[str] = set()
+        plain = [PLAIN.fullmatch(text) is not None and "<|" not in text for text in texts]
+        for text, simple in zip(texts, plain):
+            cut.append(PART.findall(text.lower()) if simple else WORD.findall(text))
+            (parts if simple else words).update(cut[-1])
+        for known, found in ((self.parts, parts), (self, words)):
+            unknown = known.recall(found)
+            known.update(zip(unknown, self.encode(unknown)))
+        return [b"".join(map((self.parts if s else self).__getitem__, c)) for c, s in zip(cut, plain)]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -77,8 +93,13 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable:
         task, ranks = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             columns: list[list] = [[] for _ in range(6 + with_ids)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-                ids = words.document(text) + end
+            documents = (
+                pair
+                for part in slices(batch, "text", BYTES_PER_STEP)
+                for pair in zip(part.column("doc_id").to_pylist(), words.documents(texts_of(part.column("text"))))
+            )
+            for doc_id, ids in documents:
+                ids += end
                 for number, low in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[low : low + 4 * capacity]
                     length = len(piece) // 4
