@@ -1,27 +1,28 @@
 """License scan by a positional rare-token index.
 
-Template texts are indexed by word: postings of (template, position). Document frequencies of
-the templates' words are counted over all documents, and give each word its inverse document
-frequency. A document's license words of highest IDF are looked up; each of their places and
-each posting vote for a relative position of the template in the document. A relative position
-with enough weight is a candidate, and counts only if the template's mandatory key phrases
-stand in the document, word for word, around it.
+Template texts are indexed by word and position. Document frequencies of the templates' words
+are counted over all documents, and give each word its inverse document frequency. Each place of a
+template's word in the document votes with that weight for a relative position of the template;
+rare words weigh most, but all words vote, as the templates' vocabulary is bounded. A relative
+position with enough weight is a candidate, and counts only if the template's mandatory key
+phrases stand in the document, word for word, around it.
 
 Words are runs of ASCII letters, digits and all other non-ASCII characters, with A-Z in lower
 case. Positions count words from 0.
 
 Definitions: a null or empty text has no words, no labels and score 0; a null doc_id is kept as
-null; repeated rows give repeated results; of candidates with equal weight the first position
-counts, and labels are sorted; an empty table gives an empty result; further columns are not read.
+null; repeated rows give repeated results; labels are sorted; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +93,6 @@ TEMPLATES = {
     ),
 }
 
-RARE_WORDS = 12
 LEAST_WEIGHT = 0.1
 
 # All bytes of words stand for themselves, A-Z in lower case, other bytes for a space.
@@ -116,13 +116,12 @@ def _known_words(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Postings of the templates' words, their key phrases, and the word weights."""
+    """The templates' words by position, their key phrases, and the word weights."""
 
     weights: dict[bytes, float]
-    postings: dict[bytes, list[tuple[str, int]]]
+    texts: dict[str, list[bytes]]
     phrases: dict[str, list[list[bytes]]]
     totals: dict[str, float]
-    sizes: dict[str, int]
 
     @classmethod
     def build(cls, templates: dict, frequencies: dict[bytes, int], documents: int) -> Index:
@@ -131,32 +130,37 @@ class Index:
         weights = {
             w: math.log((documents + 1) / (frequencies.get(w, 0) + 1)) + 1e-6 for w in sorted(vocabulary)
         }
-        postings = defaultdict(list)
-        for label, words in texts.items():
-            for place, word in enumerate(words):
-                postings[word].append((label, place))
         phrases = {label: [_known_words(p) for p in keys] for label, (_, keys) in templates.items()}
-        totals = {label: sum(weights[w] for w in words) for label, words in texts.items()}
-        sizes = {label: len(words) for label, words in texts.items()}
-        return cls(weights, dict(postings), phrases, totals, sizes)
+        # added up word by word like votes are, so a whole match has a share of exactly 1
+        totals = {label: float(np.cumsum([0.0, *(weights[w] for w in words)])[-1]) for label, words in texts.items()}
+        return cls(weights, texts, phrases, totals)
 
     def found(self, words: list[bytes], present: set[bytes]) -> dict[str, float]:
-        """Labels whose template stands in the document, with the matched share of its weight."""
-        rare = sorted(present, key=lambda w: (-self.weights[w], w))[:RARE_WORDS]
-        places = positions(words, set(rare))
-        votes: dict[tuple[str, int], float] = defaultdict(float)
-        for word in rare:
-            for label, place in self.postings[word]:
-                for at in places[word]:
-                    votes[label, at - place] += self.weights[word]
+        """Labels whose template stands in the document, with the matched share of its weight.
+
+        All words of a template vote, so one that stands word for word has a share of 1.
+        """
+        labels = [
+            label for label, keys in self.phrases.items() if self.texts[label] and all(map(present.issuperset, keys))
+        ]
+        places = positions(words, {w for label in labels for w in self.texts[label]})
+        held = {w: np.array(at, np.int64) for w, at in places.items()}
         best: dict[str, float] = {}
-        for (label, start), weight in votes.items():
-            share = min(1.0, weight / self.totals[label])
-            if share >= LEAST_WEIGHT and share > best.get(label, 0.0):
-                low = max(0, start - self.sizes[label])
-                near = words[low : start + 2 * self.sizes[label]]
-                if all(any(True for _ in starts(near, phrase)) for phrase in self.phrases[label]):
-                    best[label] = share
+        for label in labels:
+            size = len(self.texts[label])
+            votes = np.zeros(len(words) + size)
+            for place, word in enumerate(self.texts[label]):
+                votes[held[word] - place + size] += self.weights[word]
+            shares = np.minimum(1.0, votes / self.totals[label])
+            at = np.flatnonzero(shares >= LEAST_WEIGHT)
+            low = np.maximum(0, at - 2 * size)
+            for phrase in self.phrases[label]:
+                stands = np.fromiter(starts(words, phrase), np.int64)
+                last = at + size - len(phrase)
+                near = np.searchsorted(stands, low) < np.searchsorted(stands, last, side="right")
+                at, low = at[near], low[near]
+            if len(at):
+                best[label] = float(shares[at].max())
         return best
 
 
@@ -239,7 +243,7 @@ def scan(docs: DataFrame, templates: dict | None = None, base: dict[str, str] |
                         own.add(label)
         best: dict[str, float] = {}
         if present & keys and any(present.issuperset(p) for p in phrase_words):
-            best = index.found(words, present & index.weights.keys())
+            best = index.found(words, present)
         score = max([*best.values(), 0.5 if own else 0.0])
         return (
             len(words),

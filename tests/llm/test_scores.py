@@ -137,3 +137,19 @@ def test_license_bases_and_labels(spark, documents, nasty, empty):
     labels = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(extra).collect()}
     assert "apache-2.0" in labels[1][0] and "gpl-3.0" in labels[2][0] and labels[4] == ("", 0.0)
     assert all(0 <= score <= 1 for _, score in labels.values())
+
+
+def test_every_notice_of_a_text_is_found(spark):
+    texts = {label: text for label, (text, _) in licenses.TEMPLATES.items()}
+    rows = [({a, b}, f"{texts[a]}. {texts[b]}.") for a in texts for b in texts]
+    rows.append((set(texts), "\n".join(texts.values())))
+    vocabulary = " ".join(sorted({w for text in texts.values() for w in re.split(r"\W+", text)}, reverse=True))
+    rows += [({label}, f"{vocabulary} {'filler ' * 5000}{text}") for label, text in texts.items()]
+    docs = [(n, text) for n, (_, text) in enumerate(rows)]
+    # the words of some licences are frequent, so those of others are rarer throughout
+    common = [t for label, t in texts.items() if "gpl" in label or label.startswith("cc") or label == "apache-2.0"]
+    docs += [(1000 + n, common[n % len(common)]) for n in range(400)]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    lost = {n: expected - set(found[n]["labels"].split(",")) for n, (expected, _) in enumerate(rows)}
+    assert not {n: labels for n, labels in lost.items() if labels}
+    assert all(found[n]["score"] == 1.0 for n in lost)
