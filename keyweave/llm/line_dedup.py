@@ -1,24 +1,32 @@
-"""Removal of repeated passages by content-defined chunks of lines.
-
-A text's lines are hashed; a rolling hash over the hashes of a line and the one before it decides
-where chunks end (on average every ``MEAN_LINES`` lines), so chunk boundaries move with the
-lines when something is put in before them. Chunks of several lines that more than one place of the corpus
-holds are candidates; their bytes are compared by grouping on the text itself. The first place
-(least doc_id, then least position) keeps the chunk, all others lose it.
-
-Lines end at line feeds and at ends of sentences (``.``, ``!``, ``?``), as a passage may stand inside one
-long line. Chunks are compared without the white space around them; what stays of a text is as it was.
-
-Definitions: a null text counts as empty: no lines, nothing removed; chunks of one line, or fewer than
-``LEAST_BYTES`` bytes, stay whatever repeats; a chunk that occurs twice in one document loses the later
-place; rows without a doc_id lose nothing and keep nothing from others; rows of one doc_id are told apart by
-nothing, so each loses what one loses; an empty table gives an empty result. ``strip`` carries all columns.
+"""Removal of repeated passages by content-defined chunks of words.
+
+A text is read as units: a word with the white space after it, or about two characters where a script has no
+spaces. The hash of two neighbouring units says how good a place for a cut is between them; a cut is where it is
+the least of ``WINDOW`` places on both sides, so cuts depend on nothing farther away, stand inside sentences and
+lines too (every 2 * ``WINDOW`` + 1 units on average) and move with the words when something is put in before
+them. Chunks that more than one place of the corpus holds are candidates; their bytes are compared by grouping on
+the text itself. The first place (least doc_id, then least position) keeps the chunk, all others lose it.
+
+With ``extend``, as the query does it, each run of removed chunks is carried on to both sides over the units that
+are equal to those around the place that keeps the chunk, up to the next repeated chunk, and goes only if it then
+has ``LEAST_RUN`` bytes. What the keeper has around a chunk is read back far enough (through one chunk that would
+have been found itself, and one more) to hold all that the two places share.
+
+Chunks are compared without the white space around them; what stays of a text is as it was.
+
+Definitions: a null text counts as empty: nothing removed; chunks of fewer than ``LEAST_BYTES`` bytes are not
+looked for themselves; a chunk that occurs twice in one document loses the later place; rows without a doc_id lose
+nothing and keep nothing from others; rows of one doc_id lose and keep alike; a run is not carried on into a
+chunk that the document keeps for others; a repeated passage without a whole chunk inside stays; an empty table
+gives an empty result. Lines, as ``removed_lines`` counts them, end at line feeds and at ends of sentences; parts
+count. ``strip`` carries all columns.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,41 +37,112 @@ from pyspark.sql import functions as F
 
 from keyweave.llm.common import IdFilter, cut_lineage, slices, texts_of
 
-MEAN_LINES = 3
-LEAST_LINES = 2
-MOST_LINES = 16
-LEAST_BYTES = 64
+WINDOW = 5
+LEAST_BYTES = 32
+LEAST_RUN = 64
 BYTES_PER_STEP = 4 << 20
+BYTES_PER_BLOCK = 1 << 20
 
 # The part of a line up to the end of a sentence or the line feed. Every character falls to one.
 LINE = re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n")
-ROLL = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
+ROLL = np.uint64(0x9E3779B97F4A7C15)
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+WORTH = np.where(SPACE, 0, np.arange(256) + 1).astype(np.uint64)
+POWERS = np.multiply.accumulate(np.full(1 << 16, ROLL, np.uint64))
+MOST = np.uint64((1 << 64) - 1)
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return keys ^ (keys >> np.uint64(29))
+
+
+def _unit_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a unit starts at each byte, but for the first byte of a text, where one always does."""
+    white = SPACE[data]
+    begins = ~white
+    begins[1:] &= white[:-1]
+    wide = np.flatnonzero(data >= 0xE0)
+    begins[wide[data[np.minimum(wide + 2, len(data) - 1)] & 1 == 0]] = True
+    return begins
+
+
+def _unit_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each unit without its white space."""
+    out = np.empty(len(at), np.uint64)
+    ends = np.append(at[1:], len(data))
+    first = 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(ends, at[first] + BYTES_PER_BLOCK)))
+        low, high = at[first], ends[last - 1]
+        within = np.arange(low, high) - np.repeat(at[first:last], ends[first:last] - at[first:last])
+        worth = WORTH[data[low:high]] * POWERS[within & 0xFFFF]
+        out[first:last] = np.add.reduceat(worth, at[first:last] - low)
+        first = last
+    return _mixed(out)
+
+
+def bounds(texts: list[str]) -> list[tuple[bytes, list[int]]]:
+    """Each text's bytes, and where its chunks start and the last one ends."""
+    encoded = [t.encode() for t in texts]
+    lengths = np.array([len(e) for e in encoded], np.int64)
+    filled = np.flatnonzero(lengths)
+    if not len(filled):
+        return [(e, [0]) for e in encoded]
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    heads = (np.cumsum(lengths) - lengths)[filled]
+    begins = _unit_starts(data)
+    begins[heads] = True
+    at = np.flatnonzero(begins)
+    own = _unit_hashes(data, at)
+    keys = own.copy()
+    keys[1:] = _mixed(own[:-1] * ROLL + own[1:])
+    firsts = np.searchsorted(at, heads)
+    keys[firsts] = MOST
+    # the places of different texts lie WINDOW apart
+    owner = np.zeros(len(at), np.int64)
+    owner[firsts] = 1
+    place = np.arange(len(at)) + WINDOW * np.cumsum(owner)
+    padded = np.full(int(place[-1]) + 1 + WINDOW, MOST)
+    padded[place] = keys
+    cut = padded < MOST
+    for step in range(1, WINDOW + 1):
+        cut[step:] &= padded[step:] < padded[:-step]
+        cut[:-step] &= padded[:-step] <= padded[step:]
+    cuts = at[cut[place]]
+    out: list[tuple[bytes, list[int]]] = [(e, [0]) for e in encoded]
+    lows, highs = np.searchsorted(cuts, heads), np.searchsorted(cuts, heads + lengths[filled])
+    for number, head, low, high in zip(filled.tolist(), heads.tolist(), lows.tolist(), highs.tolist()):
+        inner = (cuts[low:high] - head).tolist()
+        out[number] = encoded[number], [0, *inner, len(encoded[number])]
+    return out
 
 
 def chunks(text: str) -> list[tuple[int, str]]:
-    """(number of lines, text) of each chunk in order; joined they give the text again."""
-    lines = LINE.findall(text)
-    out: list[tuple[int, str]] = []
-    start, before = 0, 0
-    for at, line in enumerate(lines):
-        own = xxhash.xxh3_64_intdigest(line.strip())
-        rolled = (before * ROLL + own) & MASK
-        before = own
-        ends = (rolled >> 32) % MEAN_LINES == 0 and at + 1 - start >= LEAST_LINES
-        if ends or at + 1 - start >= MOST_LINES:
-            out.append((at + 1 - start, "".join(lines[start : at + 1])))
-            start = at + 1
-    if start < len(lines):
-        out.append((len(lines) - start, "".join(lines[start:])))
-    return out
+    """(number of bytes, text) of each chunk in order; joined they give the text again."""
+    [(data, ends)] = bounds([text])
+    return [(b - a, data[a:b].decode()) for a, b in zip(ends, ends[1:])]
+
+
+def _body(chunk: bytes) -> bytes | None:
+    """A chunk without the white space around it, or nothing where it is not looked for."""
+    body = chunk.decode().strip().encode()
+    return body if len(body) >= LEAST_BYTES else None
+
+
+def _bodies(data: bytes, ends: list[int]) -> Iterator[tuple[int, bytes, bytes]]:
+    """Place, bytes and hash of each chunk that is looked for."""
+    for place, (a, b) in enumerate(zip(ends, ends[1:])):
+        body = _body(data[a:b])
+        if body is not None:
+            yield place, body, xxhash.xxh3_128_digest(body)
 
 
 def marked(text: str) -> Iterator[tuple[int, int, str, bytes | None]]:
-    """Place, number of lines, text and hash of each chunk; the hash is null where the chunk stays anyway."""
+    """Place, number of bytes, text and hash of each chunk; the hash is null where the chunk stays anyway."""
     for place, (count, chunk) in enumerate(chunks(text)):
-        eligible = count >= LEAST_LINES and len(chunk) >= LEAST_BYTES
-        yield place, count, chunk, xxhash.xxh3_128_digest(chunk.strip()) if eligible else None
+        body = _body(chunk.encode())
+        yield place, count, chunk, None if body is None else xxhash.xxh3_128_digest(body)
 
 
 def _halves(digests: list[bytes]) -> list[pa.Array]:
@@ -71,15 +150,22 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_rows(batches: Iterator[pa.RecordBatch], wanted: IdFilter | None = None):
+    """Ids and cut texts, in steps that bound a task's memory."""
     for batch in (part for batch in batches for part in slices(batch, "text", BYTES_PER_STEP)):
+        if wanted is not None:
+            batch = batch.filter(pa.array(wanted.passes(batch.column("doc_id").to_numpy(zero_copy_only=False))))
+        yield list(zip(batch.column("doc_id").to_pylist(), bounds(texts_of(batch.column("text")))))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _cut_rows(batches):
         ids, places, digests = [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-            for place, _, _, digest in marked(text):
-                if digest is not None:
-                    ids.append(doc_id)
-                    places.append(place)
-                    digests.append(digest)
+        for doc_id, (data, ends) in rows:
+            for place, _, digest in _bodies(data, ends):
+                ids.append(doc_id)
+                places.append(place)
+                digests.append(digest)
         arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), *_halves(digests)]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "place", "h1", "h2"])
 
@@ -88,36 +174,77 @@ def _candidates(repeated: IdFilter):
     """Tasks that give the texts of chunks whose hash may be a repeated one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for batch in batches for part in slices(batch, "text", BYTES_PER_STEP)):
+        for rows in _cut_rows(batches):
             ids, texts, digests = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-                for _, _, chunk, digest in marked(text):
-                    if digest is not None:
-                        ids.append(doc_id)
-                        texts.append(chunk.strip())
-                        digests.append(digest)
+            for doc_id, (data, ends) in rows:
+                for _, body, digest in _bodies(data, ends):
+                    ids.append(doc_id)
+                    texts.append(body)
+                    digests.append(digest)
             h1, h2 = _halves(digests)
             found = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), h1, h2, pa.array(texts, pa.string())], ["doc_id", "h1", "h2", "chunk"]
+                [pa.array(ids, pa.int64()), h1, h2, pa.array(texts, pa.binary()).cast(pa.string())],
+                ["doc_id", "h1", "h2", "chunk"],
             )
             yield found.filter(pa.array(repeated.passes(h1.to_numpy(zero_copy_only=False))))
 
     return run
 
 
-def repeated_places(rows: DataFrame) -> DataFrame:
-    """doc_id, place, own: the places of chunks that repeat; ``own`` where the document keeps the chunk.
+def _around(data: bytes, ends: list[int], place: int) -> tuple[bytes, bytes]:
+    """What stands before and after a chunk, back and on through one chunk that is looked for, and one more."""
+    low = place
+    while low > 0:
+        low -= 1
+        if _body(data[ends[low] : ends[low + 1]]) is not None:
+            break
+    high = place + 1
+    while high < len(ends) - 1:
+        high += 1
+        if _body(data[ends[high - 1] : ends[high]]) is not None:
+            break
+    low, high = max(0, low - 1), min(len(ends) - 1, high + 1)
+    return data[ends[low] : ends[place]], data[ends[place + 1] : ends[high]]
+
+
+def _contexts(keepers: IdFilter, needed: IdFilter):
+    """Tasks that give what stands around the first place of chunks in the documents that keep them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cut_rows(batches, keepers):
+            ids, digests, lefts, rights = [], [], [], []
+            for doc_id, (data, ends) in rows:
+                found = list(_bodies(data, ends))
+                if not found:
+                    continue
+                h1 = _halves([d for _, _, d in found])[0].to_numpy(zero_copy_only=False)
+                seen = set()
+                for (place, _, digest), maybe in zip(found, needed.passes(h1).tolist()):
+                    if maybe and digest not in seen:
+                        seen.add(digest)
+                        left, right = _around(data, ends, place)
+                        ids.append(doc_id)
+                        digests.append(digest)
+                        lefts.append(left)
+                        rights.append(right)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), *_halves(digests), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())],
+                ["doc_id", "h1", "h2", "before", "after"],
+            )
+
+    return run
+
+
+def _verified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All places of chunks, and h1, h2, keeper of those that repeat, byte for byte.
 
     ``rows`` has doc_id and text. Chunks whose hash stands for different bytes are left out.
     """
-    known = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    places = cut_lineage(known.mapInArrow(_places, "doc_id long, place int, h1 long, h2 long"))
+    places = cut_lineage(rows.mapInArrow(_places, "doc_id long, place int, h1 long, h2 long"))
     hashes = cut_lineage(
         places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     )
-    texts = known.mapInArrow(
-        _candidates(IdFilter(hashes.select("h1"))), "doc_id long, h1 long, h2 long, chunk string"
-    )
+    texts = rows.mapInArrow(_candidates(IdFilter(hashes.select("h1"))), "doc_id long, h1 long, h2 long, chunk string")
     # sums in each task come first, so a passage of a third of all documents is a few rows here
     compared = texts.groupBy("h1", "h2", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"))
     verified = (
@@ -126,51 +253,176 @@ def repeated_places(rows: DataFrame) -> DataFrame:
         .filter("variants = 1 and n > 1")
         .select("h1", "h2", "keeper")
     )
-    # merge joins at any size, which adaptive execution splits where one chunk is frequent
-    return places.join(verified.hint("merge"), ["h1", "h2"]).select(
-        "doc_id", "place", (F.col("doc_id") == F.col("keeper")).alias("own")
-    )
+    return places, cut_lineage(verified)
+
+
+def _removed(marks: list[dict]) -> dict[int, bool]:
+    """By place of a repeated chunk, whether it goes: all but the first place of those the document keeps."""
+    out, seen = {}, set()
+    for mark in sorted(marks, key=lambda m: m["place"]):
+        key = (mark["h1"], mark["h2"])
+        out[mark["place"]] = not mark["own"] or key in seen
+        seen.add(key)
+    return out
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where runs of removed chunks begin and end beside chunks that do not repeat."""
+    for batch in batches:
+        out: list[tuple] = []
+        for doc_id, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            gone = _removed(marks)
+            for m in marks:
+                if gone[m["place"]]:
+                    for after, beside in ((False, m["place"] - 1), (True, m["place"] + 1)):
+                        if beside >= 0 and beside not in gone:
+                            out.append((doc_id, m["place"], after, m["h1"], m["h2"]))
+        columns = list(zip(*out)) or [()] * 5
+        types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], ["edge_id", "place", "after", "h1", "h2"]
+        )
+
+
+def _units(data: bytes) -> list[bytes]:
+    if not data:
+        return []
+    begins = _unit_starts(np.frombuffer(data, np.uint8))
+    begins[0] = True
+    at = [*np.flatnonzero(begins).tolist(), len(data)]
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def _common_after(data: bytes, other: bytes) -> int:
+    """Bytes of the units that both begin with."""
+    size = 0
+    for own, theirs in zip(_units(data), _units(other)):
+        if own.rstrip() != theirs.rstrip():
+            break
+        size += len(own)
+        if own != theirs:
+            break
+    return size
 
 
-def _without(text: str, places: dict[int, bool]) -> tuple[str, int, int, int]:
+def _common_before(data: bytes, other: bytes) -> int:
+    """Bytes of the units that both end with."""
+    size = 0
+    for own, theirs in zip(reversed(_units(data)), reversed(_units(other))):
+        if own != theirs and (size or own.rstrip() != theirs.rstrip()):
+            break
+        size += len(own)
+    return size
+
+
+def _without(cut: tuple[bytes, list[int]], marks: list[dict] | None, extend: bool) -> tuple[str, int, int, int]:
     """What stays of a text, and its numbers of chunks, removed chunks and removed lines."""
-    kept, seen, total, removed, lines = [], set(), 0, 0, 0
-    for place, count, chunk, digest in marked(text):
-        total += 1
-        own = places.get(place)
-        if own is None or (own and digest not in seen):
-            kept.append(chunk)
-            seen.add(digest)
+    data, ends = cut
+    total = len(ends) - 1
+    here = {place: digest for place, _, digest in _bodies(data, ends)} if marks else {}
+    # rows of one doc_id may have different texts
+    marks = [m for m in marks or [] if here.get(m["place"]) == np.array([m["h1"], m["h2"]], "<i8").tobytes()]
+    gone = _removed(marks)
+    around = {(m["place"], side): m[side] for m in marks for side in ("before", "after") if extend and m[side]}
+    places = sorted(p for p, goes in gone.items() if goes)
+    known = sorted(gone)
+    runs: list[list[int]] = []  # first and last byte, and number of chunks
+    at = 0
+    while at < len(places):
+        first = at
+        while at + 1 < len(places) and places[at + 1] == places[at] + 1:
+            at += 1
+        low, high = ends[places[first]], ends[places[at] + 1]
+        if extend:
+            earlier = bisect_left(known, places[first])
+            floor = max(runs[-1][1] if runs else 0, ends[known[earlier - 1] + 1] if earlier else 0)
+            later = earlier + at - first + 1
+            ceiling = ends[known[later]] if later < len(known) else len(data)
+            low -= _common_before(data[floor:low], around.get((places[first], "before"), b""))
+            high += _common_after(data[high:ceiling], around.get((places[at], "after"), b""))
+        if runs and runs[-1][1] == low:
+            runs[-1][1:] = high, runs[-1][2] + at - first + 1
         else:
-            removed += 1
-            lines += count
-    return "".join(kept), total, removed, lines
+            runs.append([low, high, at - first + 1])
+        at += 1
+    kept, removed, lines, done = [], 0, 0, 0
+    for low, high, count in runs:
+        if not extend or len(data[low:high].strip()) >= LEAST_RUN:
+            kept.append(data[done:low])
+            removed += count
+            lines += len(LINE.findall(data[low:high].decode()))
+            done = high
+    kept.append(data[done:])
+    return b"".join(kept).decode(), total, removed, lines
+
+
+def _marks(docs: DataFrame, extend: bool) -> tuple[DataFrame, IdFilter]:
+    """marked_id, marks: the repeated chunks of each document, and what their keepers have beside runs of them."""
+    rows = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .filter(F.col("doc_id").isNotNull())
+    )
+    places, verified = _verified(rows)
+    # merge joins at any size, which adaptive execution splits where one chunk is frequent
+    repeated = places.join(verified.hint("merge"), ["h1", "h2"]).select(
+        F.col("doc_id").alias("marked_id"),
+        F.struct("place", "h1", "h2", (F.col("doc_id") == F.col("keeper")).alias("own")).alias("mark"),
+    )
+    # as many places as the document has chunks
+    by_document = cut_lineage(repeated.groupBy("marked_id").agg(F.collect_set("mark").alias("marks")))
+    if extend:
+        edges = cut_lineage(
+            by_document.mapInArrow(_edges, "edge_id long, place int, after boolean, h1 long, h2 long")
+        )
+        needed = cut_lineage(verified.join(edges.select("h1", "h2").distinct().hint("merge"), ["h1", "h2"], "left_semi"))
+        found = rows.mapInArrow(
+            _contexts(IdFilter(needed.select("keeper")), IdFilter(needed.select("h1"))),
+            "doc_id long, h1 long, h2 long, before binary, after binary",
+        ).withColumnRenamed("doc_id", "keeper")
+        beside = cut_lineage(
+            found.join(needed.hint("merge"), ["h1", "h2", "keeper"])
+            .groupBy("h1", "h2")
+            .agg(F.min(F.struct("before", "after")).alias("beside"))
+        )
+        sides = (
+            edges.join(beside.hint("merge"), ["h1", "h2"])
+            .select(
+                "edge_id",
+                F.struct(
+                    "place", "after", F.when(F.col("after"), F.col("beside.after")).otherwise(F.col("beside.before")).alias("text")
+                ).alias("side"),
+            )
+            .groupBy("edge_id")
+            .agg(F.collect_set("side").alias("sides"))
+        )
+        joined = by_document.join(sides.hint("merge"), by_document["marked_id"] == sides["edge_id"], "left")
+    else:
+        joined = by_document.withColumn("sides", F.lit(None).cast("array<struct<place:int,after:boolean,text:binary>>"))
+    return cut_lineage(joined.select("marked_id", "marks", "sides")), IdFilter(by_document.select("marked_id"))
 
 
-def _marks(docs: DataFrame) -> tuple[DataFrame, IdFilter]:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # as many places as the document has chunks
-    by_document = cut_lineage(
-        repeated_places(rows)
-        .groupBy(F.col("doc_id").alias("marked_id"))
-        .agg(F.collect_set(F.struct("place", "own")).alias("places"))
-    )
-    return by_document, IdFilter(by_document.select("marked_id"))
+def _marks_of(marks: list | None, sides: list | None) -> list[dict]:
+    beside = {(s["place"], s["after"]): s["text"] for s in sides or []}
+    return [
+        m | {"before": beside.get((m["place"], False)), "after": beside.get((m["place"], True))} for m in marks or []
+    ]
 
 
-def _places_of(value: list | None) -> dict[int, bool]:
-    return {p["place"]: p["own"] for p in value or []}
+def _stripped(batch: pa.RecordBatch, extend: bool) -> Iterator[tuple[str, int, int, int]]:
+    cut = bounds(texts_of(batch.column("text")))
+    marks, sides = (batch.column(batch.num_columns - n).to_pylist() for n in (2, 1))
+    for row, mark, side in zip(cut, marks, sides):
+        yield _without(row, _marks_of(mark, side), extend)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, extend: bool = False) -> DataFrame:
     """One row per document: doc_id, n_chunks, removed_chunks, removed_lines, kept_chars, kept_sha256."""
-    marks, found = _marks(docs)
+    marks, found = _marks(docs, extend)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, places = texts_of(batch.column("text")), batch.column("places").to_pylist()
-            out = [_without(t, _places_of(p)) for t, p in zip(texts, places)]
+        for batch in (part for batch in batches for part in slices(batch, "text", BYTES_PER_STEP)):
+            out = list(_stripped(batch, extend))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -181,13 +433,13 @@ def report(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_chunks", "removed_chunks", "removed_lines", "kept_chars", "kept_sha256"],
             )
 
-    nothing = F.lit(None).cast(marks.schema["places"].dataType).alias("places")
+    nothing = [F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ("marks", "sides")]
     maybe = found.split(rows, "doc_id", members=True)
-    joined = maybe.join(marks.hint("merge"), maybe["doc_id"] == marks["marked_id"], "left").select("doc_id", "text", "places")
+    joined = maybe.join(marks.hint("merge"), maybe["doc_id"] == marks["marked_id"], "left")
     return (
         found.split(rows, "doc_id", members=False)
-        .select("doc_id", "text", nothing)
-        .unionByName(joined)
+        .select("doc_id", "text", *nothing)
+        .unionByName(joined.select("doc_id", "text", "marks", "sides"))
         .mapInArrow(
             run,
             "doc_id long, n_chunks long, removed_chunks long, removed_lines long, kept_chars long, kept_sha256 string",
@@ -195,23 +447,21 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def strip(docs: DataFrame) -> DataFrame:
+def strip(docs: DataFrame, extend: bool = False) -> DataFrame:
     """The documents with repeated passages taken out of their texts, with all their columns."""
-    marks, found = _marks(docs)
+    marks, found = _marks(docs, extend)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "text", BYTES_PER_STEP)):
             at = batch.schema.get_field_index("text")
-            places = batch.column(batch.num_columns - 1).to_pylist()
-            texts = [
-                t if not p else _without(t or "", _places_of(p))[0] for t, p in zip(batch.column(at).to_pylist(), places)
-            ]
-            columns = batch.columns[:-1]
+            given = batch.column(at).to_pylist()
+            texts = [o[0] if o[2] else t for o, t in zip(_stripped(batch, extend), given)]
+            columns = batch.columns[:-2]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
 
     maybe = found.split(docs, "doc_id", members=True)
     joined = maybe.join(marks.hint("merge"), maybe["doc_id"].cast("long") == marks["marked_id"], "left")
     return found.split(docs, "doc_id", members=False).unionByName(
-        joined.select(*(maybe[c] for c in docs.columns), marks["places"]).mapInArrow(run, docs.schema)
+        joined.select(*(maybe[c] for c in docs.columns), marks["marks"], marks["sides"]).mapInArrow(run, docs.schema)
     )

@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.report(documents(spark, folder))
+    return line_dedup.report(documents(spark, folder), extend=True)
 
 
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:

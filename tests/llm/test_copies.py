@@ -220,3 +220,51 @@ def test_fingerprints_survive_shifts():
     a, b, c = fingerprints.sketches([text, "some words in front " + text, text[::-1]])
     assert fingerprints.likeness(a[None], b[None])[0] > 0.85
     assert fingerprints.likeness(a[None], c[None])[0] < 0.1
+
+
+def windows(text, size=50):
+    words = text.split()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def test_planted_passages_of_fifty_to_eighty_words_go_whole(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    passages, texts = [], []
+    for n in range(300):
+        # every other passage is a single sentence or line
+        mark = "" if n % 2 else "."
+        passages.append(" ".join(word() + mark * (k % 12 == 11) for k in range(rng.randint(50, 80))))
+        for _ in range(2):
+            before, after = (" ".join(word() for _ in range(rng.randint(0, 90))) for _ in range(2))
+            texts.append((before, f"{before} {passages[n]} {after}".strip(), after))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(order[i], t[1]) for i, t in enumerate(texts)], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in line_dedup.strip(docs, extend=True).collect()}
+    known, repeated, gone, whole = set(), 0, 0, 0
+    for i in sorted(range(len(texts)), key=order.__getitem__):
+        before, text, after = texts[i]
+        found = windows(text) & known  # brute force, without the chunker
+        known |= windows(text)
+        kept = left[order[i]]
+        if found:
+            repeated += 1
+            gone += not found & windows(kept)
+            whole += kept.split() == f"{before} {after}".split()
+        else:
+            assert kept == text
+    assert repeated == 300 and gone >= 0.98 * repeated and whole == gone
+
+
+def test_extension_spares_what_others_rely_on(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.random()}" for _ in range(400)]
+    text = " ".join(words)
+    rows = [(1, text), (2, text.replace(words[200], "edited")), (3, text.replace(words[200], "edited")), (None, text)]
+    left = {
+        r["doc_id"]: r["text"].split()
+        for r in line_dedup.strip(spark.createDataFrame(rows, "doc_id long, text string"), extend=True).collect()
+    }
+    assert left[1] == words and left[3] == [] and left[None] == words
+    assert "edited" in left[2] and len(left[2]) < 40
