@@ -2,7 +2,7 @@
 
 Each scan task (a sender) sorts the distinct 64-bit fingerprints of its texts and sends every
 owner its range as one Golomb-Rice coded message. Owners decode the messages of all senders,
-find fingerprints held by more than one text and answer each message with a bitmap. Senders
+find fingerprints held by more than one text (rows without an id send theirs too) and answer each message with a bitmap. Senders
 read the bitmaps against their own sorted lists and so learn which of their documents are
 suspects. Only suspects are shuffled with their texts, grouped by the text itself, so
 that equality is decided on bytes.
@@ -77,9 +77,9 @@ def _senders(owners: int):
     """Tasks that turn their rows into one coded message for each owner, with their own ids kept."""
     width = (1 << 64) // owners + 1
 
-    def messages(keys: np.ndarray, ids: np.ndarray, part: int) -> pa.RecordBatch:
+    def messages(keys: np.ndarray, ids: np.ndarray, known: np.ndarray, part: int) -> pa.RecordBatch:
         order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
+        keys, ids, known = keys[order], ids[order], known[order]
         distinct, first, counts = np.unique(keys, return_index=True, return_counts=True)
         bounds = [min(o * width, (1 << 64) - 1) for o in range(owners + 1)]
         cuts = np.searchsorted(distinct, np.array(bounds, dtype=np.uint64), side="left")
@@ -96,10 +96,11 @@ def _senders(owners: int):
                     np.packbits(counts[low:high] > 1).tobytes(),
                     counts[low:high].astype("<u4").tobytes(),
                     ids[ends[low] : ends[high]].astype("<i8").tobytes(),
+                    None if known[ends[low] : ends[high]].all() else np.packbits(known[ends[low] : ends[high]]).tobytes(),
                 )
             )
-        names = ["sender", "owner", "message", "repeated", "counts", "ids"]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["sender", "owner", "message", "repeated", "counts", "ids", "known"]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         columns = zip(*rows) if rows else [[]] * len(names)
         return pa.RecordBatch.from_arrays(
             [pa.array(list(c), t) for c, t in zip(columns, types)], names
@@ -108,18 +109,19 @@ def _senders(owners: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        known: list[np.ndarray] = []
         held = part = 0
         for batch in batches:
-            known = batch.filter(batch.column(0).is_valid())
-            texts = texts_of(known.column(1))
+            texts = texts_of(batch.column(1))
             keys.append(np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts)))
-            ids.append(known.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            known.append(np.asarray(batch.column(0).is_valid(), dtype=bool))
             held += len(texts)
             if held >= KEYS_PER_SENDER_MESSAGE:
-                yield messages(np.concatenate(keys), np.concatenate(ids), part)
-                keys, ids, held, part = [], [], 0, part + 1
+                yield messages(np.concatenate(keys), np.concatenate(ids), np.concatenate(known), part)
+                keys, ids, known, held, part = [], [], [], 0, part + 1
         if held:
-            yield messages(np.concatenate(keys), np.concatenate(ids), part)
+            yield messages(np.concatenate(keys), np.concatenate(ids), np.concatenate(known), part)
 
     return send
 
@@ -146,15 +148,18 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
 def _suspect_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sender reads the bitmaps against its own sorted list."""
     for batch in batches:
-        for counts, ids, bitmap in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for counts, ids, known, bitmap in zip(*(batch.column(i).to_pylist() for i in range(4))):
             sizes = np.frombuffer(counts, "<u4").astype(np.int64)
             marked = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(sizes)).astype(bool)
-            found = np.frombuffer(ids, "<i8")[np.repeat(marked, sizes)]
+            rows = np.repeat(marked, sizes)
+            if known is not None:  # rows without an id are grouped anyway
+                rows &= np.unpackbits(np.frombuffer(known, np.uint8), count=len(rows)).astype(bool)
+            found = np.frombuffer(ids, "<i8")[rows]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(found), pa.int64())], ["suspect_id"])
 
 
 def suspects(rows: DataFrame, owners: int | None = None) -> DataFrame:
-    """Ids (column ``suspect_id``) of the documents whose fingerprint another document has too.
+    """Ids (column ``suspect_id``) of the documents whose fingerprint another row has too, be it without an id.
 
     ``rows`` has the columns ``doc_id`` and ``text``.
     """
@@ -162,7 +167,7 @@ def suspects(rows: DataFrame, owners: int | None = None) -> DataFrame:
     sent = cut_lineage(
         rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
             _senders(owners),
-            "sender long, owner int, message binary, repeated binary, counts binary, ids binary",
+            "sender long, owner int, message binary, repeated binary, counts binary, ids binary, known binary",
         )
     )
     answers = (
@@ -172,7 +177,7 @@ def suspects(rows: DataFrame, owners: int | None = None) -> DataFrame:
     )
     return cut_lineage(
         sent.join(answers, ["sender", "owner"])
-        .select("counts", "ids", "bitmap")
+        .select("counts", "ids", "known", "bitmap")
         .mapInArrow(_suspect_ids, "suspect_id long")
     )
 

@@ -268,3 +268,12 @@ def test_extension_spares_what_others_rely_on(spark):
     }
     assert left[1] == words and left[3] == [] and left[None] == words
     assert "edited" in left[2] and len(left[2]) < 40
+
+
+def test_a_row_without_an_id_is_a_copy_of_one_with_an_id(spark):
+    rows = [(5, "same text"), (None, "same text"), (None, "alone"), (6, "other"), (0, "zero"), (None, "twice"), (None, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for given in (docs, docs.repartition(7), docs.coalesce(1)):
+        assert Counter(map(tuple, exact_dedup.groups(given).collect())) == brute_groups(docs)
+        kept = {(r["doc_id"], r["text"]) for r in exact_dedup.deduplicate(given).collect()}
+        assert kept == {(5, "same text"), (None, "alone"), (6, "other"), (0, "zero"), (None, "twice")}
