@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import byte_bpe, exact_dedup, fingerprints, licenses, line_dedup, minhash, packing, quality, token_count, toxicity
+from keyweave.llm import (
+    byte_bpe,
+    exact_dedup,
+    fingerprints,
+    licenses,
+    line_dedup,
+    minhash,
+    oracles,
+    packing,
+    quality,
+    secret_scan,
+    token_count,
+    toxicity,
+)
 from keyweave.llm.common import documents
 
 
@@ -68,6 +81,10 @@ def op10_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(docs, _vocabulary("byte_bpe_50k.json"), _pattern(), limit=1024)
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_token_count": op10_token_count,
+    "op11_secrets": op11_secrets,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +109,5 @@ ORACLES: dict[str, str] = {
         from documents
         window w as (partition by coalesce(text, ''))
     """,
+    "op11_secrets": oracles.secrets(),
 }
