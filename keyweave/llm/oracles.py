@@ -77,3 +77,74 @@ def secrets(rules: secret_scan.Rules = secret_scan.RULES) -> str:
                coalesce(string_agg({one}, ',' order by s, r, e), '') as spans
         from d left join spans using (rid) group by rid, doc_id
     """
+
+
+def clusters(count: int = 40, rounds: int = 5, dimensions: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Rounds of assignment by measuring every vector against every centroid."""
+    steps = [
+        f"""kept as materialized (select row_number() over () as r, vec_id, embedding as x from embeddings
+            where len(embedding) = {dimensions} and len(list_filter(embedding, lambda y: isfinite(y))) = {dimensions})""",
+        f"""parts as materialized (select r, vec_id, i, floor({scale} * y::double)::bigint as v from
+            (select r, vec_id, generate_subscripts(x, 1) as i, unnest(x) as y from kept))""",
+        f"""seeds as (select r, row_number() over (order by sha256('{seed}:' || vec_id), x) - 1 as k from kept
+            where vec_id is not null qualify k < {count})""",
+        "c0 as materialized (select k, i, v from seeds join parts using (r))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} as materialized (select r, arg_min(k, (d, k)) as k, min(d) as d from
+                (select r, k, sum((p.v - c.v) * (p.v - c.v)) as d from parts p join c{n} c using (i) group by r, k) group by r)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} as materialized (select k, i, coalesce(m.v, c.v) as v from c{n} c left join
+                    (select k, i, floor(sum(v) / count(*))::bigint as v from parts join a{n} using (r) group by k, i) m using (k, i))"""
+            )
+    return f"""
+        with {", ".join(steps)},
+        digests as (select k, sha256(string_agg(v::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by k)
+        select vec_id, k::int as cluster, d::bigint as distance, (sum(d) over (partition by k))::bigint as cluster_inertia,
+               (sum(d) over ())::bigint as inertia, centroid_sha256
+        from a{rounds} join kept using (r) join digests using (k)
+    """
+
+
+def resampling(buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: int = 2024) -> str:
+    """Counts, gains, scores and ranks with each distinct word's CRC folded byte by byte."""
+    import string
+
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    words = f"unnest(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))"
+    bit = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    return f"""
+        with recursive
+        bits(b, c, n) as (select b, b::bigint, 0 from range(256) t(b) union all select b, {bit}, n + 1 from bits where n < 8),
+        step as materialized (select b, c from bits where n = 8),
+        d as materialized (select row_number() over () as r, doc_id, text from documents),
+        own as materialized (select r, {words} as w from d),
+        aim as materialized (select {words} as w from benchmark),
+        vocabulary as materialized (select w, hex(encode(w)) as h from (select w from own union select w from aim)),
+        folds(w, h, pos, c) as (
+            select w, h, 1, 4294967295 from vocabulary
+            union all
+            select w, h, pos + 2, xor(folds.c >> 8, step.c) from folds
+            join step on step.b = xor(folds.c, ('0x' || substr(h, pos, 2))::bigint) & 255
+            where pos < length(h)),
+        hashed as materialized (select w, xor(c, 4294967295) % {buckets} as bucket from folds where pos > length(h)),
+        raw as (select bucket, count(*) as s from own join hashed using (w) group by bucket),
+        wanted as (select bucket, count(*) as t from aim join hashed using (w) group by bucket),
+        gains as materialized (
+            select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from own) + {buckets})::double
+                / ((s + 1)::double * ((select count(*) from aim) + {buckets})::double)))::bigint as gain
+            from raw left join wanted using (bucket)),
+        weights as (select r, count(*) as n, sum(gain)::bigint as weight from own join hashed using (w) join gains using (bucket) group by r),
+        scored as materialized (
+            select r, doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+                   (coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                       (('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296))))::bigint as score
+            from d left join weights using (r)),
+        placed as (select r, row_number() over (order by score desc, doc_id nulls last) as rank from scored where n_features >= {least_words})
+        select doc_id, n_features, weight, score,
+               case when rank <= (select count(*) from placed) * {percent} // 100 then rank end as rank
+        from scored left join placed using (r)
+    """

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.llm import (
     byte_bpe,
+    centroid_clustering,
     exact_dedup,
     fingerprints,
     licenses,
@@ -16,6 +17,7 @@ from keyweave.llm import (
     oracles,
     packing,
     quality,
+    resampling,
     secret_scan,
     token_count,
     toxicity,
@@ -85,6 +87,15 @@ def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(documents(spark, folder))
 
 
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clustering.cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return resampling.resample(docs, resampling.learn(docs, spark.read.parquet(f"{folder}/benchmark.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -97,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_token_count": op10_token_count,
     "op11_secrets": op11_secrets,
+    "op12_clusters": op12_clusters,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,4 +123,6 @@ ORACLES: dict[str, str] = {
         window w as (partition by coalesce(text, ''))
     """,
     "op11_secrets": oracles.secrets(),
+    "op12_clusters": oracles.clusters(),
+    "op13_resampling": oracles.resampling(),
 }
