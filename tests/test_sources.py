@@ -1,6 +1,7 @@
 """Text files in several encodings, response bodies, definitions and sinks."""
 
 import json
+import time
 
 import pytest
 
@@ -76,6 +77,42 @@ def test_bodies(spark):
     assert exact.records == ['{"big": 1e400, "price": 1.10, "text": "n1.5"}']
 
 
+def test_hostile_bodies(spark):
+    for body in ("[" * 200_000, '{"a":' * 100_000 + "1" + "}" * 100_000, "<a>" * 100_000 + "</a>" * 100_000):
+        r = one(spark, body)
+        assert "nested too deeply" in r.error and not r.records and r.format is None
+    # nothing that stands in a string passes for a number
+    assert one(spark, '[{"x": "\\u0000n5", "y": 1.50}]').records == ['{"x": "\\u0000n5", "y": 1.50}']
+    half = one(spark, '[{"x": "\\ud800", "y": "é"}]')
+    assert half.error is None and json.loads(half.records[0]) == {"x": "\ud800", "y": "é"}
+    long_error = "<!doctype html>" + "x" * 500
+    assert one(spark, "busy " + long_error).error.endswith(long_error)
+    nested = '{"item": {"item": {"q": {"item": {"z": 1}}}, "w": {"item": {"z": 2}}}}'
+    assert one(spark, nested).records == ['{"z": 1}']
+
+
+def seconds(spark, texts, made):
+    df = spark.createDataFrame([(t,) for t in texts], "b string")
+    start = time.perf_counter()
+    rows = df.select(made("b").alias("r")).collect()
+    return time.perf_counter() - start, [r.r for r in rows]
+
+
+def test_time_follows_the_size_of_a_body(spark):
+    one(spark, "{}")
+    body = json.dumps({"a": {"rows": [{"i": i, "s": f"é{i}"} for i in range(5000)], "single": [1] * 50, "totalCount": "5,000"}})
+    took, (r,) = seconds(spark, [body], responses.read_body)
+    assert took < 5 and len(r.records) == r.total == 5000 and json.loads(r.records[-1]) == {"i": 4999, "s": "é4999"}
+    # as many single items, none of them in a list
+    items = "{" + ", ".join(f'"k{i}": {{"item": {{"i": {i}}}}}' for i in range(5000)) + "}"
+    took, (r,) = seconds(spark, [items], responses.read_body)
+    assert took < 5 and r.records == ['{"i": 0}']
+    record = json.dumps({f"k{i}": [i] if i % 2 else i for i in range(2000)} | {"k": {"1": "no"}, "z": {"0": 1}, "z_0": 2})
+    record = record[:-1] + ', "k_9": 1}'
+    took, (flat,) = seconds(spark, [record], responses.flatten_record)
+    assert took < 5 and len(flat) == 2003 and flat["z_0"] == "2" and flat["k1999"] == "[1999]" and flat["k_9"] == "1"
+
+
 def test_all_landed_pages_stay(spark):
     rows = [(1, p, [f"{p}-{i}" for i in range(2)], 500, None) for p in range(1, 101)]
     rows += [(2, p, ["same", "page"], None, None) for p in range(1, 5)] + [(2, 5, [], None, "99:busy"), (2, 6, ["late"], None, None)]
