@@ -138,12 +138,22 @@ def dataset_ids(operations: DataFrame) -> DataFrame:
 
 
 def catalog(profiles: DataFrame, operations: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
-    """One entry per table: metadata of its operation plus its columns."""
-    described = profiles
+    """One entry per table: metadata of its operation plus its columns.
+
+    Columns are described by ``definitions`` and by the ``fields`` of the table's operation, where ``operations``
+    holds them; a table that has definitions of its own takes none from the operation.
+    """
+    tables = dataset_ids(operations)
+    if "fields" in operations.columns:
+        told = field_definitions(tables)
+        if definitions is not None:
+            told = told.join(definitions.select("dataset_id").distinct(), "dataset_id", "left_anti")
+            told = told.unionByName(definitions.select(*told.columns))
+        definitions = told
     if definitions is not None:
         described = merge_definitions(profiles, definitions)
     else:
-        described = described.withColumn("desc", F.lit(""))
+        described = profiles.withColumn("desc", F.lit(""))
     columns = described.groupBy("dataset_id").agg(
         F.max("rows").alias("rows"),
         F.array_sort(
@@ -153,15 +163,22 @@ def catalog(profiles: DataFrame, operations: DataFrame, definitions: DataFrame |
         ).alias("columns"),
         F.max(F.col("desc") != "").alias("has_definitions"),
     )
-    meta = dataset_ids(operations).select(
+    meta = tables.select(
         F.col("table_id").alias("dataset_id"),
         F.col("dataset_id").alias("parent_dataset_id"),
-        *[c for c in operations.columns if c not in ("dataset_id", "position", "operation")],
+        *[c for c in operations.columns if c not in ("dataset_id", "position", "operation", "fields")],
     )
     entries = columns.join(column_lists(profiles), "dataset_id").join(meta, "dataset_id", "left")
     return entries.withColumn("parent_dataset_id", F.coalesce("parent_dataset_id", "dataset_id"))
 
 
+def field_definitions(tables: DataFrame) -> DataFrame:
+    """``(dataset_id, item, desc)`` from the ``fields`` of each table's operation; of equal names the first counts."""
+    fields = tables.select(F.col("table_id").alias("dataset_id"), F.posexplode("fields").alias("at", "f"))
+    named = fields.where(F.col("f.name") != "")
+    return named.groupBy("dataset_id", F.col("f.name").alias("item")).agg(F.min_by("f.desc", "at").alias("desc"))
+
+
 def merge_definitions(profiles: DataFrame, definitions: DataFrame) -> DataFrame:
     """Add the description of each column from ``(dataset_id, item, desc)``.
 
@@ -216,8 +233,16 @@ def service_totals(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.withColumn("joinable_pairs", pairs.scalar())
 
 
+# What a card says of a dataset, and how many columns it names (fixed values).
+CARD_TEXTS = ("title", "description", "provider", "category", "keywords")
+CARD_TIMES, CARD_NUMBERS = 3, 8
+
+
 def dataset_cards(entries: DataFrame, edges: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Summary of every dataset: sizes, columns by role, joinable count, close neighbours."""
+    """Summary of every dataset: what it is, sizes, columns by role, joinable count, close neighbours.
+
+    Of ``CARD_TEXTS`` those that the entries hold are shown.
+    """
     joinable = edges.groupBy(F.col("a").alias("dataset_id")).agg(F.count(F.lit(1)).alias("joinable_count"))
     near = neighbours.groupBy(F.col("a").alias("dataset_id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "other", "level", "match_rate"))).alias("neighbours")
@@ -227,10 +252,11 @@ def dataset_cards(entries: DataFrame, edges: DataFrame, neighbours: DataFrame) -
         .join(near, "dataset_id", "left")
         .select(
             "dataset_id",
+            *[c for c in CARD_TEXTS if c in entries.columns],
             "rows",
             F.size("columns").alias("n_columns"),
-            "time_columns",
-            "numeric_columns",
+            F.slice("time_columns", 1, CARD_TIMES).alias("time_columns"),
+            F.slice("numeric_columns", 1, CARD_NUMBERS).alias("numeric_columns"),
             F.coalesce("joinable_count", F.lit(0)).alias("joinable_count"),
             "columns",
             F.coalesce(F.col("neighbours.other"), F.array().cast("array<string>")).alias("neighbours"),

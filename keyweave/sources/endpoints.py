@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyweave.functions.casts import SPACE_CLASS, as_column, strip
+from keyweave.functions.nested import items, let, members, one_per_name, walk
 from keyweave.operators.sorting import top_k_per_group
 
 # Parameters every service has for paging and format (fixed values).
@@ -18,6 +19,7 @@ NO_SAMPLE = ("-", "없음")
 
 # Response fields of the envelope that are no data (fixed values).
 ENVELOPE_FIELDS = ("resultCode", "resultMsg", "numOfRows", "pageNo", "totalCount")
+ENVELOPE_LEVELS = ("header", "body", "items", "item")
 
 
 def endpoint_path(url: Column | str) -> Column:
@@ -130,58 +132,21 @@ LABELS = {"update_cycle": "갱신주기", "keywords": "키워드", "category": "
 TABLE_MARK = "항목명(영문)"
 REQUIRED_MARK = "필수"
 
-_FIELD = T.StructType(
-    [T.StructField("description", T.StringType()), T.StructField("type", T.StringType())]
-)
-_PARAMETER = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("required", T.BooleanType()),
-        T.StructField("type", T.StringType()),
-    ]
-)
-_CALL = T.StructType(
-    [
-        T.StructField("operationId", T.StringType()),
-        T.StructField("summary", T.StringType()),
-        T.StructField("parameters", T.ArrayType(_PARAMETER)),
-        T.StructField(
-            "responses",
-            T.MapType(
-                T.StringType(),
-                T.StructType(
-                    [
-                        T.StructField(
-                            "schema", T.StructType([T.StructField("properties", T.MapType(T.StringType(), _FIELD))])
-                        )
-                    ]
-                ),
-            ),
-        ),
-    ]
-)
-DESCRIPTION = T.StructType(
-    [
-        T.StructField("host", T.StringType()),
-        T.StructField("basePath", T.StringType()),
-        T.StructField(
-            "info", T.StructType([T.StructField("title", T.StringType()), T.StructField("description", T.StringType())])
-        ),
-        T.StructField(
-            "paths",
-            T.MapType(
-                T.StringType(),
-                T.StructType(
-                    [
-                        T.StructField("get", _CALL),
-                        T.StructField("post", _CALL),
-                        T.StructField("parameters", T.ArrayType(_PARAMETER)),
-                    ]
-                ),
-            ),
-        ),
-    ]
+# Labels of a page fragment that name the service's address, in order of preference (fixed values).
+ADDRESS_LABELS = ("요청주소", "서비스 URL")
+
+# How far nested schemas are followed (fixed value); what lies deeper counts as one field.
+SCHEMA_LEVELS = 6
+# Listed response fields have no such bound; what lies deeper than this counts as one field.
+LISTED_LEVELS = 8
+
+# Names in the inline description of a page (fixed values).
+LISTED, LISTED_ID, LISTED_NAME = "swaggerOprtinVOs", "operationId", "gwSvcNm"
+LISTED_REQUEST, LISTED_RESPONSE, LISTED_BELOW = "reqList", "resList", "subParam"
+ITEM_NAME, ITEM_TEXT, ITEM_TYPE, ITEM_SAMPLE = "paramtrNm", "paramtrDc", "paramtrTy", "paramtrBassValue"
+
+_PARAMETER = T.ArrayType(
+    T.StructType([T.StructField(n, T.StringType()) for n in ("name", "description", "required", "type")])
 )
 
 
@@ -202,32 +167,33 @@ def labelled_value(html: Column, label: str) -> Column:
     return F.when(html.rlike(item), plain_text(F.regexp_extract(html, item, 2)))
 
 
+def _description(html: Column) -> Column:
+    """The inline JSON description of a page as text; NULL without a readable one.
+
+    Some pages hold it with its quotes and line ends escaped once more.
+    """
+    block = F.replace(F.regexp_extract(html, r"(?s)const swaggerJson = `(.*?)`;", 1), F.lit("\\`"), F.lit("`"))
+    one_line = F.regexp_replace(block, "[\\r\\n]+", " ")
+    again = F.get_json_object(F.concat(F.lit('{"v":"'), one_line, F.lit('"}')), "$.v")
+    return F.coalesce(F.when(F.size(members(block)) > 0, block), F.when(F.size(members(again)) > 0, again))
+
+
+def _at(json: Column, name: str) -> Column:
+    return F.get_json_object(json, f"$.{name}")
+
+
 def page_metadata(pages: DataFrame) -> DataFrame:
-    """Metadata of description pages ``(page_id, html)``: labels and the inline description."""
+    """Metadata of description pages ``(page_id, html)``: labels, and heads of the inline description."""
     html = F.col("html")
-    block = F.replace(F.regexp_extract(html, r"(?s)const swaggerJson = `(.*?)`;", 1), F.lit("\\`"), F.lit("`"))
     read = pages.select(
         "page_id",
         *[F.coalesce(labelled_value(html, label), F.lit("")).alias(name) for name, label in LABELS.items()],
-        F.from_json(block, DESCRIPTION).alias("d"),
+        _description(html).alias("d"),
     )
     words = F.filter(F.transform(F.split("keywords", ","), strip), lambda w: w != "")
-
-    def operation(entry: Column) -> Column:
-        call = F.coalesce(entry["value"]["get"], entry["value"]["post"])
-        properties = call["responses"]["200"]["schema"]["properties"]
-        fields = F.filter(F.map_keys(properties), lambda f: ~f.isin(*ENVELOPE_FIELDS))
-        shared = F.coalesce(entry["value"]["parameters"], F.array())
-        params = F.concat(shared, F.coalesce(call["parameters"], F.array()))
-        return F.struct(
-            entry["key"].alias("path"),
-            F.coalesce(call["operationId"], F.btrim(entry["key"], F.lit("/"))).alias("operation_id"),
-            F.coalesce(call["summary"], F.lit("")).alias("summary"),
-            F.transform(params, lambda p: p["name"]).alias("params"),
-            F.array_distinct(F.coalesce(fields, F.array().cast("array<string>"))).alias("fields"),
-        )
-
-    host = F.concat(F.coalesce("d.host", F.lit("")), F.coalesce("d.basePath", F.lit("")))
+    d = F.col("d")
+    host = F.concat(F.coalesce(_at(d, "host"), F.lit("")), F.coalesce(_at(d, "basePath"), F.lit("")))
+    text = strip(F.replace(F.coalesce(_at(d, "info.description"), F.lit("")), F.lit("\\n"), F.lit("\n")))
     return read.select(
         "page_id",
         "update_cycle",
@@ -235,9 +201,158 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         "category",
         "request_url",
         F.rtrim(host, F.lit("/")).alias("host"),
-        F.coalesce("d.info.title", F.lit("")).alias("title"),
-        F.transform(F.map_entries(F.coalesce("d.paths", F.create_map())), operation).alias("operations"),
+        F.coalesce(_at(d, "info.title"), F.lit("")).alias("title"),
+        text.alias("description"),
+    )
+
+
+def page_operations(pages: DataFrame) -> DataFrame:
+    """The operations in the inline descriptions of pages ``(page_id, html)``, one row each.
+
+    ``(page_id, position, path, operation_id, summary, description, params, fields, produces)``: ``params``
+    ``(name, desc, required, type, sample)`` and ``fields`` ``(name, desc, type)``. Where the page also lists the
+    operation's parameters by hand, samples come from there, and so do the fields if it names
+    any; else they are the leaves of the response's schema. Names of the envelope are no
+    fields; of equal names the first stays.
+    """
+    d = pages.select("page_id", _description(F.col("html")).alias("d")).where("d is not null")
+    listed = F.transform(
+        items(_at(F.col("d"), LISTED)), lambda v: F.struct(F.coalesce(F.nullif(_at(v, LISTED_ID), F.lit("")), _at(v, LISTED_NAME)).alias("id"), v.alias("spec"))
     )
+    paths = d.select("page_id", listed.alias("listed"), F.posexplode(members(_at(F.col("d"), "paths"))).alias("position", "entry"))
+    calls = paths.select(
+        "page_id",
+        "position",
+        "listed",
+        F.col("entry.name").alias("path"),
+        F.col("entry.spec").alias("whole"),
+        F.coalesce(*[F.when(F.size(members(c)) > 0, c) for c in (_at(F.col("entry.spec"), m) for m in ("get", "post"))]).alias("call"),
+    )
+    call, whole = F.col("call"), F.col("whole")
+    operation = F.coalesce(F.nullif(_at(call, "operationId"), F.lit("")), F.btrim("path", F.lit("/")))
+    named = calls.withColumn("operation_id", operation).withColumn(
+        "listed", F.try_element_at(F.filter("listed", lambda v: v["id"] == F.col("operation_id")), F.lit(-1))["spec"]
+    )
+
+    def nested_items(spec: Column) -> Column:
+        return F.transform(items(spec), lambda x: F.struct(_at(x, ITEM_NAME).alias("name"), x.alias("spec")))
+
+    def nested_schema(spec: Column) -> Column:
+        own, of_items = members(_at(spec, "properties")), members(_at(spec, "items.properties"))
+        return let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(of_items))
+
+    named = walk(named, nested_items(_at(F.col("listed"), LISTED_RESPONSE)), lambda s: nested_items(_at(s, LISTED_BELOW)), LISTED_LEVELS, "by_hand")
+    schema = _at(call, "responses['200'].schema.properties")
+    named = walk(named, members(schema), nested_schema, SCHEMA_LEVELS, "by_schema")
+
+    def fields(leaves: str, dropped: tuple[str, ...], text: str, kind: str) -> Column:
+        kept = F.filter(leaves, lambda n: (F.coalesce(n["name"], F.lit("")) != "") & ~n["name"].isin(*dropped))
+        return F.transform(
+            one_per_name(kept),
+            lambda n: F.struct(
+                n["name"].alias("name"),
+                F.coalesce(_at(n["spec"], text), F.lit("")).alias("desc"),
+                F.coalesce(_at(n["spec"], kind), F.lit("")).alias("type"),
+            ),
+        )
+
+    by_hand = fields("by_hand", ENVELOPE_FIELDS, ITEM_TEXT, ITEM_TYPE)
+    by_schema = fields("by_schema", ENVELOPE_FIELDS + ENVELOPE_LEVELS, "description", "type")
+    samples = F.transform(
+        items(_at(F.col("listed"), LISTED_REQUEST)),
+        lambda x, i: F.struct(i.alias("at"), _at(x, ITEM_NAME).alias("name"), _at(x, ITEM_SAMPLE).alias("sample")),
+    )
+    known = F.map_from_entries(
+        F.transform(F.filter(one_per_name(samples, last=True), lambda x: x["name"].isNotNull()), lambda x: F.struct(x["name"], x["sample"]))
+    )
+    params = F.concat(*[F.coalesce(F.from_json(_at(c, "parameters"), _PARAMETER), F.array().cast(_PARAMETER)) for c in (whole, call)])
+    named = named.withColumns({"_params": params, "_samples": known, "_by_hand": by_hand})
+    return named.select(
+        "page_id",
+        "position",
+        "path",
+        "operation_id",
+        F.coalesce(_at(call, "summary"), F.lit("")).alias("summary"),
+        F.coalesce(_at(call, "description"), F.lit("")).alias("description"),
+        F.transform(
+            "_params",
+            lambda p: F.struct(
+                p["name"].alias("name"),
+                F.coalesce(p["description"], F.lit("")).alias("desc"),
+                F.coalesce(F.lower(p["required"]) == "true", F.lit(False)).alias("required"),
+                F.coalesce(p["type"], F.lit("")).alias("type"),
+                F.coalesce(F.try_element_at(F.col("_samples"), p["name"]), F.lit("")).alias("sample"),
+            ),
+        ).alias("params"),
+        F.when(F.size("_by_hand") > 0, F.col("_by_hand")).otherwise(by_schema).alias("fields"),
+        items(_at(call, "produces")).alias("produces"),
+    )
+
+
+def described_services(endpoints: DataFrame, matches: DataFrame, metadata: DataFrame, operations: DataFrame) -> DataFrame:
+    """Endpoints with what their matched page tells of them, as ``listable_operations`` takes them.
+
+    ``endpoints`` ``(endpoint_id, org, ...)``, ``matches`` from ``match_pages``, the rest from ``page_metadata`` and
+    ``page_operations``. A dataset without a page has no operations.
+    """
+    told = operations.groupBy("page_id").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct("position", "operation_id", "path", F.lit(None).cast("string").alias("full_url"), "params", "summary", "description", "fields", "produces")
+            )
+        ).alias("operations")
+    )
+    pages = metadata.join(told, "page_id", "left").withColumnRenamed("title", "page_title")
+    none = F.array().cast(told.schema["operations"].dataType)
+    return (
+        endpoints.join(matches.select("endpoint_id", "page_id", "match"), "endpoint_id")
+        .join(pages, "page_id", "left")
+        .withColumn("operations", F.coalesce("operations", none))
+        .withColumnRenamed("endpoint_id", "dataset_id")
+    )
+
+
+def catalog_operations(services: DataFrame) -> DataFrame:
+    """The operations of described services, as the catalog takes them.
+
+    ``(dataset_id, position, operation, ...)`` with the metadata of the page and the operation's ``fields``.
+    """
+    def text(name: str) -> Column:
+        return F.coalesce(name, F.lit(""))
+
+    kept = services.withColumn("op", F.explode("operations"))
+    identity = F.coalesce(F.nullif("op.operation_id", F.lit("")), F.col("op.path"))
+    address = F.concat(F.lit("https://"), F.rtrim(text("host"), F.lit("/")), text("op.path"))
+    return kept.select(
+        "dataset_id",
+        F.col("op.position").alias("position"),
+        identity.alias("operation"),
+        F.coalesce(F.nullif("page_title", F.lit("")), "name").alias("title"),
+        F.col("op.summary").alias("op_summary"),
+        text("category").alias("category"),
+        F.col("org").alias("provider"),
+        "keywords",
+        text("description").alias("description"),
+        text("update_cycle").alias("update_cycle"),
+        F.array_join("op.produces", ",").alias("formats"),
+        F.coalesce(F.nullif("op.full_url", F.lit("")), address).alias("api_url"),
+        F.col("op.fields").alias("fields"),
+    )
+
+
+def service_address(fragments: DataFrame) -> DataFrame:
+    """The address a page fragment ``(page_id, html)`` names for its service, blank without one.
+
+    Only addresses that begin with ``http`` count; a request address goes before a service address, and of several
+    the last one written.
+    """
+    pairs = F.regexp_extract_all("html", F.lit(r"(?s)<li[^>]*>.*?</li>"), F.lit(0))
+
+    def named(label: str) -> Column:
+        values = F.transform(pairs, lambda item: strip(F.regexp_replace(F.coalesce(labelled_value(item, label), F.lit("")), "[<>/]+a?>?$", "")))
+        return F.try_element_at(F.filter(values, lambda v: v.startswith("http")), F.lit(-1))
+
+    return fragments.select("page_id", F.coalesce(*map(named, ADDRESS_LABELS), F.lit("")).alias("service_url"))
 
 
 def parameter_tables(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from keyweave.sources import responses, sinks, text_tables
+from keyweave.functions import nested
+from keyweave.sources import endpoints, responses, sinks, text_tables
 
 
 def write(folder, name, text, encoding):
@@ -165,6 +166,51 @@ def test_flatten(spark):
     assert responses.flatten_struct(nested).first().asDict() == {"a_b": "1", "a_c_d": "x", "e": ""}
 
 
+def described(spark, text):
+    html = None if text is None else f"<p>const swaggerJson = `{text}`;</p>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return endpoints.page_operations(pages).orderBy("position").collect(), endpoints.page_metadata(pages).first()
+
+
+def test_descriptions(spark):
+    def at(depth):
+        spec = {"properties": {"leaf": {"description": "end"}, "item": {}}}
+        for n in range(depth - 1, 0, -1):
+            spec = {"items": {"properties": {f"n{n}": spec}}}
+        return spec["items"]["properties"]
+
+    def service(schema, **more):
+        call = {"operationId": "o", "responses": {"200": {"schema": {"properties": schema}}}}
+        return json.dumps({"paths": {"/z": {"get": call}, "/a": {"post": {"summary": "s"}, "parameters": [{"name": "p"}]}}, **more})
+
+    shallow, deep = at(5), at(9)
+    (z, a), meta = described(spark, service(shallow))
+    # paths stay in the order they are written; nested fields are found at their end
+    assert [f["name"] for f in z.fields] == ["leaf"] and z.fields[0]["desc"] == "end" and (a.path, a.summary, a.operation_id) == ("/a", "s", "a")
+    assert a.params[0]["name"] == "p" and a.fields == [] and meta.host == "" and meta.keywords == []
+    (z, _), _ = described(spark, service(deep))
+    assert [f["name"] for f in z.fields] == ["n7"], "what lies deeper counts as one field"
+    twice = {"b": {"type": "x"}, "a": {"properties": {"b": {"type": "y"}, "pageNo": {}}}}
+    (z, _), _ = described(spark, service(twice))
+    assert [tuple(f) for f in z.fields] == [("b", "", "x")]
+    listed = [{"gwSvcNm": "o", "resList": [{"paramtrNm": "r", "subParam": [{"paramtrNm": "s", "paramtrTy": "t"}]}, {"paramtrNm": ""}]}]
+    (z, _), _ = described(spark, service(twice, swaggerOprtinVOs=listed))
+    assert [tuple(f) for f in z.fields] == [("s", "", "t")]
+    for broken in ("", "{", "[1]", '{"paths": 5}', '{"paths": {"/x": []}}', None):
+        rows, meta = described(spark, broken)
+        assert all(not r.fields for r in rows) and meta.title == ""
+    escaped = service(twice, info={"title": "T"}).replace('"', '\\"')
+    (z, _), meta = described(spark, escaped)
+    assert z.operation_id == "o" and meta.title == "T"
+
+
+def test_one_per_name(spark):
+    rows = [([(3, "b"), (1, "a"), (2, "b"), (4, None), (5, None)],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "e array<struct<at:int,name:string>>")
+    first, last = (df.select(nested.one_per_name(F.col("e"), last=side)["at"]).collect() for side in (False, True))
+    assert [r[0] for r in first] == [[1, 2, 4], [], None] and [r[0] for r in last] == [[1, 3, 5], [], None]
+
+
 def test_snapshots_lose_their_key(spark):
     rows = [("s", "o", "2024-01-02", {"serviceKey": "x", "p": "1"}, "new"), ("s", "o", "2024-01-01", {}, "old")]
     df = spark.createDataFrame(rows, "service string, operation string, saved_at string, payload map<string,string>, response string")

@@ -430,13 +430,27 @@ def described_pages(spark, folder):
         number,
         F.lit("</p></li></ul>"),
     )
-    description = F.concat(
-        F.lit('<script>const swaggerJson = `{"host": "h'), number,
-        F.lit('.example.org", "basePath": "/v1/", "info": {"title": "Service '), number,
-        F.lit('"}, "paths": {"/list": {"get": {"operationId": "list'), number,
-        F.lit('", "summary": "List", "parameters": [{"name": "pageNo", "required": true}], "responses": {"200": {"schema":'
-              ' {"properties": {"resultCode": {"type": "string"}, "addr": {"type": "string"}, "cnt": {}}}}}}}, "/raw": {"post": {}}}}`;</script>'),
+    kind = (F.col("page_id") % 3).cast("string")
+    by_hand = F.concat(
+        F.lit('"swaggerOprtinVOs": [{"gwSvcNm": "other"}, {"operationId": "list'), number,
+        F.lit('", "reqList": [{"paramtrNm": "q", "paramtrBassValue": "old"}, {"paramtrNm": "q", "paramtrBassValue": "5"}],'
+              ' "resList": [{"paramtrNm": "resultCode"}, {"paramtrNm": "box", "subParam": [{"paramtrNm": "addr'), kind,
+        F.lit('", "paramtrDc": "주소", "paramtrTy": "string"}, {"paramtrNm": "deep", "subParam": [{"paramtrNm": "z", "paramtrDc": "깊이"}]},'
+              ' {"paramtrNm": "addr'), kind, F.lit('", "paramtrDc": "again"}]}]}], '),
     )
+    text = F.concat(
+        F.lit('{"host": "h'), number, F.lit('.example.org", "basePath": "/v1/", "info": {"title": "Service '), number,
+        F.lit('", "description": " About '), number, F.lit(' "}, '), F.when(F.col("page_id") % 4 == 0, by_hand).otherwise(""),
+        F.lit('"paths": {"/list": {"parameters": [{"name": "pageNo", "required": true}], "get": {"operationId": "list'), number,
+        F.lit('", "summary": "List", "produces": ["json", "xml"], "parameters": [{"name": "q", "required": true, "type": "string"}],'
+              ' "responses": {"200": {"schema": {"properties": {"header": {"properties": {"resultCode": {"type": "string"}}},'
+              ' "body": {"properties": {"items": {"items": {"properties": {"addr'), kind,
+        F.lit('": {"type": "string", "description": "place"}, "geo": {"properties": {"lat": {"type": "number"}, "cnt": {}}}}}},'
+              ' "totalCount": {}, "cnt": {"description": "later"}}}}}}}}}, "/a/raw": {"post": {}}}}'),
+    )
+    # some pages hold the description escaped once more
+    text = F.when(F.col("page_id") % 8 == 4, F.replace(text, F.lit('"'), F.lit('\\"'))).otherwise(text)
+    description = F.concat(F.lit("<script>const swaggerJson = `"), text, F.lit("`;</script>"))
     table = F.concat(
         F.lit("<table><tr><th>x</th></tr><tbody><tr><td>no</td></tr></tbody></table><table class='p'><thead><tr><th>항목명</th>"
               "<th>항목명(영문)</th></tr></thead><tbody><tr><td>주소</td><td> addr"),
@@ -448,23 +462,90 @@ def described_pages(spark, folder):
     return read(spark, folder, "pages").select("page_id", F.concat("html", extra).alias("html"))
 
 
+_EVEN = "page_id % 2 = 0"
+_BY_HAND = "page_id % 4 = 0"
+# (name, description) of the fields of every operation with a description
+_FIELDS = f"""case when {_BY_HAND} then ['addr' || (page_id % 3) || ':주소', 'z:깊이']
+    else ['addr' || (page_id % 3) || ':place', 'lat:', 'cnt:'] end"""
+
+
 @query(
     "src_page_metadata",
-    """select page_id, '매 월' as update_cycle, '쌀;물가;k' || page_id as keywords, '' as category, 'https://h/' || page_id as request_url,
-         case when page_id % 2 = 0 then 'h' || page_id || '.example.org/v1' else '' end as host,
-         case when page_id % 2 = 0 then 'Service ' || page_id else '' end as title,
-         case when page_id % 2 = 0 then 'list' || page_id || '(addr,cnt);raw()' else '' end as operations from pages""",
+    f"""select page_id, '매 월' as update_cycle, '쌀;물가;k' || page_id as keywords, '' as category, 'https://h/' || page_id as request_url,
+         case when {_EVEN} then 'h' || page_id || '.example.org/v1' else '' end as host,
+         case when {_EVEN} then 'Service ' || page_id else '' end as title,
+         case when {_EVEN} then 'About ' || page_id else '' end as description from pages""",
 )
 def src_page_metadata(spark, folder):
-    read_pages = endpoints.page_metadata(described_pages(spark, folder))
-    operations = F.transform(
-        "operations", lambda o: F.concat(o["operation_id"], F.lit("("), F.array_join(o["fields"], ","), F.lit(")"))
-    )
-    return read_pages.withColumns(
-        {"keywords": F.array_join("keywords", ";"), "operations": F.array_join(operations, ";")}
+    return endpoints.page_metadata(described_pages(spark, folder)).withColumn("keywords", F.array_join("keywords", ";"))
+
+
+@query(
+    "src_page_operations",
+    f"""select page_id, 0 as position, '/list' as path, 'list' || page_id as operation_id, 'List' as summary, 'json;xml' as produces,
+          case when {_BY_HAND} then 'pageNo!;q!string5' else 'pageNo!;q!string' end as params, array_to_string({_FIELDS}, ';') as fields
+        from pages where {_EVEN} union all select page_id, 1, '/a/raw', 'a/raw', '', '', '', '' from pages where {_EVEN}""",
+)
+def src_page_operations(spark, folder):
+    found = endpoints.page_operations(described_pages(spark, folder))
+    params = F.transform("params", lambda p: F.concat(p["name"], F.when(p["required"], "!").otherwise(""), p["type"], p["sample"]))
+    fields = F.transform("fields", lambda f: F.concat_ws(":", f["name"], f["desc"]))
+    joined = {"params": params, "fields": fields, "produces": F.col("produces")}
+    return found.withColumns({n: F.array_join(c, ";") for n, c in joined.items()}).drop("description")
+
+
+def page_services(spark, folder):
+    """Every page matched to an endpoint of its own, with the operations its description tells."""
+    pages = described_pages(spark, folder)
+    key = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    asked = pages.select(key.alias("endpoint_id"), F.lit("경상북도 포항시").alias("org"), F.lit("목록").alias("name"))
+    matches = pages.select(key.alias("endpoint_id"), "page_id", F.when(F.col("page_id") % 6 == 2, "title").otherwise("host").alias("match"))
+    return endpoints.described_services(asked, matches, endpoints.page_metadata(pages), endpoints.page_operations(pages))
+
+
+@query(
+    "src_described_ops",
+    # without a listed sample the required parameter q has no value
+    f"""select 'p' || page_id as dataset_id, case when op = 'araw' and not {_BY_HAND} then 'p' || page_id
+            else 'p' || page_id || '_' || op end as file_id,
+          'https://h' || page_id || '.example.org/v1' || path as url, base from (
+            select page_id, 'list' || page_id as op, '/list' as path, 'q=5' as base from pages where {_BY_HAND}
+            union all select page_id, 'araw', '/a/raw', '' from pages where {_EVEN}) where page_id % 6 <> 2""",
+)
+def src_described_ops(spark, folder):
+    listed = endpoints.listable_operations(page_services(spark, folder))
+    base = F.array_join(F.transform(F.map_entries("base"), lambda e: F.concat_ws("=", e["key"], e["value"])), "&")
+    return listed.select("dataset_id", "file_id", "url", base.alias("base"))
+
+
+@query(
+    "src_catalog_operations",
+    f"""select 'p' || page_id as dataset_id, 'list' || page_id as operation, 'Service ' || page_id as title, 'About ' || page_id as description,
+          '경상북도 포항시' as provider, 'k' || page_id as keyword, 'json,xml' as formats,
+          'https://h' || page_id || '.example.org/v1/list' as api_url, split_part(f, ':', 1) as field, split_part(f, ':', 2) as "desc"
+        from (select page_id, unnest({_FIELDS}) as f from pages where {_EVEN})""",
+)
+def src_catalog_operations(spark, folder):
+    told = endpoints.catalog_operations(page_services(spark, folder)).select("*", F.explode("fields").alias("f"))
+    return told.select(
+        "dataset_id", "operation", "title", "description", "provider", F.get("keywords", F.lit(2)).alias("keyword"), "formats", "api_url",
+        F.col("f.name").alias("field"), F.col("f.desc").alias("desc"),
     )
 
 
+@query(
+    "src_service_address",
+    "select page_id, case when page_id % 3 = 2 then 'https://base/' || page_id else 'https://h/' || page_id end as service_url from pages",
+)
+def src_service_address(spark, folder):
+    """Fragments that name a service address, and some whose request address is no address."""
+    number = F.col("page_id").cast("string")
+    base = F.concat(F.lit('<li><strong class="key">서비스 URL</strong><span class="value"> https://base/'), number, F.lit("/</a></span></li>"))
+    html = F.when(F.col("page_id") % 3 == 2, F.replace("html", F.lit('"value">https'), F.lit('"value">none'))).otherwise(F.col("html"))
+    fragments = described_pages(spark, folder).select("page_id", F.concat(base, html).alias("html"))
+    return endpoints.service_address(fragments)
+
+
 @query(
     "src_html_tables",
     """select page_id, 0 as table_pos, 0 as row_pos, 'addr' || page_id as name, '주소' as "desc", '주소' as local_name, true as required,

@@ -197,9 +197,17 @@ def operations(spark, folder):
         F.array_remove(
             F.array(F.lit("customer"), F.col("n_name"), F.expr("case when n_nationkey % 2 = 0 then 'even' else '' end")), ""
         ).alias("keywords"),
+        F.concat(F.lit("about "), "n_name").alias("description"),
+        F.when(F.col("n_nationkey") % 3 > 0, F.array(field("c_address", F.col("n_name")), field("C_Balance", F.lit("money")), field("", F.lit("x"))))
+        .otherwise(F.array(field("other", F.lit("y"))))
+        .alias("fields"),
     )
 
 
+def field(name, desc):
+    return F.struct(F.lit(name).alias("name"), desc.alias("desc"))
+
+
 def _place_of_nation() -> str:
     return place("n_nationkey")
 
@@ -243,20 +251,21 @@ def entries(spark, folder):
 _ENTRIES = f"""ops as (select 'd' || (n_nationkey % 5) as dataset_id, n_nationkey as position, 'get' || replace(n_name, '_', '') as op,
       'Customers of ' || n_name as title, case when n_nationkey % 3 > 0 then 'region ' || n_regionkey else '' end as category,
       case when n_nationkey % 4 = 0 then {_place_of_nation()} end as home,
-      case when n_nationkey % 2 = 0 then 'even' end as even, n_name from nation),
+      case when n_nationkey % 2 = 0 then 'even' end as even, n_name, n_nationkey % 3 > 0 as described from nation),
   meta as (select dataset_id || '_' || op as table_id, * from ops
     union all select dataset_id, * from ops where position < 5),
   loaded as (select {_TABLE_ID} as dataset_id, count(*) as rows,
       case when avg(regexp_full_match(c_balance, '-?[0-9,]+(\\.[0-9]+)?')::int) filter (where c_balance <> '') > 0.9
         then 'numeric' else 'text' end as balance_role from {CUSTOMERS} group by 1),
   entries as (select l.dataset_id, rows, balance_role, coalesce(m.dataset_id, l.dataset_id) as parent_dataset_id, title, category, home,
-      even, n_name from loaded l left join meta m on l.dataset_id = m.table_id)"""
+      even, n_name, coalesce(described, false) as described from loaded l left join meta m on l.dataset_id = m.table_id)"""
 
 
 @query(
     "pro_catalog",
     f"""with {_ENTRIES} select dataset_id, rows, parent_dataset_id, title, category, home as default_region,
-          'c_address;c_balance;c_rich;c_since' as columns, 'region_name;' || balance_role || ';text;year' as roles from entries""",
+          'c_address;c_balance;c_rich;c_since' as columns, 'region_name;' || balance_role || ';text;year' as roles,
+          case when described then n_name || ';money;;' else ';;;' end as descs from entries""",
 )
 def pro_catalog(spark, folder):
     return entries(spark, folder).select(
@@ -268,13 +277,14 @@ def pro_catalog(spark, folder):
         "default_region",
         F.array_join(F.col("columns.name"), ";").alias("columns"),
         F.array_join(F.col("columns.role"), ";").alias("roles"),
+        F.array_join(F.col("columns.desc"), ";").alias("descs"),
     )
 
 
 @query(
     "pro_catalog_totals",
     f"""with {_ENTRIES} select count(*) as datasets, count(*) * 4 as columns, count(*) as with_region,
-          count(*) as with_time, 0::bigint as with_definitions from entries""",
+          count(*) as with_time, count(*) filter (described) as with_definitions from entries""",
 )
 def pro_catalog_totals(spark, folder):
     return profile.catalog_totals(entries(spark, folder))
@@ -457,6 +467,22 @@ def pro_dataset_card(spark, folder):
     )
 
 
+@query(
+    "pro_card_content",
+    f"""with {_ENTRIES} select dataset_id, title, 'about ' || n_name as description, category,
+          case when n_name is not null then concat_ws(';', 'customer', n_name, even) end as keywords, rows, 4 as n_columns,
+          'c_since' as time_columns, case when balance_role = 'numeric' then 'c_balance' else '' end as numeric_columns
+        from entries""",
+)
+def pro_card_content(spark, folder):
+    none = spark.createDataFrame([], "a string, b string, rank int, other string, level string, match_rate double")
+    cards = profile.dataset_cards(entries(spark, folder), none.select("a", "b"), none)
+    lists = {n: F.array_join(n, ";") for n in ("keywords", "time_columns", "numeric_columns")}
+    return cards.withColumns(lists).select(
+        "dataset_id", "title", "description", "category", "keywords", "rows", "n_columns", "time_columns", "numeric_columns"
+    )
+
+
 @query(
     "gra_edges",
     f"""with {_ENTRIES} select 'ds:' || dataset_id as s, 'topic_of' as p, 'topic:' || category as o from entries where category <> ''
