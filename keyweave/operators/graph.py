@@ -20,6 +20,8 @@ SETS_KEPT = 6
 
 # Rows of one posting list (or of one class of equal key sets) that meet in one join group.
 BLOCK = 512
+# Keys of a set that are compared in one row, on average.
+BLOCK_KEYS = 1024
 
 
 def keys_by_level(long: DataFrame, gazetteer: Gazetteer, default: Column | None = None) -> DataFrame:
@@ -76,33 +78,18 @@ def measure_pairs(key_table: DataFrame, datasets: DataFrame) -> DataFrame:
 
     ``key_table`` holds ``(level, dataset_id, k)``, ``datasets`` ``(dataset_id, parent)``.
 
-    Datasets whose key sets are equal form one class and are measured once. Classes meet
-    through an inverted index on the key; a posting list of any length is cut into blocks,
-    so no join group exceeds ``BLOCK`` squared rows and none depends on one task.
+    Datasets whose key sets are equal form one class and are measured once. Of two classes the
+    smaller one must hold 30 percent of its keys in common, so they share one of its rarest 70
+    percent: only those keys look for partners, in an inverted index whose posting lists are cut
+    into blocks. Each pair found so is measured once, block of keys by block of keys; common keys
+    of low value, such as one that every dataset has, bring no pairs together.
     """
     keys = cut_lineage(key_table.select("level", "dataset_id", "k").where(F.col("k").isNotNull()).distinct())
     members = cut_lineage(_classes(keys))
     reps = members.where(F.col("dataset_id") == F.col("rep")).select("level", "rep", "n_keys")
-    postings = keys.withColumnRenamed("dataset_id", "rep").join(reps.select("level", "rep"), ["level", "rep"], "left_semi")
-    met = _meetings(postings)
-    rated = (
-        met.groupBy("level", "a", "b")
-        .agg(F.count(F.lit(1)).alias("matched"))
-        .join(_side(reps, "a"), ["level", "a"])
-        .join(_side(reps, "b"), ["level", "b"])
-        .withColumn("_rate", F.col("matched") / F.least("a_keys", "b_keys"))
-        .where(F.col("_rate") >= MINIMUM_RATE)
-    )
-    twins = reps.select(
-        "level",
-        F.col("rep").alias("a"),
-        F.col("rep").alias("b"),
-        F.col("n_keys").alias("matched"),
-        F.col("n_keys").alias("a_keys"),
-        F.col("n_keys").alias("b_keys"),
-        F.lit(1.0).alias("_rate"),
-    )
-    sampled = _samples(cut_lineage(rated.unionByName(twins)), postings, met)
+    postings = cut_lineage(keys.withColumnRenamed("dataset_id", "rep").join(reps, ["level", "rep"]))
+    blocks = cut_lineage(_key_blocks(postings))
+    sampled = cut_lineage(_measured(_candidates(postings), blocks).unionByName(_twins(blocks)))
     pairs = _expand(sampled, members, datasets)
     return pairs.select(
         "level",
@@ -119,10 +106,6 @@ def measure_pairs(key_table: DataFrame, datasets: DataFrame) -> DataFrame:
     )
 
 
-def _side(reps: DataFrame, name: str) -> DataFrame:
-    return reps.select("level", F.col("rep").alias(name), F.col("n_keys").alias(f"{name}_keys"))
-
-
 def _classes(keys: DataFrame) -> DataFrame:
     """Datasets with their class representative: the first dataset with an equal key set.
 
@@ -147,50 +130,99 @@ def _classes(keys: DataFrame) -> DataFrame:
     )
 
 
-def _meetings(postings: DataFrame) -> DataFrame:
-    """``(level, k, a, b)`` for classes ``a < b`` that share a key, in bounded blocks."""
-    lengths = postings.groupBy("level", "k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = postings.join(lengths, ["level", "k"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _candidates(postings: DataFrame) -> DataFrame:
+    """``(level, a, a_keys, b, b_keys)`` for classes that share one of the rarest keys of the smaller one, ``a``.
+
+    Keys are ordered by how many classes hold them and then by a hash. How far a class's rarest keys
+    reach is read from a histogram of that order, so its keys are never sorted in one place; keys beyond the
+    exact bound that share its last step are looked up too.
+    """
+    lengths = postings.groupBy("level", "k").agg(F.count(F.lit(1)).alias("held"))
+    step = F.struct("held", F.pmod(F.xxhash64(F.lit("order"), "k"), F.lit(16)).alias("h"))
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    placed = cut_lineage(
+        postings.join(lengths, ["level", "k"]).select(
+            "level", "rep", "n_keys", "k", step.alias("step"), blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own")
+        )
+    )
+    steps = placed.groupBy("level", "rep", "n_keys", "step").agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("level", "rep").orderBy("step"))
+    # a shade less than the bound, so that rounding can't shorten the reach
+    needed = F.greatest(F.ceil(MINIMUM_RATE * F.col("n_keys") - 1e-6), F.lit(1))
+    reach = (
+        steps.withColumn("so_far", so_far)
+        .where(F.col("so_far") > F.col("n_keys") - needed)
+        .groupBy("level", "rep")
+        .agg(F.min("step").alias("last"))
+    )
+    rare = placed.join(reach, ["level", "rep"]).where(F.col("step") <= F.col("last"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("level", "k", F.col("rep").alias("a"), F.col("own").alias("row"), others.alias("col"))
-    right = placed.select("level", "k", F.col("rep").alias("b"), others.alias("row"), F.col("own").alias("col"))
-    return left.join(right, ["level", "k", "row", "col"]).where(F.col("a") < F.col("b")).select("level", "k", "a", "b")
+
+    def side(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        return rows.select(
+            "level", "k", F.col("rep").alias(name), F.col("n_keys").alias(f"{name}_keys"), F.col("own").alias(own), others.alias(other)
+        )
+
+    met = side(rare, "a", "row", "col").join(side(placed, "b", "col", "row"), ["level", "k", "row", "col"])
+    smaller = F.struct("a_keys", "a") < F.struct("b_keys", "b")
+    return met.where(smaller).select("level", "a", "a_keys", "b", "b_keys").distinct()
+
+
+def _parts(size: str) -> Column:
+    return F.expr(f"shiftleft(1, int(ceil(log2(greatest({size} / {BLOCK_KEYS}D, 1D)))))")
 
 
-def _samples(pairs: DataFrame, postings: DataFrame, met: DataFrame) -> DataFrame:
-    """The first matched and unmatched keys of every pair of classes.
+def _key_blocks(postings: DataFrame) -> DataFrame:
+    """``(level, rep, n_keys, parts, part, ks)``: key sets as parts of bounded size.
 
-    A side's first unmatched keys lie among its first ``matched + 5`` keys, which bounds
-    the rows looked at by the number of matches already found.
+    The number of parts is a power of two, so the parts of a set are unions of those of any finer one.
     """
-    ranked = top_k_rank(postings)
-    pair = ["level", "a", "b"]
-    sides = [
-        pairs.select(*pair, "matched").join(ranked.withColumnRenamed("rep", side), ["level", side])
-        .where(F.col("at") <= F.col("matched") + SAMPLE_KEYS)
-        .select(*pair, "k", F.lit(mark).alias("mark"))
-        for side, mark in (("a", 1), ("b", 2))
-    ]
-    # a pair of equal sets has no partner rows in `met`; its own keys carry both marks
-    held = sides[0].unionByName(sides[1])
-    known = met.join(pairs.select(*pair), pair, "left_semi").select(*pair, "k", F.lit(3).alias("mark"))
-    marks = held.unionByName(known).groupBy(*pair, "k").agg(F.bit_or("mark").alias("mark"))
-    kind = F.when(F.col("mark") == 3, "matched").otherwise("unmatched")
-    shown = top_k_per_group(
-        marks.select(*pair, "k", kind.alias("kind")), [*pair, "kind"], [F.col("k").asc()], SAMPLE_KEYS
+    return (
+        postings.withColumn("parts", _parts("n_keys"))
+        .groupBy("level", "rep", "n_keys", "parts", F.pmod(F.xxhash64("k"), "parts").cast("int").alias("part"))
+        .agg(F.collect_list("k").alias("ks"))
     )
 
-    def first_keys(name: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == name, F.col("k")))).alias(f"sample_{name}")
 
-    lists = shown.groupBy(*pair).agg(first_keys("matched"), first_keys("unmatched"))
-    return pairs.join(lists, pair, "left")
+def _first(keys: Column) -> Column:
+    return F.slice(F.array_sort(keys), 1, SAMPLE_KEYS)
+
+
+def _measured(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Matched keys, rate and first matched and unmatched keys of pairs that reach the minimum rate."""
+    none = F.array().cast("array<string>")
+
+    spread = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), _parts("b_keys") - 1))).withColumn("a_part", F.pmod("part", _parts("a_keys")))
+    small = blocks.select("level", F.col("rep").alias("a"), F.col("part").alias("a_part"), F.col("ks").alias("_a"))
+    large = blocks.select("level", F.col("rep").alias("b"), "part", F.col("ks").alias("_b"))
+    # only the smaller set's keys of this part travel to the larger set's part
+    own = F.filter("_a", lambda k: F.pmod(F.xxhash64(k), _parts("b_keys")) == F.col("part"))
+    carried = spread.join(small, ["level", "a", "a_part"], "left").withColumn("_a", F.coalesce(own, none))
+    both = carried.join(large, ["level", "b", "part"], "left").withColumn("_b", F.coalesce("_b", none))
+    met = both.withColumns(
+        {"_same": F.array_intersect("_a", "_b"), "_apart": F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a"))}
+    ).select("level", "a", "a_keys", "b", "b_keys", F.size("_same").alias("n"), _first(F.col("_same")).alias("same"), _first(F.col("_apart")).alias("apart"))
+    return (
+        met.groupBy("level", "a", "a_keys", "b", "b_keys")
+        .agg(
+            F.sum("n").alias("matched"),
+            _first(F.flatten(F.collect_list("same"))).alias("sample_matched"),
+            _first(F.flatten(F.collect_list("apart"))).alias("sample_unmatched"),
+        )
+        .withColumn("_rate", F.col("matched") / F.col("a_keys"))
+        .where(F.col("_rate") >= MINIMUM_RATE)
+    )
 
 
-def top_k_rank(postings: DataFrame) -> DataFrame:
-    """Position of every key within its own class."""
-    return postings.select(
-        "level", "rep", "k", F.row_number().over(Window.partitionBy("level", "rep").orderBy("k")).alias("at")
+def _twins(blocks: DataFrame) -> DataFrame:
+    """Every class with itself, for the datasets that share it."""
+    return blocks.groupBy("level", F.col("rep").alias("a"), F.col("n_keys").alias("a_keys")).agg(
+        F.first("rep").alias("b"),
+        F.first("n_keys").alias("b_keys"),
+        F.first("n_keys").alias("matched"),
+        _first(F.flatten(F.collect_list(_first(F.col("ks"))))).alias("sample_matched"),
+        F.array().cast("array<string>").alias("sample_unmatched"),
+        F.lit(1.0).alias("_rate"),
     )
 
 
