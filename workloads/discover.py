@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import Dictionary, tokens
+from keyweave.functions.text import Dictionary, expand_questions, tokens
 from keyweave.operators import search
 from keyweave.session import cut_lineage
 from workloads.inputs import GAZETTEER, place, read, town
@@ -64,14 +64,37 @@ _ASK = (
 )
 
 
-@query(
-    "sea_expand",
-    f"""select conv_id, turn, text || {_ASK} || case turn % 5 when 0 then ' 공중화장실' when 1 then ' 병의원 의료기관'
-          when 2 then ' 포항시' when 3 then ' 부동산중개업 안동시' else '' end as expanded from conversations""",
-)
+def _values(entries):
+    return ", ".join(f"({at}, '{term}', '{added}')" for at, (term, added) in enumerate(entries.items()))
+
+
+_EXPANDED = f"""with q as materialized (select conv_id, turn, text || {_ASK} as t, lower(text || {_ASK}) as low from conversations),
+    anywhere(pos, term, added) as (values {_values({**DICTIONARY.phrases, **DICTIONARY.synonyms})}),
+    known(pos, term, added) as (values {_values(DICTIONARY.words)}),
+    spoken as (select conv_id, turn, unnest(regexp_extract_all(low, '[A-Za-z][A-Za-z-]+')) as w,
+      generate_subscripts(regexp_extract_all(low, '[A-Za-z][A-Za-z-]+'), 1) as pos from q),
+    hits as (select conv_id, turn, 0 as kind, pos, added from q join anywhere on contains(low, term)
+      union all select conv_id, turn, 1, s.pos, coalesce(k.added, p.added) from spoken s left join known k on k.term = w
+        left join known p on w like '%s' and p.term = w[:-2] where coalesce(k.added, p.added) is not null)
+    select conv_id, turn, any_value(t) || coalesce(' ' || string_agg(added, ' ' order by kind, h.pos), '') as expanded
+    from q left join hits h using (conv_id, turn) group by conv_id, turn"""
+
+
+def asking(spark, folder):
+    return read(spark, folder, "conversations").select("conv_id", "turn", F.concat("text", F.expr(_ASK)).alias("text"))
+
+
+@query("sea_expand", _EXPANDED)
 def sea_expand(spark, folder):
-    asked = F.concat("text", F.expr(_ASK))
-    return read(spark, folder, "conversations").select("conv_id", "turn", DICTIONARY.expand(asked).alias("expanded"))
+    return asking(spark, folder).select("conv_id", "turn", DICTIONARY.expand("text").alias("expanded"))
+
+
+@query("sea_expand_table", f"select expanded, count(*) as n from ({_EXPANDED}) group by 1")
+def sea_expand_table(spark, folder):
+    """The same by a join with the dictionary as a table, each distinct question once."""
+    counted = asking(spark, folder).groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("question_id", F.sha2("text", 256))
+    expanded = expand_questions(counted, DICTIONARY.table(spark))
+    return expanded.join(counted, "question_id").select("expanded", "n")
 
 
 @query(
