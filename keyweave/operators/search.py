@@ -1,21 +1,20 @@
 """Ranking of metadata documents for many questions at once.
 
 Lexical scores are sparse: questions meet documents through an inverted index. Vector
-scores are dense: document and question blocks of bounded size meet in numpy tasks that
-return only their best rows, so question-document pairs are never written out.
+scores are dense: questions meet only those cells of documents whose bound reaches what they have found (``vectors``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import asks_about_heat, asks_to_join, preferred_level, tokens
+from keyweave.operators import vectors
 from keyweave.operators.sorting import top_k_per_group
+from keyweave.operators.vectors import VectorIndex
 from keyweave.session import cut_lineage, size_in_bytes
 
 # Parameters of the lexical score (fixed values).
@@ -39,9 +38,6 @@ TERM_BLOCK = 100_000
 # Stored bytes up to which a table is broadcast.
 BROADCAST_LIMIT = 8 * 1024 * 1024
 
-DOCUMENT_BLOCK = 50_000
-QUESTION_BLOCK = 4_000
-
 
 def dataset_text(entries: DataFrame) -> DataFrame:
     """One search document per dataset from its metadata; rows are never indexed."""
@@ -174,21 +170,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(questions: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Place both sides in blocks such that every document block meets every question block."""
-    document_blocks = max(1, -(-documents.count() // DOCUMENT_BLOCK))
-    question_blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
-
-    def placed(df: DataFrame, identity: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(identity), F.lit(blocks)).cast("int")
-        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    return (
-        placed(questions, "question_id", "q_block", question_blocks, "d_block", document_blocks),
-        placed(documents, "doc_id", "d_block", document_blocks, "q_block", question_blocks),
-    )
-
-
 def sound_vectors(table: DataFrame, questions: DataFrame) -> DataFrame:
     """The table with a zero vector wherever one is missing, has a NULL or isn't as long as the questions' longest.
 
@@ -207,59 +188,29 @@ def unsound_vectors(table: DataFrame, questions: DataFrame) -> DataFrame:
     return sound_vectors(given, questions).agg(F.count_if(~same).alias("replaced"))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def cosine_range(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Lowest and highest cosine of every question ``(question_id, vector)`` over all documents."""
-
-    def extremes(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"question_id": [], "low": [], "high": []})
-        product = _matrix(q["vector"]) @ _matrix(d["vector"]).T
-        return pd.DataFrame({"question_id": q["question_id"], "low": product.min(axis=1), "high": product.max(axis=1)})
-
-    left, right = _blocks(questions.select("question_id", "vector"), documents.select("doc_id", "vector"))
-    pair = ["q_block", "d_block"]
-    kind = questions.schema["question_id"].dataType.simpleString()
-    partial = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(
-        extremes, f"question_id {kind}, low double, high double"
-    )
-    return partial.groupBy("question_id").agg(F.min("low").alias("cos_low"), F.max("high").alias("cos_high"))
+def cosine_range(questions: DataFrame, index: VectorIndex) -> DataFrame:
+    """Lowest and highest cosine of every question ``(question_id, vector)`` over all documents of an index without priors."""
+    sides = [
+        vectors.best(index, questions.select("question_id", "vector", F.lit(sign).alias("scale"), F.lit(1).alias("keep"))).select(
+            "question_id", F.col("product").alias(name)
+        )
+        for sign, name in ((-1.0, "cos_low"), (1.0, "cos_high"))
+    ]
+    return sides[0].join(sides[1], "question_id")
 
 
-def best_dense(questions: DataFrame, documents: DataFrame, weight: float) -> DataFrame:
+def best_dense(questions: DataFrame, index: VectorIndex, weight: float) -> DataFrame:
     """Best documents per question by scaled cosine plus the document's own prior.
 
-    ``questions`` ``(question_id, vector, cos_low, cos_high, keep)``, ``documents``
-    ``(doc_id, vector, prior)``. Each block pair returns at most ``keep`` rows per question.
+    ``questions`` ``(question_id, vector, cos_low, cos_high, keep)``.
     """
-
-    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        names = ["question_id", "doc_id", "cosine", "dense"]
-        if q.empty or d.empty:
-            return pd.DataFrame({n: [] for n in names})
-        d = d.sort_values("doc_id", kind="stable")
-        ids, prior, vectors = d["doc_id"].to_numpy(), d["prior"].to_numpy(), _matrix(d["vector"])
-        found = []
-        for question, vector, low, high, keep in zip(q["question_id"], q["vector"], q["cos_low"], q["cos_high"], q["keep"]):
-            cosine = vectors @ np.asarray(vector, dtype=np.float64)
-            dense = prior + (weight * ((cosine - low) / (high - low)) if high > low else 0.0)
-            top = np.argsort(-dense, kind="stable")[: int(keep)]
-            found.append(pd.DataFrame({"question_id": question, "doc_id": ids[top], "cosine": cosine[top], "dense": dense[top]}))
-        return pd.concat(found)
-
-    left, right = _blocks(questions, documents.select("doc_id", "vector", "prior"))
-    pair = ["q_block", "d_block"]
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((questions, "question_id"), (documents, "doc_id"))]
-    partial = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(
-        best, f"question_id {kinds[0]}, doc_id {kinds[1]}, cosine double, dense double"
-    )
-    keep = questions.select("question_id", "keep")
-    ranked = partial.join(keep, "question_id")
-    order = Window.partitionBy("question_id").orderBy(F.col("dense").desc(), F.col("doc_id").asc())
-    return ranked.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= F.col("keep")).drop("_at")
+    wide = F.col("cos_high") > F.col("cos_low")
+    scale = F.when(wide, weight / F.when(wide, F.col("cos_high") - F.col("cos_low"))).otherwise(0.0)
+    scaled_questions = questions.withColumn("scale", scale)
+    found = vectors.best(index, scaled_questions).withColumnRenamed("product", "cosine")
+    offset = scaled_questions.select("question_id", (F.col("scale") * F.col("cos_low")).alias("_low"))
+    dense = F.when(F.col("_low").isNotNull(), F.col("value") - F.col("_low")).otherwise(F.col("value"))
+    return found.join(offset, "question_id").withColumn("dense", dense).select("question_id", "doc_id", "cosine", "dense")
 
 
 def best_prior(questions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -280,7 +231,7 @@ def cosine_top(questions: DataFrame, documents: DataFrame, k: int = 10) -> DataF
     asked = questions.select(
         "question_id", "vector", F.lit(0.0).alias("cos_low"), F.lit(1.0).alias("cos_high"), F.lit(k).alias("keep")
     )
-    return best_dense(asked, documents.withColumn("prior", F.lit(0.0)), 1.0).select("question_id", "doc_id", "cosine")
+    return best_dense(asked, vectors.build(documents.withColumn("prior", F.lit(0.0))), 1.0).select("question_id", "doc_id", "cosine")
 
 
 def fused_top(
@@ -309,14 +260,16 @@ def fused_top(
     ranges = lexical_range(index, scores, questions)
     context = questions.drop("text").join(ranges, "question_id").withColumn("keep", (F.lit(k) + F.col("negative")).cast("int"))
     if with_vectors:
-        context = context.join(cosine_range(questions, documents), "question_id", "left")
+        documents = cut_lineage(documents.select("doc_id", "vector", "prior"))
+        near = vectors.build(documents)
+        context = context.join(cosine_range(questions, near.without_priors()), "question_id", "left")
     else:
         context = context.withColumns({"cos_low": F.lit(0.0), "cos_high": F.lit(0.0), "vector": F.array(F.lit(0.0))})
         documents = documents.withColumn("vector", F.array(F.lit(0.0)))
     context = cut_lineage(context)
     if with_vectors:
         dense_side = context.select("question_id", "vector", "cos_low", "cos_high", "keep")
-        dense = best_dense(dense_side, documents, vector_weight)
+        dense = best_dense(dense_side, near, vector_weight)
     else:
         dense = best_prior(context.select("question_id", "keep"), documents)
     dense = cut_lineage(dense)
