@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import asks_about_heat, asks_to_join, preferred_level, tokens
+from keyweave.functions.text import Dictionary, asks_about_heat, asks_to_join, preferred_level, tokens
 from keyweave.operators import vectors
 from keyweave.operators.sorting import top_k_per_group
 from keyweave.operators.vectors import VectorIndex
@@ -247,7 +247,7 @@ def fused_top(
 
     ``questions`` ``(question_id, text[, vector])``, ``documents`` ``(doc_id, prior[, vector])``,
     ``bonus`` ``(question_id, doc_id, bonus)`` with values of zero or more. Without vectors
-    the vector term is zero.
+    the vector term is zero. A column ``k`` of the questions asks for fewer than ``k`` documents.
 
     The best documents by the dense part alone give a lower bound of the k-th score; a
     lexical match is scored in full only when its upper bound reaches it. Negative lexical
@@ -258,7 +258,8 @@ def fused_top(
         documents, questions = sound_vectors(documents, questions), sound_vectors(questions, questions)
     scores = cut_lineage(lexical_scores(index, questions))
     ranges = lexical_range(index, scores, questions)
-    context = questions.drop("text").join(ranges, "question_id").withColumn("keep", (F.lit(k) + F.col("negative")).cast("int"))
+    wanted = F.least(F.col("k"), F.lit(k)) if "k" in questions.columns else F.lit(k)
+    context = questions.drop("text").withColumn("k", wanted).join(ranges, "question_id").withColumn("keep", (F.col("k") + F.col("negative")).cast("int"))
     if with_vectors:
         documents = cut_lineage(documents.select("doc_id", "vector", "prior"))
         near = vectors.build(documents)
@@ -315,18 +316,21 @@ def fused_top(
     )
     # scores are compared at twelve digits: the same sum in another order is still a tie
     order = [F.round("score", 12).desc(), F.col("doc_id").asc()]
-    return top_k_per_group(sparse_hits.unionByName(dense_hits), ["question_id"], order, k)
+    top = top_k_per_group(sparse_hits.unionByName(dense_hits), ["question_id"], order, k)
+    if "k" not in questions.columns:
+        return top
+    return top.join(context.select("question_id", "k"), "question_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
-def column_bonus(index: SearchIndex, questions: DataFrame, columns: DataFrame) -> DataFrame:
-    """Best column per dataset among the leading columns: ``(question_id, dataset_id, score, name)``.
+def column_bonus(index: SearchIndex, questions: DataFrame, columns: DataFrame, leading: int = COLUMN_HITS) -> DataFrame:
+    """Best column per dataset among the ``leading`` columns: ``(question_id, dataset_id, score, name)``.
 
     ``columns`` ``(doc_id, dataset_id, name[, vector])``; both score parts weigh the same,
     without vectors the lexical one counts alone.
     """
     weights = (0.5, 0.5) if "vector" in columns.columns else (1.0, 0.0)
     documents = columns.withColumn("prior", F.lit(0.0))
-    hits = fused_top(index, questions, documents, COLUMN_HITS, *weights)
+    hits = fused_top(index, questions, documents, leading, *weights)
     named = hits.join(columns.select("doc_id", "dataset_id", "name"), "doc_id")
     first = top_k_per_group(named.drop("rank"), ["question_id", "dataset_id"], [F.round("score", 12).desc(), F.col("doc_id").asc()], 1)
     return first.select("question_id", "dataset_id", "score", "name")
@@ -345,6 +349,27 @@ def hybrid_search(
     return fused_top(index, questions, documents.withColumn("prior", prior), k, bonus=bonus)
 
 
+def full_search(
+    index: SearchIndex,
+    column_index: SearchIndex,
+    questions: DataFrame,
+    documents: DataFrame,
+    columns: DataFrame,
+    dictionary: Dictionary,
+    k: int = 8,
+    leading: int = COLUMN_HITS,
+) -> DataFrame:
+    """Ranked datasets by all parts of the score, with the column that matched best.
+
+    Questions ``(question_id, text[, vector, k])`` are widened by the dictionary; ``index`` and ``documents`` are those of
+    ``hybrid_search``, ``column_index`` and ``columns`` those of ``column_bonus``.
+    """
+    asked = cut_lineage(questions.withColumn("text", dictionary.expand("text")))
+    told = cut_lineage(column_bonus(column_index, asked.drop("k"), columns, leading))
+    matched = told.select("question_id", F.col("dataset_id").alias("doc_id"), F.col("name").alias("matched_column"))
+    return hybrid_search(index, asked, documents, k, told).join(matched, ["question_id", "doc_id"], "left")
+
+
 def confidence(cosine: Column, bm25: Column, asked_region: Column, own_region: Column) -> Column:
     """How far to trust a hit: both scores, and the place it covers."""
     lexical = bm25 > 2
@@ -371,11 +396,13 @@ def merge_parts(hits: DataFrame, k: int = 8) -> DataFrame:
     return top_k_per_group(single.drop("rank"), ["question_id"], order, k)
 
 
-def seeds_first(merged: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Move the chosen datasets ``(question_id, doc_id)`` to the front of a ranking."""
-    marked = merged.join(seeds.withColumn("_seed", F.lit(0)), ["question_id", "doc_id"], "left")
+def seeds_first(merged: DataFrame, seeds: DataFrame, k: int = 8) -> DataFrame:
+    """Move the chosen datasets ``(question_id, doc_id)`` to the front of a ranking, and cut it to ``k`` or to all of them."""
+    marked = merged.join(seeds.select("question_id", "doc_id", F.lit(0).alias("_seed")).distinct(), ["question_id", "doc_id"], "left")
     order = Window.partitionBy("question_id").orderBy(F.coalesce("_seed", F.lit(1)), "rank")
-    return marked.withColumn("rank", F.row_number().over(order)).drop("_seed")
+    ranked = marked.withColumn("rank", F.row_number().over(order))
+    # seeds lead, so a row beyond k stays only as one of them
+    return ranked.where((F.col("rank") <= k) | F.col("_seed").isNotNull()).drop("_seed")
 
 
 def intent_boost(
@@ -388,10 +415,8 @@ def intent_boost(
     takes the best among those of its place and those without a place.
     """
     preferred = F.when(F.contains("title", F.lit("지역별")), 0).otherwise(1)
-    found = None
-    for position, pattern in enumerate(rules):
-        part = datasets.where(F.col("title").rlike(pattern)).withColumn("rule", F.lit(position))
-        found = part if found is None else found.unionByName(part)
+    fits = F.array(*[F.when(F.col("title").rlike(pattern), F.lit(at)) for at, pattern in enumerate(rules)])
+    found = datasets.withColumn("rule", F.explode(F.filter(fits, lambda r: r.isNotNull())))
     order = [F.col("preferred").asc(), F.col("rows").desc(), F.col("doc_id").asc()]
     by_place = top_k_per_group(
         found.withColumn("preferred", preferred), ["rule", "default_region"], order, 1

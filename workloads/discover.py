@@ -68,16 +68,22 @@ def _values(entries):
     return ", ".join(f"({at}, '{term}', '{added}')" for at, (term, added) in enumerate(entries.items()))
 
 
-_EXPANDED = f"""with q as materialized (select conv_id, turn, text || {_ASK} as t, lower(text || {_ASK}) as low from conversations),
+def _expanded(rows: str) -> str:
+    """Rows ``(id, t)`` with their expanded text, by looking for every term in every text."""
+    return f"""with q as materialized (select id, t, lower(t) as low from ({rows})),
     anywhere(pos, term, added) as (values {_values({**DICTIONARY.phrases, **DICTIONARY.synonyms})}),
     known(pos, term, added) as (values {_values(DICTIONARY.words)}),
-    spoken as (select conv_id, turn, unnest(regexp_extract_all(low, '[A-Za-z][A-Za-z-]+')) as w,
+    spoken as (select id, unnest(regexp_extract_all(low, '[A-Za-z][A-Za-z-]+')) as w,
       generate_subscripts(regexp_extract_all(low, '[A-Za-z][A-Za-z-]+'), 1) as pos from q),
-    hits as (select conv_id, turn, 0 as kind, pos, added from q join anywhere on contains(low, term)
-      union all select conv_id, turn, 1, s.pos, coalesce(k.added, p.added) from spoken s left join known k on k.term = w
+    hits as (select id, 0 as kind, pos, added from q join anywhere on contains(low, term)
+      union all select id, 1, s.pos, coalesce(k.added, p.added) from spoken s left join known k on k.term = w
         left join known p on w like '%s' and p.term = w[:-2] where coalesce(k.added, p.added) is not null)
-    select conv_id, turn, any_value(t) || coalesce(' ' || string_agg(added, ' ' order by kind, h.pos), '') as expanded
-    from q left join hits h using (conv_id, turn) group by conv_id, turn"""
+    select id, any_value(t) || coalesce(' ' || string_agg(added, ' ' order by kind, h.pos), '') as expanded
+    from q left join hits h using (id) group by id"""
+
+
+_EXPANDED = f"""select id // 1000 as conv_id, (id % 1000)::int as turn, expanded
+    from ({_expanded(f"select conv_id * 1000 + turn as id, text || {_ASK} as t from conversations")})"""
 
 
 def asking(spark, folder):
@@ -260,6 +266,73 @@ def sea_column_bonus(spark, folder):
     return bonus.withColumn("score", F.round("score", 6))
 
 
+# ---- all parts of the score together: widened questions, vectors, sizes and the best column
+
+_ASKED = f"(select item_id as question_id, text || {_ASK.replace('turn', 'item_id')} as text from benchmark)"
+_DESCRIBED = "(select doc_id, text || case doc_id % 5 when 0 then ' 공중화장실 공공' when 1 then ' 의료기관' when 2 then ' 포항시' else '' end as text from documents)"
+_COLUMN_VECTOR = "(conv_id * 7 + turn) % 400"
+
+
+def _with_pairs(sql: str) -> str:
+    """The same with the 2-grams of Hangul runs among the tokens."""
+    runs = _TOKENS.format("text")
+    pairs = f"list_transform(list_filter({runs}, lambda r: regexp_matches(r, '^[가-힣]{{3,}}$')), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))"
+    return sql.replace(runs, f"list_concat({runs}, flatten({pairs}))")
+
+
+def _zero_or(vector: str) -> str:
+    return f"coalesce({vector}::double[], list_resize([]::double[], 64, 0))"
+
+
+_FULL = _with_pairs(f"""wide as materialized (select id as question_id, expanded as text from ({_expanded("select question_id as id, text as t from " + _ASKED)})),
+  qv as materialized (select item_id as question_id, {_zero_or("embedding")} as v from benchmark left join embeddings on item_id = vec_id),
+  columns as materialized (select c.*, {_zero_or("embedding")} as v from {_COLUMNS} c left join embeddings on {_COLUMN_VECTOR} = vec_id),
+  told as materialized (with {_INDEX.replace('from documents', 'from columns')}, {_scores('wide')},
+    near as (select question_id, doc_id, list_inner_product(qv.v, d.v) as c from qv, columns d),
+    span as (select question_id, min(c) as clo, max(c) as chi from near group by 1),
+    every as (select question_id, d.doc_id, conv_id, turn, 0.5 * case when hi > lo then (coalesce(bm25, 0) - lo) / (hi - lo) else 0 end
+        + 0.5 * case when chi > clo then (c - clo) / (chi - clo) else 0 end as score
+      from rng join span using (question_id) join near using (question_id) join columns d using (doc_id) left join bm using (question_id, doc_id)),
+    lead as (select *, row_number() over (partition by question_id order by round(score, 12) desc, doc_id) as r from every)
+    select question_id, conv_id as doc_id, arg_min(score, r) as bonus, arg_min('turn ' || turn, r) as name from lead where r <= 200 group by all),
+  full_hits as materialized (with {_INDEX.replace('from documents', 'from ' + _DESCRIBED)}, {_scores('wide')},
+    near as (select question_id, doc_id, list_inner_product(qv.v, d.v) as c from qv,
+      (select doc_id, {_zero_or("embedding")} as v from documents left join embeddings on doc_id = vec_id) d),
+    span as (select question_id, min(c) as clo, max(c) as chi from near group by 1),
+    every as (select question_id, doc_id, c, coalesce(bm25, 0) as bm25, name, 0.3 * case when hi > lo then (coalesce(bm25, 0) - lo) / (hi - lo) else 0 end
+        + 0.7 * case when chi > clo then (c - clo) / (chi - clo) else 0 end + 0.015 * log10(n_chars + 1) + 0.1 * coalesce(bonus, 0) as score
+      from rng join span using (question_id) join near using (question_id) join documents using (doc_id)
+        left join bm using (question_id, doc_id) left join told using (question_id, doc_id))
+    select *, row_number() over (partition by question_id order by round(score, 12) desc, doc_id) as rank from every)""")
+
+
+def vector_of(spark, folder, name):
+    return read(spark, folder, "embeddings").select(F.col("vec_id").alias(name), F.col("embedding").alias("vector"))
+
+
+def full_hits(spark, folder):
+    asked = questions(spark, folder).join(vector_of(spark, folder, "question_id"), "question_id", "left")
+    asked = asked.withColumn("text", F.concat("text", F.expr(_ASK.replace("turn", "question_id"))))
+    known = read(spark, folder, "documents").join(vector_of(spark, folder, "doc_id"), "doc_id", "left")
+    words = "case doc_id % 5 when 0 then ' 공중화장실 공공' when 1 then ' 의료기관' when 2 then ' 포항시' else '' end"
+    index = search.build_index(known.select("doc_id", F.concat("text", F.expr(words)).alias("text")))
+    columns = column_documents(spark, folder)
+    column_index = search.build_index(columns.select("doc_id", "text"))
+    at = columns.withColumn("vec", ((F.col("dataset_id") * 7 + F.col("doc_id") % 1000) % 400))
+    columns = at.join(vector_of(spark, folder, "vec"), "vec", "left").drop("vec", "text")
+    documents = known.select("doc_id", F.col("n_chars").alias("rows"), "vector")
+    return search.full_search(index, column_index, asked, documents, columns, DICTIONARY)
+
+
+@query(
+    "sea_full",
+    f"with {_FULL} select question_id, doc_id, rank, round(score, 6) as score, round(bm25, 6) as bm25, name as matched_column from full_hits where rank <= 8",
+)
+def sea_full(spark, folder):
+    hits = full_hits(spark, folder)
+    return hits.select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"), F.round("bm25", 6).alias("bm25"), "matched_column")
+
+
 _REGIONS = (
     f"case when item_id % 3 = 0 then {place('item_id')} end",
     f"case when doc_id % 2 = 0 then {place('doc_id')} end",
@@ -299,18 +372,16 @@ def asked_parts(spark, folder):
     )
 
 
-def merged_hits(spark, folder):
+def merged_hits(spark, folder, k=8):
     index = index_of(spark, folder)
     documents = read(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("rows"))
-    asked = cut_lineage(asked_parts(spark, folder))
-    found = [
-        search.hybrid_search(index, asked.where(condition).select("question_id", "text"), documents, k)
-        for condition, k in (("part = 0", 8), ("part > 0", 4))
-    ]
-    hits = found[0].unionByName(found[1]).select(
+    # parts ask for half as many hits as the whole question
+    asked = asked_parts(spark, folder).select("question_id", "text", F.when(F.col("part") == 0, 8).otherwise(4).alias("k"))
+    found = search.hybrid_search(index, cut_lineage(asked), documents, 8)
+    hits = found.select(
         F.floor(F.col("question_id") / 1000).alias("question_id"), (F.col("question_id") % 1000).alias("part"), "rank", "doc_id", "score"
     )
-    return search.merge_parts(hits)
+    return search.merge_parts(hits, k)
 
 
 _MERGED = f"""{_INDEX}, {_PARTS}, {_scores('asks')},
@@ -330,6 +401,20 @@ def sea_multi(spark, folder):
     return merged_hits(spark, folder)
 
 
+@query(
+    "sea_seeds_first",
+    f"""with {_MERGED}, seeds as (select distinct question_id, doc_id from merged where rank % 5 = 0),
+          placed as (select m.*, s.doc_id is not null as seed, row_number() over (partition by question_id
+              order by s.doc_id is null, m.rank) as place from merged m left join seeds s using (question_id, doc_id) where rank <= 12)
+        select question_id, doc_id, place as rank from placed where place <= 2 or seed""",
+)
+def sea_seeds_first(spark, folder):
+    """The fifth and tenth hit moved to the front, and the rest cut to two or to all of these."""
+    merged = cut_lineage(merged_hits(spark, folder, 12))
+    seeds = merged.where(F.col("rank") % 5 == 0)
+    return search.seeds_first(merged, seeds, 2).select("question_id", "doc_id", "rank")
+
+
 _TITLE = (
     "case doc_id % 9 when 0 then '지역별 노인 인구' when 1 then '노령 인구' when 2 then '기상 관측' when 3 then '지역별 기온'"
     " when 4 then '무더위쉼터' when 5 then '대피 장소' else source end"
