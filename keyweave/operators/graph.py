@@ -363,6 +363,33 @@ def joinable_sets(seeds: DataFrame, candidates: DataFrame, edges: DataFrame, min
     return top_k_per_group(single, ["question_id"], order, SETS_KEPT)
 
 
+def set_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """How the members of every set join: ``(question_id, rank, links)``, one link per pair in member order.
+
+    ``sets`` as from ``joinable_sets``, ``pairs`` as from ``with_key_columns``; a link is
+    ``struct(a, b, a_col, b_col, match_rate, matched)``.
+    """
+    placed = sets.select("question_id", "rank", "level", F.posexplode("members").alias("at", "id"))
+    group = ["question_id", "rank", "level"]
+    two = placed.withColumnsRenamed({"at": "a_at", "id": "a_id"}).join(placed.withColumnsRenamed({"at": "b_at", "id": "b_id"}), group)
+    two = two.where(F.col("a_at") < F.col("b_at")).withColumns({"a": F.least("a_id", "b_id"), "b": F.greatest("a_id", "b_id")})
+    known = two.join(pairs.select("level", "a", "b", "a_col", "b_col", "match_rate", "matched"), ["level", "a", "b"])
+    turned = F.col("a_id") != F.col("a")
+    link = F.struct(
+        "a_at",
+        "b_at",
+        F.struct(
+            F.col("a_id").alias("a"),
+            F.col("b_id").alias("b"),
+            F.when(turned, F.col("b_col")).otherwise(F.col("a_col")).alias("a_col"),
+            F.when(turned, F.col("a_col")).otherwise(F.col("b_col")).alias("b_col"),
+            "match_rate",
+            "matched",
+        ).alias("link"),
+    )
+    return known.groupBy("question_id", "rank").agg(F.array_sort(F.collect_list(link)).getField("link").alias("links"))
+
+
 def best_combination(parts: DataFrame, edges: DataFrame, prefer: Column | None = None) -> DataFrame:
     """For each question one candidate per part such that the worst pair joins best.
 
@@ -454,6 +481,20 @@ def structure_edges(entries: DataFrame) -> DataFrame:
     return topics.unionByName(tags).unionByName(columns)
 
 
+def joinable_edges(pairs: DataFrame) -> DataFrame:
+    """Measured pairs as edges: ``(s, p, o, on, a_col, b_col, matched, match_rate)``; ``pairs`` as from ``with_key_columns``."""
+    return pairs.select(
+        F.concat(F.lit("ds:"), "a").alias("s"),
+        F.lit("joinable_by").alias("p"),
+        F.concat(F.lit("ds:"), "b").alias("o"),
+        F.col("level").alias("on"),
+        "a_col",
+        "b_col",
+        "matched",
+        "match_rate",
+    )
+
+
 def structure_nodes(entries: DataFrame) -> DataFrame:
     """Dataset and column nodes."""
     datasets = entries.select(F.concat(F.lit("ds:"), "dataset_id").alias("id"), F.lit("dataset").alias("type"))

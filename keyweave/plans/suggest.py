@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyweave.functions.casts import metric_double
+from keyweave.functions.keys import Gazetteer
 from keyweave.operators.graph import joinable_sets
 from keyweave.operators.profile import BOOKKEEPING
 from keyweave.operators.sorting import top_k_per_group
+from keyweave.session import cut_lineage
 
 # Name parts of columns that identify, date or locate instead of measuring (fixed values).
 NOT_MEASURES = (
@@ -166,6 +169,67 @@ def join_jobs(sets: DataFrame, region_keys: DataFrame, metrics: DataFrame) -> Da
     )
 
 
+def _metric_name(m: Column, alias: Column) -> Column:
+    parts = F.when(m["metric_pos"] == 0, F.lit("count")).when(m["metric_pos"] == 1, F.concat_ws("_", m["agg"], m["column"]))
+    return F.concat_ws("_", alias, parts.otherwise(F.concat_ws("_", m["column"], F.lit("Y"))))
+
+
+def run_join_jobs(jobs: DataFrame, long: DataFrame, gazetteer: Gazetteer) -> DataFrame:
+    """The results of all recommended joins at once: ``(question_id, rank, level, key, metrics)``.
+
+    ``jobs`` as from ``join_jobs``; ``long`` ``(dataset_id, row_id, column, value)`` holds the datasets' cells. Each
+    distinct aggregate of a dataset, key column, level and metric is computed once, however many jobs
+    ask for it, and the jobs then meet the aggregates: the plan doesn't grow with the jobs. A job's rows are the keys that all its
+    sources have; ``metrics`` maps names to numbers. A job with a source that has no key at its level has no rows.
+    """
+    job = ["question_id", "rank", "level"]
+    sized = jobs.groupBy(*job).agg(F.count("key_column").alias("_keyed"), F.count(F.lit(1)).alias("_sources"))
+    runnable = cut_lineage(jobs.join(sized.where(F.col("_keyed") == F.col("_sources")).drop("_keyed"), job))
+    source = ["dataset_id", "level", "key_column"]
+    metric = ["agg", "column", "value"]
+    wanted = cut_lineage(runnable.select(*source, F.inline("metrics")).select(*source, *metric).distinct())
+
+    places = wanted.select(*source).distinct().withColumnRenamed("key_column", "column")
+    key = F.when(F.col("level") == "sgg", gazetteer.city("value")).otherwise(gazetteer.town("value"))
+    keyed = cut_lineage(
+        long.join(places, ["dataset_id", "column"]).select(*source[:2], F.col("column").alias("key_column"), "row_id", key.alias("key")).where("key is not null")
+    )
+    counts = keyed.groupBy(*source, "key").agg(F.count(F.lit(1)).cast("double").alias("result"))
+    counted = wanted.where("agg = 'count'").join(counts, source)
+    measured = wanted.where("agg <> 'count'")
+    cells = long.withColumnRenamed("value", "cell").join(measured.select("dataset_id", "column").distinct(), ["dataset_id", "column"])
+    number = metric_double("cell")
+    results = (
+        F.when(F.first("agg") == "sum", F.sum(number))
+        .when(F.first("agg") == "avg", F.avg(number))
+        .otherwise(F.count_if(F.col("cell") == F.col("value")).cast("double"))
+    )
+    measured = (
+        keyed.join(measured, source)
+        .join(cells, ["dataset_id", "row_id", "column"])
+        .groupBy(*source, *metric, "key")
+        .agg(results.alias("result"))
+    )
+    every = counted.select(*source, *metric, "key", "result").unionByName(measured.select(*source, *metric, "key", "result"))
+    asked = runnable.select(*job, "alias", "_sources", *source[::2], F.inline("metrics")).withColumn(
+        "name", _metric_name(F.struct("metric_pos", "agg", "column"), F.col("alias"))
+    )
+    met = asked.alias("q").join(
+        every.alias("r"),
+        (F.col("q.dataset_id") == F.col("r.dataset_id"))
+        & (F.col("q.level") == F.col("r.level"))
+        & (F.col("q.key_column") == F.col("r.key_column"))
+        & (F.col("q.agg") == F.col("r.agg"))
+        & (F.col("q.column") == F.col("r.column"))
+        & F.col("q.value").eqNullSafe(F.col("r.value")),
+    )
+    grouped = met.groupBy("q.question_id", "q.rank", "q.level", "r.key", "q._sources").agg(
+        F.count_if(F.col("q.agg") == "count").alias("_met"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "result")))).alias("metrics")
+    )
+    # every source counts its rows, so a key that all sources have comes with as many counts
+    return grouped.where(F.col("_met") == F.col("_sources")).drop("_met", "_sources")
+
+
 def job_specs(jobs: DataFrame) -> DataFrame:
     """Recommended joins as specs that ``run_spec`` takes: ``(question_id, rank, level, spec)``.
 
@@ -173,9 +237,7 @@ def job_specs(jobs: DataFrame) -> DataFrame:
     """
 
     def metric(m: Column, alias: Column) -> Column:
-        parts = F.when(m["metric_pos"] == 0, F.lit("count")).when(m["metric_pos"] == 1, F.concat_ws("_", m["agg"], m["column"]))
-        name = F.concat_ws("_", alias, parts.otherwise(F.concat_ws("_", m["column"], F.lit("Y"))))
-        return F.struct(name.alias("name"), m["agg"].alias("agg"), m["column"].alias("column"), m["value"].alias("value"))
+        return F.struct(_metric_name(m, alias).alias("name"), m["agg"].alias("agg"), m["column"].alias("column"), m["value"].alias("value"))
 
     source = F.struct(
         "alias",

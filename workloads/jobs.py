@@ -10,10 +10,11 @@ from keyweave import SourceTable, run_spec
 from keyweave.operators import graph
 from keyweave.plans.runner import one_row_join
 from keyweave.plans.stored import run_stored, stage_report
-from keyweave.plans.suggest import job_specs, join_jobs, recommended_sets, single_jobs, suggested_metrics
+from keyweave.plans.suggest import job_specs, join_jobs, recommended_sets, run_join_jobs, single_jobs, suggested_metrics
+from keyweave.session import cut_lineage
 from workloads.combine import _CN, _SP, LEFT_SPEC, RICH_SUPPLIERS, counted
-from workloads.inputs import CUSTOMERS, GAZETTEER, place, read, tables
-from workloads.measure import measured_edges, place_values, questions
+from workloads.inputs import CUSTOMERS, GAZETTEER, ORDERS, SUPPLIERS, customers, orders, place, read, suppliers, tables
+from workloads.measure import EDGES, SETS, measured_edges, place_values, questions
 from workloads.registry import query
 
 # ---- metrics: every part is a dataset with five columns named after it
@@ -106,6 +107,66 @@ def job_recommend(spark, folder):
     return job_specs(jobs)
 
 
+def place_cells(spark, folder):
+    """The datasets of ``place_values`` as cells of rows, with an amount and, for customers, a yes/no flag."""
+
+    def cells(df, dataset, row, *columns):
+        listed = F.array(*[F.struct(F.lit(name).alias("column"), value.cast("string").alias("value")) for name, value in columns])
+        return df.select(dataset.alias("dataset_id"), F.col(row).alias("row_id"), F.inline(listed))
+
+    alias = F.when(F.col("c_custkey") % 3 == 0, F.col("c_address")).otherwise(F.col("c_name"))
+    o = orders(spark, folder)
+    order_set = F.concat(F.lit("o_"), F.substring("o_orderpriority", 1, 1), "o_orderstatus")
+    return (
+        cells(o, order_set, "o_orderkey", ("o_address", F.col("o_address")), ("amt", F.col("o_totalprice")))
+        .unionByName(
+            cells(
+                customers(spark, folder), F.concat(F.lit("c_"), F.col("c_nationkey").cast("string")), "c_custkey",
+                ("c_address", F.col("c_address")), ("c_alias", alias), ("amt", F.col("c_acctbal")), ("rich", F.col("c_rich")),
+            )
+        )
+        .unionByName(
+            cells(
+                suppliers(spark, folder), F.concat(F.lit("s_"), F.col("s_nationkey").cast("string")), "s_suppkey",
+                ("s_address", F.col("s_address")), ("amt", F.col("s_acctbal")),
+            )
+        )
+    )
+
+
+@query(
+    "job_run_recommended",
+    f"""with recursive {EDGES}, {SETS}, members as (select question_id, rank, level, unnest(members) as dataset_id,
+            generate_subscripts(members, 1) as nth, len(members) as size from sets where rank <= 6),
+          named as (select 'o_' || substr(o_orderpriority, 1, 1) || o_orderstatus as dataset_id, 'o_address' as "column", o_city as city, o_town as town,
+              o_totalprice::double as amt, null as rich from {ORDERS}
+            union all select 'c_' || c_nationkey, 'c_address', c_city, c_town, c_acctbal::double, c_rich from {CUSTOMERS}
+            union all select 'c_' || c_nationkey, 'c_alias', c_city, c_town, c_acctbal::double, c_rich from {CUSTOMERS} where c_custkey % 3 = 0
+            union all select 's_' || s_nationkey, 's_address', s_city, s_town, s_acctbal::double, null from {SUPPLIERS}),
+          summed as (select level, dataset_id, case level when 'sgg' then city else town end as key, count(*) as n, sum(amt) as amt,
+              count(*) filter (rich = 'Y') as rich from named join best using (dataset_id, "column") group by all),
+          shared as (select m.*, key, n, amt, rich, count(*) over (partition by question_id, rank, key) as have from members m
+            join summed using (level, dataset_id) where key is not null)
+        select question_id, rank, level, key, chr((96 + nth)::int) || '_' || u.metric as metric,
+          round(case u.metric when 'count' then n when 'sum_amt' then amt else rich end, 2) as result
+        from shared, (values ('count'), ('sum_amt'), ('rich_Y')) u(metric) where have = size and (u.metric <> 'rich_Y' or starts_with(dataset_id, 'c_'))""",
+)
+def job_run_recommended(spark, folder):
+    """The joinable sets of every question as jobs with suggested metrics, all run together."""
+    cells = place_cells(spark, folder)
+    best = graph.best_key_columns(graph.keys_by_level(place_values(spark, folder), GAZETTEER))
+    role = F.when(F.col("name") == "amt", "numeric").otherwise("text")
+    samples = F.when(F.col("name") == "rich", F.array(F.lit("Y"), F.lit("N"))).otherwise(F.array().cast("array<string>"))
+    columns = cells.select("dataset_id", F.col("column").alias("name")).distinct().select(
+        "dataset_id", F.lit(0).alias("column_pos"), "name", role.alias("role"), samples.alias("samples")
+    )
+    seeds, candidates = questions(spark, folder)
+    sets = graph.joinable_sets(seeds, candidates, measured_edges(spark, folder))
+    jobs = join_jobs(sets, graph.region_keys(best), suggested_metrics(columns, F.lit("")))
+    results = run_join_jobs(cut_lineage(jobs), cells, GAZETTEER)
+    return results.select("question_id", "rank", "level", "key", F.explode("metrics").alias("metric", "result")).withColumn("result", F.round("result", 2))
+
+
 STORED = {
     "spec": {
         "sources": [

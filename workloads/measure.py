@@ -632,3 +632,44 @@ def gra_upstream(spark, folder):
 )
 def gra_link_check(spark, folder):
     return workflow.link_rejections(links(spark, folder)).select("workflow_id", "position", "rejection")
+
+
+@query(
+    "gra_set_links",
+    f"""with recursive {EDGES}, {SETS}, placed as (select question_id, rank, level, unnest(members) as m, generate_subscripts(members, 1) as at
+            from sets where rank <= 6)
+        select x.question_id, x.rank, x.m as a, y.m as b, l."column" as a_col, r."column" as b_col, match_rate, matched
+        from placed x join placed y on x.question_id = y.question_id and x.rank = y.rank and x.at < y.at
+          join edges e on e.a = x.m and e.other = y.m and e.level = x.level
+          join best l on l.level = x.level and l.dataset_id = x.m join best r on r.level = x.level and r.dataset_id = y.m""",
+)
+def gra_set_links(spark, folder):
+    keys = cut_lineage(graph.keys_by_level(place_values(spark, folder), GAZETTEER).distinct())
+    best = cut_lineage(graph.best_key_columns(keys))
+    chosen = keys.join(best, ["dataset_id", "level", "column"]).select("level", "dataset_id", "k")
+    pairs = cut_lineage(graph.with_key_columns(graph.measure_pairs(chosen, datasets(chosen)), best))
+    seeds, candidates = questions(spark, folder)
+    sets = cut_lineage(graph.joinable_sets(seeds, candidates, graph.both_directions(pairs)))
+    return graph.set_links(sets, pairs).select("question_id", "rank", F.inline("links"))
+
+
+@query(
+    "gra_joinable_edges",
+    f"""with {PAIRS} select 'ds:' || a as s, 'joinable_by' as p, 'ds:' || b as o, level as "on", l."column" as a_col, r."column" as b_col,
+          matched, match_rate from pairs join best l using (level) join best r using (level) where l.dataset_id = a and r.dataset_id = b""",
+)
+def gra_joinable_edges(spark, folder):
+    keys = cut_lineage(graph.keys_by_level(place_values(spark, folder), GAZETTEER).distinct())
+    best = cut_lineage(graph.best_key_columns(keys))
+    chosen = keys.join(best, ["dataset_id", "level", "column"]).select("level", "dataset_id", "k")
+    return graph.joinable_edges(graph.with_key_columns(graph.measure_pairs(chosen, datasets(chosen)), best))
+
+
+@query(
+    "gra_nodes",
+    f"""with {_ENTRIES} select 'ds:' || dataset_id as id, 'dataset' as type from entries
+        union all select 'col:' || dataset_id || '.' || c, 'column' from
+          (select dataset_id, unnest(['c_address', 'c_balance', 'c_rich', 'c_since']) as c from entries)""",
+)
+def gra_nodes(spark, folder):
+    return graph.structure_nodes(entries(spark, folder))
