@@ -11,6 +11,7 @@ import sys
 import time
 
 from keyweave import build_session
+from keyweave.session import intermediates
 from workloads import QUERIES
 
 # One query per kind of work; `python bench.py all` times every registered query.
@@ -55,10 +56,11 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
     for name in names:
-        start = time.perf_counter()
-        # every row is produced, nothing is sent to the driver
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        with intermediates(spark):
+            start = time.perf_counter()
+            # every row is produced, nothing is sent to the driver
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -297,7 +297,14 @@ def neighbours(edges: DataFrame, minimum: float = 0.5, k: int = 10) -> DataFrame
     return top_k_per_group(single, ["a"], [*order, F.col("other").asc(), F.col("level").desc()], k)
 
 
-def joinable_sets(seeds: DataFrame, candidates: DataFrame, edges: DataFrame, minimum: float = 0.5) -> DataFrame:
+def joinable_sets(
+    seeds: DataFrame,
+    candidates: DataFrame,
+    edges: DataFrame,
+    minimum: float = 0.5,
+    most_members: int = MAXIMUM_MEMBERS,
+    kept: int = SETS_KEPT,
+) -> DataFrame:
     """Sets of datasets that all join each other, grown greedily around each seed.
 
     ``seeds`` ``(question_id, seed, seed_pos)`` and ``candidates`` ``(question_id, candidate,
@@ -339,8 +346,8 @@ def joinable_sets(seeds: DataFrame, candidates: DataFrame, edges: DataFrame, min
     start = F.struct(F.array(F.col("seed")).alias("members"), F.lit(1.0).cast("double").alias("low"))
 
     def grow(acc: Column, c: Column) -> Column:
-        grown = F.slice(acc["members"], 2, MAXIMUM_MEMBERS)
-        fits = (F.size(acc["members"]) < MAXIMUM_MEMBERS) & F.forall(grown, lambda m: F.map_contains_key(c["friends"], m))
+        grown = F.slice(acc["members"], 2, most_members)
+        fits = (F.size(acc["members"]) < most_members) & F.forall(grown, lambda m: F.map_contains_key(c["friends"], m))
         low = F.array_min(F.concat(F.array(acc["low"], c["match_rate"]), F.transform(grown, lambda m: c["friends"][m])))
         return F.when(
             fits, F.struct(F.concat(acc["members"], F.array(c["c"])).alias("members"), low.alias("low"))
@@ -360,7 +367,7 @@ def joinable_sets(seeds: DataFrame, candidates: DataFrame, edges: DataFrame, min
     single = top_k_per_group(
         sets.withColumn("_set", F.array_sort("members")), ["question_id", "level", "_set"], order, 1
     ).drop("rank", "_set")
-    return top_k_per_group(single, ["question_id"], order, SETS_KEPT)
+    return top_k_per_group(single, ["question_id"], order, kept)
 
 
 def set_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:

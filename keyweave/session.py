@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +58,38 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"keyweave-{context.applicationId}")
 
 
+# Paths written by each scope that is open, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """A scope that removes the tables ``cut_lineage`` writes inside it, once its results are stored elsewhere.
+
+    DataFrames made inside can't be computed afterwards.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     Lost executors then cost nothing but the running stage, a table used several times is
-    computed once, and later joins know its real size.
+    computed once, and later joins know its real size. The table stays until the folder is cleared, or until the
+    enclosing ``intermediates`` scope ends.
     """
     path = os.path.join(checkpoint_folder(df.sparkSession), "keyweave", uuid.uuid4().hex)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

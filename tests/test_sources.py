@@ -147,6 +147,26 @@ def test_intermediates_need_a_shared_folder_on_a_cluster():
         checkpoint_folder(Session())
 
 
+def test_scope_removes_intermediates(spark):
+    import os
+
+    from keyweave.session import checkpoint_folder, cut_lineage, intermediates
+
+    def stored():
+        folder = os.path.join(checkpoint_folder(spark).removeprefix("file:"), "keyweave")
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    before = stored()
+    with intermediates(spark):
+        outer = cut_lineage(spark.range(5))
+        with intermediates(spark):
+            assert cut_lineage(spark.range(3)).count() == 3 and len(stored() - before) == 2
+        assert len(stored() - before) == 1 and outer.count() == 5
+    assert stored() == before
+    cut_lineage(spark.range(1))
+    assert len(stored() - before) == 1
+
+
 def test_errors(spark):
     gateway = {"OpenAPI_ServiceResponse": {"cmmMsgHeader": {"returnReasonCode": "30", "errMsg": "NO KEY"}}}
     coded = {"response": {"header": {"resultCode": "99", "resultMsg": "bad"}}}

@@ -6,19 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave import Gazetteer, SourceTable
+from keyweave.functions.keys import CITY_CODES, CITY_NAMES, ENGLISH_NAMES
 from keyweave.sources.tables import read_table
 
 GAZETTEER = Gazetteer()
 
-PLACES = (
-    "포항시,경주시,김천시,안동시,구미시,영주시,영천시,상주시,문경시,경산시,의성군,"
-    "청송군,영양군,영덕군,청도군,고령군,성주군,칠곡군,예천군,봉화군,울진군,울릉군"
-)
-CODES = (
-    "47111,47130,47150,47170,47190,47210,47230,47250,47280,47290,47730,"
-    "47750,47760,47770,47820,47830,47840,47850,47900,47920,47930,47940"
-)
-TOWNS = "금호읍,오천읍,풍산읍,장량동,화북면"
+# Cities the generated addresses name, and the code of each; the merged county has neither an English name nor an address here.
+_CITIES = [name for name in CITY_NAMES if name in ENGLISH_NAMES.values()]
+PLACES = ",".join(_CITIES)
+CODES = ",".join(min(code for code, city in CITY_CODES.items() if city == name) for name in _CITIES)
+TOWNS = ",".join(["금호읍", "오천읍", "풍산읍", "장량동", "화북면"])
 
 
 def read(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
