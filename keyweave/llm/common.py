@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,41 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
         yield batch.slice(start, end - start)
 
 
+def _give_back() -> None:
+    """Return memory that is no longer used to the system, where the C library offers it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+# What a worker keeps from task to task, by the operator's name.
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What this worker keeps for an operator's tasks, made when first asked for."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def fresh(batches: Iterator[pa.RecordBatch], name: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches of a task. Python workers are used again: what other operators' tasks left is given back first."""
+    for other in [n for n in _held if n != name]:
+        del _held[other]
+    _give_back()
+    yield from batches
+    _give_back()
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices of about ``most`` bytes of text, so that few texts are Python objects at a time."""
+    for batch in fresh(batches):
+        yield from slices(batch, text, most)
+
+
 class Recent(dict):
     """A dictionary of the recently used keys, of at most twice ``most`` entries.
 

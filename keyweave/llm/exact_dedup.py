@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import IdFilter, cut_lineage, partitions, texts_of
+from keyweave.llm.common import IdFilter, cut_lineage, partitions, in_slices, texts_of
 
 KEYS_PER_SENDER_MESSAGE = 1 << 20
 
@@ -111,7 +111,7 @@ def _senders(owners: int):
         ids: list[np.ndarray] = []
         known: list[np.ndarray] = []
         held = part = 0
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = texts_of(batch.column(1))
             keys.append(np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts)))
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -251,7 +251,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ids = suspects(rows)
     whole = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
     filtered = IdFilter(ids)
@@ -263,7 +262,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         whole.filter(F.col("doc_id").isNull())
     )
     # the text is grouped as it is; the row that stays is picked while rows are read
-    kept = caught.groupBy("text").agg(F.max_by("row", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("row"))
+    text = F.coalesce(F.col("row").getField("text").cast("string"), F.lit(""))
+    kept = caught.groupBy(text.alias("text")).agg(F.max_by("row", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("row"))
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
     return (
         clean.select(*columns).unionByName(passed.select(*columns)).unionByName(kept.select(*columns))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import IdFilter, Recent, cut_lineage, slices, texts_of
+from keyweave.llm.common import IdFilter, Recent, cut_lineage, fresh, slices, texts_of
 from keyweave.llm.components import components
 
 SHINGLE = 5
@@ -40,10 +40,10 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-BYTES_PER_STEP = 1 << 20
+BYTES_PER_STEP = 1 << 19
 PAIRS_PER_STEP = 500
 CENTRAL_ROUNDS = 2
-CACHED_WORDS = 150_000
+CACHED_WORDS = 75_000
 
 WORD = re.compile(r"\w+")
 
@@ -155,7 +155,7 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
-    for batch in batches:
+    for batch in fresh(batches):
         for part in slices(batch, "text", BYTES_PER_STEP):
             owner, hashed, digests = shingles(texts_of(part.column("text")), hashes)
             keys = band_keys(signatures(owner, hashed, part.num_rows))
@@ -174,7 +174,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
-    for batch in batches:
+    for batch in fresh(batches):
         for part in slices(batch, "text", BYTES_PER_STEP):
             owner, hashed, _ = shingles(texts_of(part.column("text")), hashes)
             cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -201,7 +201,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def profile(value: pa.Scalar) -> np.ndarray:
         return np.frombuffer(value.as_buffer(), np.uint64)  # no copy: hubs stand in many pairs
 
-    for batch in batches:
+    for batch in fresh(batches):
         for low in range(0, batch.num_rows, PAIRS_PER_STEP):
             part = batch.slice(low, PAIRS_PER_STEP)
             found = [overlap(profile(x), profile(y)) for x, y in zip(part.column("profile_a"), part.column("profile_b"))]
@@ -349,7 +349,7 @@ def _common_sizes(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _multiplicities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct shingles of each document and how often it has them."""
     hashes = WordHash()
-    for batch in batches:
+    for batch in fresh(batches):
         for part in slices(batch, "text", BYTES_PER_STEP):
             owner, hashed, _ = shingles(texts_of(part.column("text")), hashes)
             if len(hashed) == 0:

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import WHITE, Recent, cut_lineage, slices, texts_of
+from keyweave.llm.common import WHITE, Recent, cut_lineage, fresh, held, slices, texts_of
 
 CAPACITY = 2048
-CACHED_WORDS = 200_000
-CACHED_PARTS = 600_000
+CACHED_WORDS = 100_000
+CACHED_PARTS = 200_000
 BYTES_PER_STEP = 4 << 20
 FITTING_ROUNDS = 300
 SECOND_CHOICES = 24
@@ -81,17 +81,13 @@ class WordIds(Recent):
         return [b"".join(map((self.parts if s else self).__getitem__, c)) for c, s in zip(cut, plain)]
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.get(path)
-        if words is None:
-            words = _WORDS[path] = WordIds(path)
+        name = f"packing:{path}"
+        words = held(name, lambda: WordIds(path))
         end = np.array([end_id], dtype="<u4").tobytes()
         task, ranks = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in fresh(batches, name):
             columns: list[list] = [[] for _ in range(6 + with_ids)]
             documents = (
                 pair
@@ -220,7 +216,7 @@ def _places(runs: list[Run]) -> Callable:
     keys = (table[:, 0] << 44) | table[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in fresh(batches):
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(keys, (length << 44) | rank, side="right") - 1
             sequence = table[at, 3] + rank - table[at, 1]

@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import Recent, cut_lineage, texts_of
+from keyweave.llm.common import Recent, cut_lineage, in_slices, texts_of
 
 BUCKETS = 1 << 14
 MOST_LABELS = 20_000
 SMOOTHING = 1.0
 SHRINK = 8.0  # n-grams that speak for the average, so that very short texts are not judged by a word
-CACHED_TOKENS = 600_000
+CACHED_TOKENS = 200_000
 SEED = 17
 
 # A word, or a run of one mark with its length; white space is left out.
@@ -76,8 +76,8 @@ def _counts(rows: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, total = Grams(), np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
+        for batch in in_slices(batches):
+            for text in texts_of(batch.column("text")):
                 total += np.bincount(grams.buckets(text), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for batch in batches:
+        for batch in in_slices(batches):
             weights = [model.log_weight(grams, t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(weights, pa.float64()), batch.column("quality")], ["weight", "quality"]
@@ -168,7 +168,7 @@ def _weighed(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = texts_of(batch.column("text"))
             weights = np.array([model.log_weight(grams, t) for t in texts])
             ids = batch.column("doc_id").to_pylist()
@@ -244,7 +244,7 @@ def resample(docs: DataFrame, model: Model, fraction: float = 1.0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = texts_of(batch.column(batch.schema.get_field_index("text")))
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             weights = np.array([model.log_weight(grams, t) for t in texts])

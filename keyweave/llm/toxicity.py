@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import Recent, texts_of
+from keyweave.llm.common import Recent, in_slices, texts_of
 
 MOST_LABELS = 20_000
 LEXICON_SIZE = 1_000
@@ -38,7 +38,7 @@ LEAST_SUPPORT = 4
 LEAST_RATIO = 24.0
 STEMS = range(4, 9)
 WINDOW = 6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 WORD = re.compile(r"[^\W_]+")
 OPENING = "\"“„«‘‹"
@@ -238,7 +238,7 @@ def _lexicon(labelled: DataFrame, toxic_rows: int, clean_rows: int) -> tuple[lis
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in in_slices(batches):
             for text, toxic in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist()):
                 found[toxic].update(_terms(text))
             if len(found[0]) + len(found[1]) > 500_000:
@@ -306,7 +306,7 @@ def _collisions(clean: DataFrame, model: Model) -> dict[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(Trie(model.terms, model.allowed))
         found: Counter = Counter()
-        for batch in batches:
+        for batch in in_slices(batches):
             for text in texts_of(batch.column("text")):
                 hits = {matcher[w] for w in set(WORD.findall(text.lower()))}
                 found.update({hit[0] for hit in hits if hit and hit[1]})
@@ -369,7 +369,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [scorer.features(t)[0] for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"]
@@ -389,7 +389,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [scorer.features(t) for t in texts_of(batch.column("text"))]
             scores = [scorer.score(r[0]) for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -416,7 +416,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = texts_of(batch.column(batch.schema.get_field_index("text")))
             clean = [scorer.score(scorer.features(t)[0]) < 0.5 for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
