@@ -201,7 +201,9 @@ def _measured(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     both = carried.join(large, ["level", "b", "part"], "left").withColumn("_b", F.coalesce("_b", none))
     met = both.withColumns(
         {"_same": F.array_intersect("_a", "_b"), "_apart": F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a"))}
-    ).select("level", "a", "a_keys", "b", "b_keys", F.size("_same").alias("n"), _first(F.col("_same")).alias("same"), _first(F.col("_apart")).alias("apart"))
+    )
+    first = [_first(F.col(f"_{kind}")).alias(kind) for kind in ("same", "apart")]
+    met = met.select("level", "a", "a_keys", "b", "b_keys", F.size("_same").alias("n"), *first)
     return (
         met.groupBy("level", "a", "a_keys", "b", "b_keys")
         .agg(

@@ -259,7 +259,8 @@ def fused_top(
     scores = cut_lineage(lexical_scores(index, questions))
     ranges = lexical_range(index, scores, questions)
     wanted = F.least(F.col("k"), F.lit(k)) if "k" in questions.columns else F.lit(k)
-    context = questions.drop("text").withColumn("k", wanted).join(ranges, "question_id").withColumn("keep", (F.col("k") + F.col("negative")).cast("int"))
+    context = questions.drop("text").withColumn("k", wanted).join(ranges, "question_id")
+    context = context.withColumn("keep", (F.col("k") + F.col("negative")).cast("int"))
     if with_vectors:
         documents = cut_lineage(documents.select("doc_id", "vector", "prior"))
         near = vectors.build(documents)

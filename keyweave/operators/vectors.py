@@ -83,7 +83,8 @@ def build(documents: DataFrame, cells: int | None = None) -> VectorIndex:
     count = np.array([r["n"] for r in stats], dtype=np.int64)
     parts = -(-count // max(1, BLOCK_BYTES // (8 * max(1, centers.shape[1]))))
     listed = dealt.sparkSession.createDataFrame(list(zip(used.tolist(), parts.tolist())), "cell int, parts long")
-    rows = dealt.drop("distance").join(F.broadcast(listed), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
+    part = F.pmod(F.xxhash64("doc_id"), "parts").cast("int")
+    rows = dealt.drop("distance").join(F.broadcast(listed), "cell").withColumn("part", part).drop("parts")
     radius, top = (np.array([r[c] for r in stats], dtype=np.float64) for c in ("r", "top"))
     return VectorIndex(rows, Cells(used, centers[used], radius, count, top, parts))
 
@@ -97,7 +98,8 @@ def best(index: VectorIndex, questions: DataFrame) -> DataFrame:
     if not len(index.cells.numbers):
         kinds = [df.schema[c].dataType.simpleString() for df, c in ((questions, "question_id"), (index.rows, "doc_id"))]
         return questions.sparkSession.createDataFrame([], f"question_id {kinds[0]}, doc_id {kinds[1]}, product double, value double")
-    questions = cut_lineage(questions.select("question_id", "vector", F.col("scale").cast("double").alias("scale"), F.col("keep").cast("int").alias("keep")))
+    scale, keep = F.col("scale").cast("double").alias("scale"), F.col("keep").cast("int").alias("keep")
+    questions = cut_lineage(questions.select("question_id", "vector", scale, keep))
     first = cut_lineage(_leading(_scan(index, questions, _places(index.cells, questions, _promising))))
     least = first.groupBy("question_id").agg(F.min("value").alias("least"), F.count(F.lit(1)).alias("n"))
     known = questions.join(least, "question_id", "left")

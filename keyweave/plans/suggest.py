@@ -111,6 +111,29 @@ def single_jobs(requests: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def single_specs(jobs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Default jobs as specs that ``run_spec`` takes: ``(request_id, dataset_id, spec)``.
+
+    ``jobs`` as from ``single_jobs``; ``metrics`` as from ``suggested_metrics`` with an empty alias.
+    """
+    listed = metrics.groupBy("dataset_id").agg(
+        F.array_sort(F.collect_list(F.struct("metric_pos", "agg", "column", "value"))).alias("metrics")
+    )
+    keyed = F.col("level").isNotNull()
+    like = F.struct(F.col("filter_column").alias("column"), F.lit("like").alias("op"), F.col("filter_like").alias("value"))
+    # fields that are NULL are left out of the text
+    source = F.struct(
+        F.lit("a").alias("alias"),
+        F.col("dataset_id").cast("string").alias("dataset_id"),
+        F.when(keyed, F.struct(F.col("key_column").alias("column"), "level")).alias("key"),
+        F.when(F.col("filter_column").isNotNull(), F.array(like)).alias("filters"),
+        F.when(keyed, F.transform("metrics", lambda m: _metric(m, F.lit("a")))).alias("metrics"),
+        F.when(~keyed, F.col("raw_columns")).alias("columns"),
+    )
+    spec = F.to_json(F.struct(F.array(source).alias("sources")))
+    return jobs.join(listed, "dataset_id", "left").select("request_id", "dataset_id", spec.alias("spec"))
+
+
 def recommended_sets(seeds: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """Joinable sets of every question: those holding its first two seeds come first.
 
@@ -174,6 +197,10 @@ def _metric_name(m: Column, alias: Column) -> Column:
     return F.concat_ws("_", alias, parts.otherwise(F.concat_ws("_", m["column"], F.lit("Y"))))
 
 
+def _metric(m: Column, alias: Column) -> Column:
+    return F.struct(_metric_name(m, alias).alias("name"), m["agg"].alias("agg"), m["column"].alias("column"), m["value"].alias("value"))
+
+
 def run_join_jobs(jobs: DataFrame, long: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """The results of all recommended joins at once: ``(question_id, rank, level, key, metrics)``.
 
@@ -192,7 +219,9 @@ def run_join_jobs(jobs: DataFrame, long: DataFrame, gazetteer: Gazetteer) -> Dat
     places = wanted.select(*source).distinct().withColumnRenamed("key_column", "column")
     key = F.when(F.col("level") == "sgg", gazetteer.city("value")).otherwise(gazetteer.town("value"))
     keyed = cut_lineage(
-        long.join(places, ["dataset_id", "column"]).select(*source[:2], F.col("column").alias("key_column"), "row_id", key.alias("key")).where("key is not null")
+        long.join(places, ["dataset_id", "column"])
+        .select(*source[:2], F.col("column").alias("key_column"), "row_id", key.alias("key"))
+        .where("key is not null")
     )
     counts = keyed.groupBy(*source, "key").agg(F.count(F.lit(1)).cast("double").alias("result"))
     counted = wanted.where("agg = 'count'").join(counts, source)
@@ -223,8 +252,9 @@ def run_join_jobs(jobs: DataFrame, long: DataFrame, gazetteer: Gazetteer) -> Dat
         & (F.col("q.column") == F.col("r.column"))
         & F.col("q.value").eqNullSafe(F.col("r.value")),
     )
+    named = F.array_sort(F.collect_list(F.struct("name", "result")))
     grouped = met.groupBy("q.question_id", "q.rank", "q.level", "r.key", "q._sources").agg(
-        F.count_if(F.col("q.agg") == "count").alias("_met"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "result")))).alias("metrics")
+        F.count_if(F.col("q.agg") == "count").alias("_met"), F.map_from_entries(named).alias("metrics")
     )
     # every source counts its rows, so a key that all sources have comes with as many counts
     return grouped.where(F.col("_met") == F.col("_sources")).drop("_met", "_sources")
@@ -236,14 +266,11 @@ def job_specs(jobs: DataFrame) -> DataFrame:
     ``jobs`` as from ``join_jobs``; a join with a source that has no key at its level is left out.
     """
 
-    def metric(m: Column, alias: Column) -> Column:
-        return F.struct(_metric_name(m, alias).alias("name"), m["agg"].alias("agg"), m["column"].alias("column"), m["value"].alias("value"))
-
     source = F.struct(
         "alias",
         "dataset_id",
         F.struct(F.col("key_column").alias("column"), F.col("level").alias("level")).alias("key"),
-        F.transform("metrics", lambda m: metric(m, F.col("alias"))).alias("metrics"),
+        F.transform("metrics", lambda m: _metric(m, F.col("alias"))).alias("metrics"),
     )
     grouped = jobs.groupBy("question_id", "rank", "level").agg(
         F.array_sort(F.collect_list(source)).alias("sources"), F.count("key_column").alias("_keyed"), F.count(F.lit(1)).alias("_all")

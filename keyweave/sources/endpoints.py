@@ -216,9 +216,11 @@ def page_operations(pages: DataFrame) -> DataFrame:
     fields; of equal names the first stays.
     """
     d = pages.select("page_id", _description(F.col("html")).alias("d")).where("d is not null")
-    listed = F.transform(
-        items(_at(F.col("d"), LISTED)), lambda v: F.struct(F.coalesce(F.nullif(_at(v, LISTED_ID), F.lit("")), _at(v, LISTED_NAME)).alias("id"), v.alias("spec"))
-    )
+
+    def by_id(v: Column) -> Column:
+        return F.struct(F.coalesce(F.nullif(_at(v, LISTED_ID), F.lit("")), _at(v, LISTED_NAME)).alias("id"), v.alias("spec"))
+
+    listed = F.transform(items(_at(F.col("d"), LISTED)), by_id)
     paths = d.select("page_id", listed.alias("listed"), F.posexplode(members(_at(F.col("d"), "paths"))).alias("position", "entry"))
     calls = paths.select(
         "page_id",
@@ -295,13 +297,11 @@ def described_services(endpoints: DataFrame, matches: DataFrame, metadata: DataF
     ``endpoints`` ``(endpoint_id, org, ...)``, ``matches`` from ``match_pages``, the rest from ``page_metadata`` and
     ``page_operations``. A dataset without a page has no operations.
     """
-    told = operations.groupBy("page_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("position", "operation_id", "path", F.lit(None).cast("string").alias("full_url"), "params", "summary", "description", "fields", "produces")
-            )
-        ).alias("operations")
+    address = F.lit(None).cast("string").alias("full_url")
+    operation = F.struct(
+        "position", "operation_id", "path", address, "params", "summary", "description", "fields", "produces"
     )
+    told = operations.groupBy("page_id").agg(F.array_sort(F.collect_list(operation)).alias("operations"))
     pages = metadata.join(told, "page_id", "left").withColumnRenamed("title", "page_title")
     none = F.array().cast(told.schema["operations"].dataType)
     return (

@@ -150,21 +150,21 @@ def test_intermediates_need_a_shared_folder_on_a_cluster():
 def test_scope_removes_intermediates(spark):
     import os
 
-    from keyweave.session import checkpoint_folder, cut_lineage, intermediates
+    from keyweave.session import cut_lineage, intermediates
 
-    def stored():
-        folder = os.path.join(checkpoint_folder(spark).removeprefix("file:"), "keyweave")
-        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    def stored(df):
+        # other sessions may use the same folder, so only the tables made here are looked at
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
 
-    before = stored()
     with intermediates(spark):
         outer = cut_lineage(spark.range(5))
         with intermediates(spark):
-            assert cut_lineage(spark.range(3)).count() == 3 and len(stored() - before) == 2
-        assert len(stored() - before) == 1 and outer.count() == 5
-    assert stored() == before
-    cut_lineage(spark.range(1))
-    assert len(stored() - before) == 1
+            inner = stored(cut_lineage(spark.range(3)))
+            assert os.path.isdir(inner)
+        assert not os.path.exists(inner) and outer.count() == 5
+        place = stored(outer)
+    assert not os.path.exists(place)
+    assert os.path.isdir(stored(cut_lineage(spark.range(1))))
 
 
 def test_errors(spark):

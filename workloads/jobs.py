@@ -10,7 +10,7 @@ from keyweave import SourceTable, run_spec
 from keyweave.operators import graph
 from keyweave.plans.runner import one_row_join
 from keyweave.plans.stored import run_stored, stage_report
-from keyweave.plans.suggest import job_specs, join_jobs, recommended_sets, run_join_jobs, single_jobs, suggested_metrics
+from keyweave.plans.suggest import job_specs, join_jobs, recommended_sets, run_join_jobs, single_jobs, single_specs, suggested_metrics
 from keyweave.session import cut_lineage
 from workloads.combine import _CN, _SP, LEFT_SPEC, RICH_SUPPLIERS, counted
 from workloads.inputs import CUSTOMERS, GAZETTEER, ORDERS, SUPPLIERS, customers, orders, place, read, suppliers, tables
@@ -58,9 +58,7 @@ def job_suggest_metrics(spark, folder):
     return suggested_metrics(columns, F.lit("a"), F.col("dataset_id") % 10 < 5)
 
 
-@query(
-    "job_single_default",
-    f"""with r as (select c_custkey as request_id, c_nationkey as dataset_id, case c_custkey % 3 when 0 then 'emd' when 1 then 'sgg' end as prefer,
+_SINGLE = f"""with r as (select c_custkey as request_id, c_nationkey as dataset_id, case c_custkey % 3 when 0 then 'emd' when 1 then 'sgg' end as prefer,
             case when c_custkey % 5 = 0 then {place('c_custkey')} end as region,
             case when c_nationkey % 2 = 0 then {place('c_nationkey')} end as home,
             case when c_nationkey % 4 in (0, 1) then 'addr' end as city, case when c_nationkey % 4 in (0, 2) then 'town' end as town from customer),
@@ -70,9 +68,32 @@ def job_suggest_metrics(spark, folder):
               when home is not null and town is not null then 'emd' when city is not null then 'sgg' when town is not null then 'emd' end as level from d)
         select request_id, dataset_id, level, case level when 'sgg' then city when 'emd' then town end as key_column,
           case when drill then city end as filter_column, case when drill then '%' || substr(region, 1, length(region) - 1) || '%' end as filter_like,
-          case when level is null then 'c0;c1;c2;c3;c4;c5;c6;c7;c8;c9;c10;c11;c12;c13' else '' end as raw_columns from l""",
-)
+          case when level is null then 'c0;c1;c2;c3;c4;c5;c6;c7;c8;c9;c10;c11;c12;c13' else '' end as raw_columns from l"""
+
+
+@query("job_single_default", _SINGLE)
 def job_single_default(spark, folder):
+    return default_jobs(spark, folder).withColumn("raw_columns", F.coalesce(F.array_join("raw_columns", ";"), F.lit("")))
+
+
+@query(
+    "job_single_spec",
+    f"""select request_id, dataset_id, '{{"sources":[{{"alias":"a","dataset_id":"' || dataset_id || '",' || case when level is null
+            then '"columns":["' || replace(raw_columns, ';', '","') || '"]'
+            else '"key":{{"column":"' || key_column || '","level":"' || level || '"}},'
+              || case when filter_column is null then '' else '"filters":[{{"column":"' || filter_column || '","op":"like","value":"' || filter_like || '"}}],' end
+              || '"metrics":[{{"name":"a_count","agg":"count","column":"*"}},{{"name":"a_sum_width","agg":"sum","column":"width"}}]' end || '}}]}}' as spec
+        from ({_SINGLE})""",
+)
+def job_single_spec(spark, folder):
+    columns = read(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("dataset_id"), F.lit(0).alias("column_pos"), F.lit("width").alias("name"), F.lit("numeric").alias("role"),
+        F.array().cast("array<string>").alias("samples"),
+    )
+    return single_specs(default_jobs(spark, folder), suggested_metrics(columns, F.lit("")))
+
+
+def default_jobs(spark, folder):
     requests = read(spark, folder, "customer").select(
         F.col("c_custkey").alias("request_id"),
         F.col("c_nationkey").alias("dataset_id"),
@@ -89,8 +110,7 @@ def job_single_default(spark, folder):
         F.expr(f"case when n_nationkey % 2 = 0 then {place('n_nationkey')} end").alias("default_region"),
         F.array(*[F.struct(F.lit(name).alias("name")) for name in names]).alias("columns"),
     )
-    jobs = single_jobs(requests, entries)
-    return jobs.withColumn("raw_columns", F.coalesce(F.array_join("raw_columns", ";"), F.lit("")))
+    return single_jobs(requests, entries)
 
 
 @query("job_recommend")
