@@ -36,3 +36,20 @@ def test_pipeline_stages(spark):
         docs, before = after, after.count()
     packed = corpus_pipeline.run(spark, FOLDER)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("kind", ["nasty", "empty"])
+def test_pipeline_stages_take_odd_rows(spark, request, kind):
+    """Null ids and texts, empty and long texts, repeated rows, clashing columns, and an empty table."""
+    docs = request.getfixturevalue(kind)
+    given = Counter(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, FOLDER)
+        rows = Counter(map(tuple, found.collect()))
+        if name == "packing":
+            assert bool(rows) == bool(given)
+            continue
+        assert found.columns == docs.columns and rows <= given, name
+        if name == "exact_dedup":
+            texts = [r[1] or "" for r in rows.elements()]
+            assert sorted(texts) == sorted({r[1] or "" for r in given})
