@@ -237,13 +237,20 @@ DESCRIPTION_WORDS = "설명|정의|내용|한글"
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _cells(contents: pd.Series) -> pd.Series:
-    """The cells of a CSV file, NULL for what isn't one in the expected encoding."""
-
-    def read(content: bytes) -> list | None:
-        try:
-            return list(csv.reader(io.StringIO(bytes(content).decode("cp949"))))
-        except (UnicodeDecodeError, csv.Error):
-            return None
+    """The cells of a CSV file; lines that can't be decoded are left out one by one."""
+
+    def read(content: bytes) -> list:
+        csv.field_size_limit(1 << 30)
+        lines = (_decode(line, "cp949") for line in bytes(content).split(b"\n"))
+        rows = csv.reader(line + "\n" for line in lines if line is not None)
+        found = []
+        while True:
+            try:
+                found.append(next(rows))
+            except csv.Error:
+                continue
+            except StopIteration:
+                return found
 
     return contents.map(read)
 

@@ -47,6 +47,13 @@ def test_definitions(spark, tmp_path):
     path = write(tmp_path, "15.csv", "목록\n번호,항목명,설명\n1,addr, 주소 \n2,,x\n3,cnt\n", "cp949")
     rows = text_tables.read_definitions(spark, [path]).collect()
     assert {(r.dataset_id, r.item, r.desc) for r in rows} == {("15", "addr", "주소"), ("15", "cnt", "")}
+    # a line that can't be decoded, and one with a very long cell, cost themselves at most
+    lines = ["번호,항목명,설명", "1,addr,주소", "2,long," + "x" * 200_000, '3,"two\nlines","quo""ted"', "4,cnt,건수"]
+    raw = [line.encode("cp949") for line in lines]
+    (tmp_path / "16.csv").write_bytes(b"\r\n".join([*raw[:2], b"9,\xff\xff\xff,bad", *raw[2:]]))
+    (tmp_path / "17.csv").write_bytes(b"")
+    rows = text_tables.read_definitions(spark, [str(tmp_path / f"{n}.csv") for n in (16, 17)]).collect()
+    assert {(r.item, r.desc[:10]) for r in rows} == {("addr", "주소"), ("long", "x" * 10), ("two\nlines", 'quo"ted'), ("cnt", "건수")}
 
 
 def one(spark, text):
