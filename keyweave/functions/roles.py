@@ -33,18 +33,22 @@ PROVINCES = (
 )
 
 
+# What the values of some roles look like (fixed values).
+VALUE_PATTERNS = {
+    "region_code10": r"(?U)^\d{10}$",
+    "region_code5": r"(?U)^\d{5}$",
+    "sido": "^(?:" + "|".join(PROVINCES) + ")",
+    "year": r"(?U)^(?:19|20)\d{2}$",
+    "date": r"(?U)^\d{4}[-/.]?\d{2}[-/.]?\d{2}",
+    "numeric": r"(?U)^-?[\d,]+(?:\.\d+)?$",
+}
+
+
 def value_tests(value: Column | str, gazetteer: Gazetteer) -> dict[str, Column]:
     """Boolean test per value-based role."""
     text = as_column(value)
-    return {
-        "region_name": text.rlike("|".join(gazetteer.names)),
-        "region_code10": text.rlike(r"(?U)^\d{10}$"),
-        "region_code5": text.rlike(r"(?U)^\d{5}$"),
-        "sido": text.rlike("^(?:" + "|".join(PROVINCES) + ")"),
-        "year": text.rlike(r"(?U)^(?:19|20)\d{2}$"),
-        "date": text.rlike(r"(?U)^\d{4}[-/.]?\d{2}[-/.]?\d{2}"),
-        "numeric": text.rlike(r"(?U)^-?[\d,]+(?:\.\d+)?$"),
-    }
+    patterns = {"region_name": "|".join(gazetteer.names), **VALUE_PATTERNS}
+    return {role: text.rlike(pattern) for role, pattern in patterns.items()}
 
 
 # Share of values that must pass, and the confidence it gives, in order (fixed values).
