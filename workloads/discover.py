@@ -98,7 +98,8 @@ def sea_expand(spark, folder):
 @query("sea_expand_table", f"select expanded, count(*) as n from ({_EXPANDED}) group by 1")
 def sea_expand_table(spark, folder):
     """The same by a join with the dictionary as a table, each distinct question once."""
-    counted = asking(spark, folder).groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("question_id", F.sha2("text", 256))
+    texts = asking(spark, folder).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut_lineage(texts.withColumn("question_id", F.sha2("text", 256)))
     expanded = expand_questions(counted, DICTIONARY.table(spark))
     return expanded.join(counted, "question_id").select("expanded", "n")
 
