@@ -1,13 +1,17 @@
 """Ranking of metadata documents for many questions at once.
 
-Lexical scores are sparse: questions meet documents through an inverted index. Vector
-scores are dense: questions meet only those cells of documents whose bound reaches what they have found (``vectors``).
+Lexical scores are sparse: the weighted words of the questions are handed to every task, which scores its documents one
+by one against all of them; too many questions meet documents through posting lists instead. Vector scores are dense: questions meet only those cells of documents whose bound reaches what they have found (``vectors``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,9 @@ TERM_BLOCK = 100_000
 # Stored bytes up to which a table is broadcast.
 BROADCAST_LIMIT = 8 * 1024 * 1024
 
+# Scores of documents and questions that a task holds together.
+CELLS = 1 << 20
+
 
 def dataset_text(entries: DataFrame) -> DataFrame:
     """One search document per dataset from its metadata; rows are never indexed."""
@@ -72,26 +79,35 @@ def column_text(entries: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Inverted index: ``postings (term, doc_id, tf, length)``, ``terms (term, df, idf)``
+    """Index of documents: ``bags (doc_id, terms, tfs, lengths)`` with the distinct terms of each id, ``terms (term, df, idf)``
     and one row of ``totals (documents, mean_length)``."""
 
-    postings: DataFrame
+    bags: DataFrame
     terms: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """``(doc_id, term, tf, length)``."""
+        return self.bags.select("doc_id", F.inline(F.arrays_zip("terms", "tfs", "lengths"))).toDF("doc_id", "term", "tf", "length")
+
 
 def build_index(documents: DataFrame) -> SearchIndex:
     """Index the whole texts of ``documents (doc_id, text)``.
 
-    A document is tokenized once; its length travels with its terms, so the stored postings
-    need no join, and frequencies and totals come from them.
+    Texts are dealt by id once; from there on a document's words stay in one task and are stored in one row, so neither counting
+    nor scoring them shuffles words. Frequencies and totals come from the stored rows.
     """
-    bags = documents.select("doc_id", tokens("text").alias("bag")).select("doc_id", "bag", F.size("bag").alias("length"))
-    postings = cut_lineage(
-        bags.select("doc_id", "length", F.explode("bag").alias("term"))
-        .groupBy("term", "doc_id", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    dealt = documents.select("doc_id", "text").repartition("doc_id")
+    words = dealt.select("doc_id", tokens("text").alias("bag")).select("doc_id", "bag", F.size("bag").alias("length"))
+    counts = (
+        words.select("doc_id", "length", F.explode("bag").alias("term")).groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    listed = counts.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf", "length")).alias("bag"))
+    bags = cut_lineage(
+        listed.select("doc_id", F.col("bag.term").alias("terms"), F.col("bag.tf").alias("tfs"), F.col("bag.length").alias("lengths"))
     )
+    postings = SearchIndex(bags, bags, bags).postings
     counted = documents.agg(F.count(F.lit(1)).alias("documents"))
     words = postings.agg(F.sum("tf").alias("words"))
     totals = cut_lineage(
@@ -104,7 +120,7 @@ def build_index(documents: DataFrame) -> SearchIndex:
     terms = beside(rated, floor).select(
         "term", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf")
     )
-    return SearchIndex(postings, terms, totals)
+    return SearchIndex(bags, terms, totals)
 
 
 def beside(table: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -112,43 +128,146 @@ def beside(table: DataFrame, one_row: DataFrame) -> DataFrame:
     return table.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
-def lexical_scores(index: SearchIndex, questions: DataFrame) -> DataFrame:
-    """``(question_id, doc_id, bm25)`` for the documents sharing a term with a question.
-
-    Repeated question words count repeatedly. The rated question terms are stored first: when
-    they are small the postings are read once and never shuffled; otherwise the postings
-    of a frequent term are cut into blocks, so that no join group depends on one task.
-    """
+def _wanted(index: SearchIndex, questions: DataFrame) -> DataFrame:
+    """The rated terms of the questions, stored; repeated question words count repeatedly."""
     asked = (
         questions.select("question_id", F.explode(tokens("text")).alias("term"))
         .groupBy("question_id", "term")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    wanted = cut_lineage(
+    return cut_lineage(
         asked.join(index.terms, "term").withColumn("blocks", F.ceil(F.col("df") / TERM_BLOCK).cast("int"))
     )
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """Question terms as every task holds them: term ``i`` has the entries ``starts[i]`` to ``starts[i + 1]``."""
+
+    ids: pa.Array
+    terms: pa.Array
+    starts: np.ndarray
+    question: np.ndarray
+    weight: np.ndarray
+    mean_length: float
+
+
+def _asked(index: SearchIndex, wanted: DataFrame, others: pa.Array | None = None) -> _Asked:
+    """``wanted``, whose size was checked, as arrays; ``others`` are questions that may have no known term."""
+    table = wanted.select("question_id", "term", (F.col("times") * F.col("idf")).alias("weight")).toArrow().sort_by("term").combine_chunks()
+    question, term = (table[c].combine_chunks() for c in ("question_id", "term"))
+    ids = pc.unique(question if others is None else pa.concat_arrays([question, others]))
+    terms = pc.unique(term)
+    at = pc.index_in(term, value_set=terms).to_numpy(zero_copy_only=False)
+    starts = np.searchsorted(at, np.arange(len(terms) + 1))
+    mean = index.totals.first()["mean_length"]
+    number = pc.index_in(question, value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _Asked(ids, terms, starts, number, table["weight"].to_numpy(), float(mean or 0.0))
+
+
+def _score_blocks(asked: _Asked, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Scores of all questions for blocks of a batch of bags: first row, scores, and which documents share a term."""
+    width = len(asked.ids)
+    if not width or not batch.num_rows:
+        return
+    held = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False)
+    term = pc.fill_null(pc.index_in(batch.column("terms").flatten(), value_set=asked.terms), -1).to_numpy(zero_copy_only=False)
+    known = np.flatnonzero(term >= 0)
+    owner, term = np.repeat(np.arange(batch.num_rows), held)[known], term[known]
+    tf, length = (batch.column(c).flatten().to_numpy(zero_copy_only=False)[known].astype(np.float64) for c in ("tfs", "lengths"))
+    worth = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / asked.mean_length))
+    fan = asked.starts[term + 1] - asked.starts[term]
+    meets = np.cumsum(fan)
+    upto = np.concatenate([[0], np.searchsorted(owner, np.arange(batch.num_rows), side="right")])
+    # a score of zero can still be a match where some term has no or negative worth
+    plain = bool((asked.weight > 0).all())
+    low = 0
+    while low < batch.num_rows:
+        before = meets[upto[low] - 1] if upto[low] else 0
+        fits = np.searchsorted(np.concatenate([[0], meets])[upto], before + CELLS, side="right") - 1
+        high = int(max(low + 1, min(fits, low + max(1, CELLS // width), batch.num_rows)))
+        part = slice(upto[low], upto[high])
+        n = fan[part]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(asked.starts[term[part]], n)
+        cell = np.repeat(owner[part] - low, n) * width + asked.question[entry]
+        shape = (high - low, width)
+        scores = np.bincount(cell, np.repeat(worth[part], n) * asked.weight[entry], (high - low) * width).reshape(shape)
+        yield low, scores, scores != 0 if plain else np.bincount(cell, minlength=(high - low) * width).reshape(shape) > 0
+        low = high
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def lexical_scores(index: SearchIndex, questions: DataFrame) -> DataFrame:
+    """``(question_id, doc_id, bm25)`` for the documents sharing a term with a question.
+
+    Repeated question words count repeatedly. The rated question terms are stored first: when
+    they are small, every task scores its documents against all questions and nothing is shuffled; otherwise the
+    postings of a frequent term are cut into blocks, so that no join group depends on one task.
+    """
+    return _scores(index, _wanted(index, questions))
+
+
+def _scores(index: SearchIndex, wanted: DataFrame) -> DataFrame:
     if size_in_bytes(wanted) <= BROADCAST_LIMIT:
-        matched = index.postings.join(F.broadcast(wanted), "term")
-    else:
-        blocks = wanted.select("term", "blocks").distinct()
-        held = index.postings.join(blocks, "term").withColumn(
-            "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-        )
-        spread = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        matched = held.drop("blocks").join(spread.drop("blocks"), ["term", "block"])
+        asked = _asked(index, wanted)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, scores, shared in _score_blocks(asked, batch):
+                    doc, question = np.nonzero(shared)
+                    columns = [asked.ids.take(pa.array(question)), batch.column("doc_id").take(pa.array(doc + low)), pa.array(scores[shared])]
+                    yield pa.RecordBatch.from_arrays(columns, ["question_id", "doc_id", "bm25"])
+
+        kinds = f"question_id {_type(wanted, 'question_id')}, doc_id {_type(index.bags, 'doc_id')}, bm25 double"
+        return index.bags.mapInArrow(score, kinds)
+    blocks = wanted.select("term", "blocks").distinct()
+    held = index.postings.join(blocks, "term").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    matched = held.drop("blocks").join(spread.drop("blocks"), ["term", "block"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     return beside(matched, index.totals).groupBy("question_id", "doc_id").agg(F.sum(weight).alias("bm25"))
 
 
 def lexical_range(index: SearchIndex, scores: DataFrame, questions: DataFrame) -> DataFrame:
-    """Lowest and highest score per question over all documents; unmatched ones score 0."""
+    """Lowest and highest score per question over all documents; unmatched ones score 0. Stored, as it is small."""
     seen = scores.groupBy("question_id").agg(
         F.min("bm25").alias("low"),
         F.max("bm25").alias("high"),
         F.count(F.lit(1)).alias("matches"),
         F.count_if(F.col("bm25") < 0).alias("negative"),
     )
+    return cut_lineage(_ranges(index, seen, questions))
+
+
+def _scanned_range(index: SearchIndex, wanted: DataFrame, questions: DataFrame) -> DataFrame:
+    """``lexical_range`` of the scores of ``wanted``, whose size was checked, from one row per task and question."""
+    asked = _asked(index, wanted)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(asked.ids)
+        low, high, matches, negative = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for batch in batches:
+            for _, scores, shared in _score_blocks(asked, batch):
+                low = np.minimum(low, np.where(shared, scores, np.inf).min(axis=0))
+                high = np.maximum(high, np.where(shared, scores, -np.inf).max(axis=0))
+                matches += shared.sum(axis=0)
+                negative += (scores < 0).sum(axis=0)
+        seen = np.flatnonzero(matches)
+        columns = [asked.ids.take(pa.array(seen)), *[pa.array(c[seen]) for c in (low, high, matches, negative)]]
+        yield pa.RecordBatch.from_arrays(columns, ["question_id", "low", "high", "matches", "negative"])
+
+    kinds = f"question_id {_type(wanted, 'question_id')}, low double, high double, matches long, negative long"
+    seen = index.bags.mapInArrow(reduce, kinds).groupBy("question_id").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("matches").alias("matches"), F.sum("negative").alias("negative")
+    )
+    return cut_lineage(_ranges(index, seen, questions))
+
+
+def _ranges(index: SearchIndex, seen: DataFrame, questions: DataFrame) -> DataFrame:
     joined = beside(questions.select("question_id").join(seen, "question_id", "left"), index.totals)
     everywhere = F.col("matches") == F.col("documents")
     zero = F.lit(0.0)
@@ -234,6 +353,114 @@ def cosine_top(questions: DataFrame, documents: DataFrame, k: int = 10) -> DataF
     return best_dense(asked, vectors.build(documents.withColumn("prior", F.lit(0.0))), 1.0).select("question_id", "doc_id", "cosine")
 
 
+def _with_bonus(scores: DataFrame, bonus: DataFrame | None) -> DataFrame:
+    """Pairs with a lexical score or a bonus, and both."""
+    extra = scores.select("question_id", "doc_id", "bm25", F.lit(0.0).alias("bonus"))
+    if bonus is None:
+        return extra
+    added = bonus.select("question_id", "doc_id", F.lit(0.0).alias("bm25"), "bonus")
+    return extra.unionByName(added).groupBy("question_id", "doc_id").agg(F.sum("bm25").alias("bm25"), F.sum("bonus").alias("bonus"))
+
+
+def _joined_hits(extra: DataFrame, limits: DataFrame, context: DataFrame, documents: DataFrame, weights: tuple[float, float]) -> DataFrame:
+    """``(question_id, doc_id, score, bm25, cosine)`` of the pairs whose upper bound reaches what is needed."""
+    lexical_weight, vector_weight = weights
+    lexical = lexical_weight * scaled(F.col("bm25"), F.col("bm_low"), F.col("bm_high"))
+    hopeful = (
+        extra.join(limits, "question_id")
+        .join(documents.select("doc_id", "prior"), "doc_id")
+        .where(lexical + F.col("bonus") + F.col("prior") + vector_weight + 1e-9 >= F.col("_needed"))
+    )
+    cosine = dot(F.col("q_vector"), F.col("d_vector"))
+    return (
+        hopeful.join(context.select("question_id", F.col("vector").alias("q_vector")), "question_id")
+        .join(documents.select("doc_id", F.col("vector").alias("d_vector")), "doc_id")
+        .withColumn("cosine", cosine)
+        .withColumn(
+            "score",
+            lexical + vector_weight * scaled(F.col("cosine"), F.col("cos_low"), F.col("cos_high")) + F.col("prior") + F.col("bonus"),
+        )
+        .select("question_id", "doc_id", "score", "bm25", "cosine")
+    )
+
+
+def _scanned_hits(
+    index: SearchIndex, wanted: DataFrame, plans: DataFrame, documents: DataFrame, bonus: DataFrame | None, weights: tuple[float, float], k: int
+) -> DataFrame:
+    """The same pairs without storing any others: each task scores its documents and keeps the ``k`` best of a block.
+
+    ``plans`` are the questions with all that their scores need; those with a known term or a bonus are held by every task.
+    """
+    lexical_weight, vector_weight = weights
+    concerned = wanted.select("question_id")
+    held = index.bags
+    if bonus is not None:
+        concerned = concerned.unionByName(bonus.select("question_id"))
+        of_doc = bonus.groupBy("doc_id").agg(F.collect_list(F.struct("question_id", "bonus")).alias("b"))
+        of_doc = of_doc.select("doc_id", F.col("b.question_id").alias("bonus_questions"), F.col("b.bonus").alias("bonuses"))
+        held = held.join(of_doc, "doc_id", "full")
+    held = held.join(documents.select("doc_id", F.col("prior").cast("double").alias("prior")), "doc_id").join(documents.select("doc_id", "vector"), "doc_id")
+    plan = plans.join(concerned.distinct(), "question_id", "left_semi").toArrow()
+    ids = plan["question_id"].combine_chunks()
+    asked = _asked(index, wanted, ids)
+    at = pc.index_in(ids, value_set=asked.ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = {c: plan[c].to_numpy().astype(np.float64) for c in ("bm_low", "bm_high", "cos_low", "cos_high", "_needed")}
+    toward = np.array(plan["q_vector"].to_pylist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 0)
+
+    def spread(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        wide = high > low
+        return np.where(wide, (value - low) / np.where(wide, high - low, 1.0), 0.0)
+
+    raised = bonus is not None
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needed = bounds["_needed"].copy()
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            docs = batch.column("doc_id")
+            order = np.empty(len(docs), dtype=np.int64)
+            order[pc.sort_indices(docs).to_numpy()] = np.arange(len(docs))
+            prior = batch.column("prior").to_numpy(zero_copy_only=False).astype(np.float64)
+            vectors_of = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1 if toward.shape[1] else 0)
+            for low, scores, shared in _score_blocks(asked, batch):
+                rows = slice(low, low + len(scores))
+                extra = _bonuses(batch.slice(low, len(scores)), asked.ids) if raised else None
+                bm25, cosine = scores[:, at], vectors_of[rows] @ toward.T
+                total = lexical_weight * spread(bm25, bounds["bm_low"], bounds["bm_high"])
+                total += vector_weight * spread(cosine, bounds["cos_low"], bounds["cos_high"]) + prior[rows, None]
+                met = shared[:, at]
+                if extra is not None:
+                    total += extra[0][:, at]
+                    met = met | extra[1][:, at]
+                met = met & (total + 1e-9 >= needed)
+                for column in np.flatnonzero(met.sum(axis=0) > k):
+                    doc = np.flatnonzero(met[:, column])
+                    value = np.round(total[doc, column], 12)
+                    best = np.lexsort((order[rows][doc], -value))[:k]
+                    met[:, column] = False
+                    met[doc[best], column] = True
+                    needed[column] = max(needed[column], value[best[-1]])
+                doc, question = np.nonzero(met)
+                columns = [ids.take(pa.array(question)), docs.take(pa.array(doc + low)), *[pa.array(v[met]) for v in (total, bm25, cosine)]]
+                yield pa.RecordBatch.from_arrays(columns, ["question_id", "doc_id", "score", "bm25", "cosine"])
+
+    kinds = f"question_id {_type(plans, 'question_id')}, doc_id {_type(documents, 'doc_id')}, score double, bm25 double, cosine double"
+    return held.mapInArrow(score, kinds)
+
+
+def _bonuses(batch: pa.RecordBatch, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bonus of every document and question of a block, and where there is one."""
+    questions = batch.column("bonus_questions")
+    doc = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(questions), 0).to_numpy(zero_copy_only=False))
+    at = pc.fill_null(pc.index_in(questions.flatten(), value_set=ids), -1).to_numpy(zero_copy_only=False)
+    value = batch.column("bonuses").flatten().to_numpy(zero_copy_only=False)
+    cell, value = (doc * len(ids) + at)[at >= 0], value[at >= 0]
+    size = batch.num_rows * len(ids)
+    shape = (batch.num_rows, len(ids))
+    return np.bincount(cell, value, size).reshape(shape), np.bincount(cell, minlength=size).reshape(shape) > 0
+
+
 def fused_top(
     index: SearchIndex,
     questions: DataFrame,
@@ -249,15 +476,18 @@ def fused_top(
     ``bonus`` ``(question_id, doc_id, bonus)`` with values of zero or more. Without vectors
     the vector term is zero. A column ``k`` of the questions asks for fewer than ``k`` documents.
 
-    The best documents by the dense part alone give a lower bound of the k-th score; a
-    lexical match is scored in full only when its upper bound reaches it. Negative lexical
-    scores widen the dense list, which keeps the result exact.
+    The best documents by the dense part alone give a lower bound of the k-th score, and only lexical
+    matches that reach it leave their task, at most ``k`` of a block for each question. Negative lexical
+    scores widen the dense list, which keeps the result exact. Where the questions are too many for every task, lexical
+    matches are stored and scored in full only when their upper bound reaches the k-th score.
     """
     with_vectors = "vector" in documents.columns
     if with_vectors:
         documents, questions = sound_vectors(documents, questions), sound_vectors(questions, questions)
-    scores = cut_lineage(lexical_scores(index, questions))
-    ranges = lexical_range(index, scores, questions)
+    asked = _wanted(index, questions)
+    scanned = size_in_bytes(asked) <= BROADCAST_LIMIT
+    scores = None if scanned else cut_lineage(_scores(index, asked))
+    ranges = _scanned_range(index, asked, questions) if scanned else lexical_range(index, scores, questions)
     wanted = F.least(F.col("k"), F.lit(k)) if "k" in questions.columns else F.lit(k)
     context = questions.drop("text").withColumn("k", wanted).join(ranges, "question_id")
     context = context.withColumn("keep", (F.col("k") + F.col("negative")).cast("int"))
@@ -276,34 +506,22 @@ def fused_top(
         dense = best_prior(context.select("question_id", "keep"), documents)
     dense = cut_lineage(dense)
 
-    extra = scores.select("question_id", "doc_id", "bm25", F.lit(0.0).alias("bonus"))
-    if bonus is not None:
-        added = bonus.select("question_id", "doc_id", F.lit(0.0).alias("bm25"), "bonus")
-        extra = extra.unionByName(added).groupBy("question_id", "doc_id").agg(F.sum("bm25").alias("bm25"), F.sum("bonus").alias("bonus"))
-
-    lexical = lexical_weight * scaled(F.col("bm25"), F.col("bm_low"), F.col("bm_high"))
     least = dense.groupBy("question_id").agg(F.min("dense").alias("_least"), F.count(F.lit(1)).alias("_listed"))
     limits = context.drop("vector").join(least, "question_id", "left").withColumn(
         "_needed",
         F.when(F.col("_listed") >= F.col("keep"), F.col("_least") + lexical_weight * scaled(F.lit(0.0), F.col("bm_low"), F.col("bm_high")))
         .otherwise(F.lit(float("-inf"))),
     )
-    hopeful = (
-        extra.join(limits, "question_id")
-        .join(documents.select("doc_id", "prior"), "doc_id")
-        .where(lexical + F.col("bonus") + F.col("prior") + vector_weight + 1e-9 >= F.col("_needed"))
-    )
-    cosine = dot(F.col("q_vector"), F.col("d_vector"))
-    sparse_hits = (
-        hopeful.join(context.select("question_id", F.col("vector").alias("q_vector")), "question_id")
-        .join(documents.select("doc_id", F.col("vector").alias("d_vector")), "doc_id")
-        .withColumn("cosine", cosine)
-        .withColumn(
-            "score",
-            lexical + vector_weight * scaled(F.col("cosine"), F.col("cos_low"), F.col("cos_high")) + F.col("prior") + F.col("bonus"),
-        )
-        .select("question_id", "doc_id", "score", "bm25", "cosine")
-    )
+    weights = (lexical_weight, vector_weight)
+    if scanned:
+        plans = limits.join(context.select("question_id", F.col("vector").alias("q_vector")), "question_id")
+        sparse_hits = _scanned_hits(index, asked, plans, documents, bonus, weights, k)
+        # of the matches of other documents nothing is needed
+        near_docs = replace(index, bags=index.bags.join(dense.select("doc_id").distinct(), "doc_id", "left_semi"))
+        extra = _with_bonus(_scores(near_docs, asked), bonus)
+    else:
+        extra = _with_bonus(scores, bonus)
+        sparse_hits = _joined_hits(extra, limits, context, documents, weights)
     dense_hits = (
         dense.drop("keep").join(extra.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_anti")
         .join(context.select("question_id", "bm_low", "bm_high"), "question_id")
