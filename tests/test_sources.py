@@ -257,3 +257,14 @@ def test_sinks(spark, tmp_path):
     assert '"empty":null' in next((tmp_path / "json").glob("*.json")).read_text()
     sinks.write_table(pairs, str(tmp_path), "1")
     assert spark.read.parquet(str(tmp_path / "t_1")).count() == 2
+
+
+def test_page_metadata_query_tells_operations_and_their_fields(spark, tmp_path):
+    from workloads import QUERIES
+
+    spark.createDataFrame([(1, "u", "<p>"), (2, "u", "<p>"), (2, "u", "<b>"), (4, "u", None), (8, "u", "")], "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "pages.parquet")
+    )
+    rows = sorted((r.page_id, r.operations) for r in QUERIES["src_page_metadata"](spark, str(tmp_path)).collect())
+    second = (2, "list2(addr2,lat,cnt);a/raw()")
+    assert rows == [(1, ""), second, second, (4, ""), (8, "list8(addr2,z);a/raw()")]

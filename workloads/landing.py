@@ -474,10 +474,27 @@ _FIELDS = f"""case when {_BY_HAND} then ['addr' || (page_id % 3) || ':주소', '
     f"""select page_id, '매 월' as update_cycle, '쌀;물가;k' || page_id as keywords, '' as category, 'https://h/' || page_id as request_url,
          case when {_EVEN} then 'h' || page_id || '.example.org/v1' else '' end as host,
          case when {_EVEN} then 'Service ' || page_id else '' end as title,
-         case when {_EVEN} then 'About ' || page_id else '' end as description from pages""",
+         case when {_EVEN} then 'About ' || page_id else '' end as description,
+         case when {_EVEN} then 'list' || page_id || '(addr' || (page_id % 3) || case when {_BY_HAND} then ',z' else ',lat,cnt' end
+           || ');a/raw()' else '' end as operations from pages""",
 )
 def src_page_metadata(spark, folder):
-    return endpoints.page_metadata(described_pages(spark, folder)).withColumn("keywords", F.array_join("keywords", ";"))
+    """What a page says of itself, with the operations of its description and their fields."""
+    # pages that share an id keep their own operations
+    page = F.struct("page_id", F.sha2("html", 256).alias("print"))
+    pages = described_pages(spark, folder).select(page.alias("page_id"), "html")
+    named = F.concat("operation_id", F.lit("("), F.array_join(F.col("fields.name"), ","), F.lit(")"))
+    told = endpoints.page_operations(pages.distinct()).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", named.alias("named")))).alias("told")
+    )
+    joined = endpoints.page_metadata(pages).join(told, "page_id", "left")
+    return joined.withColumns(
+        {
+            "page_id": F.col("page_id.page_id"),
+            "keywords": F.array_join("keywords", ";"),
+            "operations": F.coalesce(F.array_join(F.col("told.named"), ";"), F.lit("")),
+        }
+    ).drop("told")
 
 
 @query(
