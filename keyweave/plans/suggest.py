@@ -218,11 +218,10 @@ def run_join_jobs(jobs: DataFrame, long: DataFrame, gazetteer: Gazetteer) -> Dat
 
     places = wanted.select(*source).distinct().withColumnRenamed("key_column", "column")
     key = F.when(F.col("level") == "sgg", gazetteer.city("value")).otherwise(gazetteer.town("value"))
+    # the NULL test stays outside: pushed below the projection it would find every key twice
     keyed = cut_lineage(
-        long.join(places, ["dataset_id", "column"])
-        .select(*source[:2], F.col("column").alias("key_column"), "row_id", key.alias("key"))
-        .where("key is not null")
-    )
+        long.join(places, ["dataset_id", "column"]).select(*source[:2], F.col("column").alias("key_column"), "row_id", key.alias("key"))
+    ).where("key is not null")
     counts = keyed.groupBy(*source, "key").agg(F.count(F.lit(1)).cast("double").alias("result"))
     counted = wanted.where("agg = 'count'").join(counts, source)
     measured = wanted.where("agg <> 'count'")

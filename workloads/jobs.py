@@ -14,7 +14,7 @@ from keyweave.plans.suggest import job_specs, join_jobs, recommended_sets, run_j
 from keyweave.session import cut_lineage
 from workloads.combine import _CN, _SP, LEFT_SPEC, RICH_SUPPLIERS, counted
 from workloads.inputs import CUSTOMERS, GAZETTEER, ORDERS, SUPPLIERS, customers, orders, place, read, suppliers, tables
-from workloads.measure import EDGES, SETS, measured_edges, place_values, questions
+from workloads.measure import EDGES, SETS, datasets, measured_edges, place_values, questions
 from workloads.registry import query
 
 # ---- metrics: every part is a dataset with five columns named after it
@@ -174,14 +174,17 @@ def place_cells(spark, folder):
 def job_run_recommended(spark, folder):
     """The joinable sets of every question as jobs with suggested metrics, all run together."""
     cells = place_cells(spark, folder)
-    best = graph.best_key_columns(graph.keys_by_level(place_values(spark, folder), GAZETTEER))
+    keys = cut_lineage(graph.keys_by_level(place_values(spark, folder), GAZETTEER).distinct())
+    best = cut_lineage(graph.best_key_columns(keys))
+    chosen = cut_lineage(keys.join(best, ["dataset_id", "level", "column"]).select("level", "dataset_id", "k"))
+    edges = graph.both_directions(cut_lineage(graph.measure_pairs(chosen, datasets(chosen))))
     role = F.when(F.col("name") == "amt", "numeric").otherwise("text")
     samples = F.when(F.col("name") == "rich", F.array(F.lit("Y"), F.lit("N"))).otherwise(F.array().cast("array<string>"))
     columns = cells.select("dataset_id", F.col("column").alias("name")).distinct().select(
         "dataset_id", F.lit(0).alias("column_pos"), "name", role.alias("role"), samples.alias("samples")
     )
     seeds, candidates = questions(spark, folder)
-    sets = graph.joinable_sets(seeds, candidates, measured_edges(spark, folder))
+    sets = cut_lineage(graph.joinable_sets(seeds, candidates, edges))
     jobs = join_jobs(sets, graph.region_keys(best), suggested_metrics(columns, F.lit("")))
     results = run_join_jobs(cut_lineage(jobs), cells, GAZETTEER)
     return results.select("question_id", "rank", "level", "key", F.explode("metrics").alias("metric", "result")).withColumn("result", F.round("result", 2))
