@@ -144,3 +144,37 @@ def test_empty_tables(empty):
     assert byte_bpe.round_trip(empty, RANKS, P.PATTERN).count() == 0
     assert token_count.count_tokens(empty, COUNTS, P.PATTERN).count() == 0
     assert packing.pack(empty, WORDS).count() == 0
+
+
+def test_plain_parts_are_cut_as_the_tokenizer_cuts_them():
+    letters = [chr(c) for c in range(0x2070) if packing.PLAIN.fullmatch(chr(c))]
+    texts = [t.lower() for c in letters for t in (c, f"a{c}b", f"{c}{c}1", f"'{c}s", f"{c}'s")]
+    rng = random.Random(11)
+    usual = list("''''strevmlld019²½_-.,!é\n\x85\xa0")
+    texts += ["".join(rng.choices(usual, k=rng.randint(0, 25))) for _ in range(3000)]
+    for text in texts:
+        assert packing.parts_of(text) == packing.PART.findall(text)
+
+
+def test_parts_of_plain_words_are_encoded_many_at_a_time(monkeypatch):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choices("abcdeéñ'1.", k=9)) for _ in range(2000)})
+    tokenizer = Tokenizer.from_file(WORDS)
+    expected = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    handed = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    coder = packing.WordIds(WORDS)
+    for name, value in list(vars(coder).items()):
+        if isinstance(value, Tokenizer):
+            monkeypatch.setattr(coder, name, Counting(value))
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in coder.documents(words)]
+    assert found == expected
+    assert len(handed) < len(words) / 10
