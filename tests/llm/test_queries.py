@@ -2,7 +2,9 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyweave.llm.queries import ORACLES, QUERIES
@@ -53,3 +55,20 @@ def test_pipeline_stages_take_odd_rows(spark, request, kind):
         if name == "exact_dedup":
             texts = [r[1] or "" for r in rows.elements()]
             assert sorted(texts) == sorted({r[1] or "" for r in given})
+
+
+def test_pipeline_stages_hand_python_small_batches(spark, documents):
+    setting = corpus_pipeline.BATCH_SETTING
+    given = spark.conf.get(setting)
+    wide = documents.select("doc_id", F.repeat("text", 200).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    try:
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+        stage = corpus_pipeline.small_batches(lambda spark, docs, folder: docs.mapInArrow(sizes, "size long"))
+        assert max(r["size"] for r in stage(spark, wide, "").collect()) < 16 << 20
+    finally:
+        spark.conf.set(setting, given)
