@@ -174,15 +174,17 @@ class IdFilter:
             out &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
+    def members(self, column: pa.Array) -> np.ndarray:
+        """Whether each id may be a member; nulls certainly aren't."""
+        known = np.asarray(column.is_valid())
+        return self.passes(column.fill_null(0).to_numpy(zero_copy_only=False)) & known
+
     def split(self, rows: DataFrame, key: str, members: bool) -> DataFrame:
         """The rows that may be members, or those that certainly aren't; null ids certainly aren't."""
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = batch.column(batch.schema.get_field_index(key))
-                known = np.asarray(column.is_valid())
-                ids = column.fill_null(0).to_numpy(zero_copy_only=False)
-                maybe = self.passes(ids) & known
+                maybe = self.members(batch.column(batch.schema.get_field_index(key)))
                 yield batch.filter(pa.array(maybe if members else ~maybe))
 
         return rows.mapInArrow(keep, rows.schema)

@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keyweave.llm import exact_dedup, fingerprints, line_dedup, minhash
@@ -305,3 +308,97 @@ def test_unit_hashes_do_not_depend_on_blocks():
     at = np.cumsum([0, *map(len, units[:-1])])
     expected = line_dedup._mixed(np.array([plain(u) for u in units], np.uint64))
     assert (line_dedup._unit_hashes(np.frombuffer(joined, np.uint8), at) == expected).all()
+
+
+def odd_texts(seed):
+    rng = random.Random(seed)
+    parts = ["word", "of", "thing", " ", "  ", "\n", " ", "\t", ".", "! ", ".\n", "\xa0", "　", "漢字", "かな", "é", "\x1c", "\x85", " ", "😀"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([2, 50, 600]))) for _ in range(400)]
+    return texts + [None, "", " " * 500 + "a", "x" * 70_000 + " b", " " * 300, "漢" * 3000, "words " * 900 + " " * 100 + "q " * 30]
+
+
+def test_chunks_cut_together_are_those_of_each_text():
+    texts = odd_texts(31)
+    texts += [f"　{t}\xa0" for t in texts[:40]]
+    cut = line_dedup.Cut.of(pa.array(["left out", *texts], pa.string()).slice(1))
+    low, high = cut.bodies
+    hashes = defaultdict(set)
+    for n, text in enumerate(texts):
+        expected = list(line_dedup.marked(text or ""))
+        places = range(cut.firsts[n], cut.firsts[n + 1])
+        assert [cut.data[cut.starts[p] : cut.starts[p + 1]].decode() for p in places] == [c for _, _, c, _ in expected]
+        for p, (_, _, chunk, digest) in zip(places, expected):
+            assert cut.looked_for[p] == (digest is not None) == (len(chunk.strip().encode()) >= line_dedup.LEAST_BYTES)
+            if digest is not None:
+                assert cut.data[low[p] : high[p]].decode() == chunk.strip()
+                hashes[chunk.strip()].add(int(cut.hashes[p]))
+    assert {len(found) for found in hashes.values()} == {1}
+    assert len({next(iter(found)) for found in hashes.values()}) > 0.99 * len(hashes)
+
+
+def python_calls(run):
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        out = run()
+    finally:
+        sys.setprofile(None)
+    return out, len(calls)
+
+
+def test_steps_make_no_call_for_each_chunk():
+    rng = random.Random(32)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(9000)) for _ in range(4)]
+    chunks = sum(len(line_dedup.chunks(t)) for t in texts)
+    ids = pa.array(range(4), pa.int64())
+    docs = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], ["doc_id", "text"])
+    out, calls = python_calls(lambda: list(line_dedup._hashes([docs])))
+    assert sum(b.num_rows for b in out) > 0.9 * chunks and calls < chunks / 4
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.bool_())]))
+    marks = [[{"place": 3 * p, "h1": p, "h2": n, "own": p % 2 == 0} for p in range(900)] for n in range(4)]
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(marks, kind)], ["marked_id", "marks"])
+    out, calls = python_calls(lambda: list(line_dedup._edges([batch])))
+    assert sum(b.num_rows for b in out) == 4 * 450 * 2 and calls < 900
+
+
+def test_edges_stand_beside_places_that_do_not_repeat():
+    rng = random.Random(33)
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.bool_())]))
+    lists = [
+        [{"place": p, "h1": rng.randint(0, 2), "h2": 5, "own": rng.random() < 0.5} for p in rng.sample(range(9), rng.randint(0, 7))]
+        for _ in range(500)
+    ]
+    expected = set()
+    for n, marks in enumerate(lists):
+        known, seen = {m["place"] for m in marks}, set()
+        for m in sorted(marks, key=lambda m: m["place"]):
+            if not m["own"] or m["h1"] in seen:
+                for after, beside in ((False, m["place"] - 1), (True, m["place"] + 1)):
+                    if beside >= 0 and beside not in known:
+                        expected.add((n, m["place"], after, m["h1"], 5))
+            seen.add(m["h1"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(lists, kind)], ["marked_id", "marks"])
+    [out] = line_dedup._edges([batch])
+    assert sorted(tuple(r.values()) for r in out.to_pylist()) == sorted(expected)
+
+
+def test_common_units_and_lines_are_those_of_plain_lists():
+    rng = random.Random(34)
+    plain = re.compile(r"[^\n.!?]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n")
+    for _ in range(5000):
+        text = "".join(rng.choices("a.!? \n\t\xa0", k=rng.randint(0, 9)))
+        assert line_dedup._lines(text) == len(plain.findall(text))
+    for _ in range(5000):
+        kind = rng.choice(["ab  \n", "ab \né漢　"])
+        one, two = ("".join(rng.choices(kind, k=rng.randint(1, 12))) for _ in range(2))
+        one, two = (one[:5] + two).encode(), (one + two[-5:]).encode()
+        for found, order in ((line_dedup._common_after, list), (line_dedup._common_before, lambda x: x[::-1])):
+            size = 0
+            for own, theirs in zip(order(line_dedup._units(one)), order(line_dedup._units(two))):
+                last = own != theirs
+                if own.rstrip() != theirs.rstrip() or (last and size and found is line_dedup._common_before):
+                    break
+                size += len(own)
+                if last and found is line_dedup._common_after:
+                    break
+            assert found(one, two) == size
