@@ -2,7 +2,9 @@
 
 import json
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -121,6 +123,50 @@ def test_time_follows_the_size_of_a_body(spark):
     assert took < 5 and len(flat) == 2003 and flat["z_0"] == "2" and flat["k1999"] == "[1999]" and flat["k_9"] == "1"
 
 
+def test_memory_follows_the_largest_body_and_not_their_number():
+    body = json.dumps({"items": {"item": [{"id": i, "st": "O"} for i in range(100)]}})
+    large = json.dumps([{"id": i} for i in range(10_000)])
+    kinds = [body, None, "", "busy", "{bad", "<a>é</a>", large]
+
+    def told(part):
+        return list(zip(part.field("kind").to_pylist(), map(len, part.field("nodes")), part.field("error").to_pylist()))
+
+    # each body alone, which also loads what is loaded at first use
+    alone = {b: told(part)[0] for b in kinds for part in responses._nodes.func(iter([pa.array([b], pa.string())]))}
+    bodies = kinds[:6] * 500 + [large, None] + [body] * 500
+    batches = [pa.array(bodies), pa.array([], pa.string()), pa.array([None], pa.string())]
+    found, parts = [], 0
+    tracemalloc.start()
+    for part in responses._nodes.func(iter(batches)):
+        found += told(part)
+        parts += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [alone[b] for b in [*bodies, None]]
+    # all at once take 84 MB, slice by slice 11 MB
+    assert parts > 5 and peak < 25e6
+
+
+def test_find_records_query_parses_each_body_once(spark, tmp_path):
+    from workloads import QUERIES
+
+    rows = [(k, c, "OFP"[k % 3]) for k in range(0, 24_000, 40) for c in (0, 1, 41)]
+    rows += [(40, 1, "O"), (None, 1, "O"), (80, None, "O"), (None, None, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    df = QUERIES["src_find_records"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    landed = {}
+    for k, c, st in rows:
+        if k is not None and c is not None:
+            landed.setdefault((c % 40, k // 4000 + 1), []).append((k, st))
+    expected = []
+    for (job, page), orders in landed.items():
+        shape = (job + page) % 5
+        kept = sorted(orders) if shape < 2 else sorted(orders)[:1] if shape == 2 else []
+        expected += [(job, page, str(k), st) for k, st in kept]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(expected)
+
+
 def test_all_landed_pages_stay(spark):
     rows = [(1, p, [f"{p}-{i}" for i in range(2)], 500, None) for p in range(1, 101)]
     rows += [(2, p, ["same", "page"], None, None) for p in range(1, 5)] + [(2, 5, [], None, "99:busy"), (2, 6, ["late"], None, None)]

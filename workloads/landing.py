@@ -174,7 +174,8 @@ def src_parse_body(spark, folder):
         where (job + page) % 5 in (0, 1) or ((job + page) % 5 = 2 and r = 1)""",
 )
 def src_find_records(spark, folder):
-    exploded = parsed(spark, folder).select("job", "page", F.explode("r.records").alias("record"))
+    # a plain explode makes Spark filter by the size of the records first, and so parse every body a second time
+    exploded = parsed(spark, folder).select("job", "page", F.explode_outer("r.records").alias("record")).where("record is not null")
     return exploded.select(
         "job", "page", F.get_json_object("record", "$.id").alias("id"), F.get_json_object("record", "$.st").alias("st")
     )
